@@ -7,7 +7,7 @@ the third their share of telling words is in (words whose log odds between toxic
 
 The model is fitted on at most FIT_ROWS labelled rows, a third of them toxic at most, those first in the order of a hash of doc_id;
 that bound is the only sample. The cutoff of expected severity above which a document counts as toxic is set on all other labelled
-rows (on the fitted ones if there are none): the one with the largest recall minus false positive rate among those with a false
+rows, at least a quarter of them (on all if one kind is missing there): the one with the largest recall minus false positive rate among those with a false
 positive rate of MAX_FPR at most. All documents are scored, whole texts, with the model (a few MB, whatever the corpus) broadcast.
 
 Defined results: null, empty and wordless texts have no features, severity of the bare thresholds; labels that are null or
@@ -132,7 +132,8 @@ def grade(texts: list[str], toxic: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi").select(F.col("doc_id").alias("_id"), F.col("lo").cast("int").alias("toxic"), F.md5(F.col("doc_id").cast("string")).alias("_h"))
-    first = known.where("toxic = 1").orderBy("_h").limit(rows // 3).unionByName(known.where("toxic = 0").orderBy("_h").limit(rows - rows // 3))
+    open_to_fit = known.where("substring(_h, 32, 1) > '3'")  # a quarter is never fitted
+    first = open_to_fit.where("toxic = 1").orderBy("_h").limit(rows // 3).unionByName(open_to_fit.where("toxic = 0").orderBy("_h").limit(rows - rows // 3))
     first = C.materialize(first, "fit-labels")
     picked = docs.select("doc_id", "text").join(F.broadcast(first), F.col("doc_id") == F.col("_id")).dropDuplicates(["_id"]).select("text", "toxic").toPandas()  # rows at most
     toxic = picked["toxic"].to_numpy(int)
@@ -142,7 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     model = fit_ordinal([vector(x) for x in texts], grade(texts, toxic))
     # the cutoff: a histogram of severities of the other labelled rows
     sent = spark.sparkContext.broadcast(model)
-    rest = known.join(first.select("_id"), "_id", "left_anti") if known.count() > len(picked) else known
+    rest = known.join(first.select("_id"), "_id", "left_anti")
+    if rest.agg(F.countDistinct("toxic")).first()[0] < 2:
+        rest = known
     scored = docs.select("doc_id", "text").mapInArrow(_scorer(sent), "doc_id long, severity double, grade int").join(rest, F.col("doc_id") == F.col("_id"))
     hist = scored.groupBy("toxic", F.floor(F.col("severity") * 200).cast("int").alias("bin")).agg(F.count("*").alias("n")).toPandas()
     counts = np.zeros((2, 200 * GRADES + 1))
