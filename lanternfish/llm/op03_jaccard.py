@@ -36,44 +36,111 @@ FREQUENT = 1 << 17
 WINDOW = 1 << 22
 MIN_IN_WINDOW = 4
 STARS = 1
-_P = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordIds(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-_words = _WordIds()
-
-
-def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of the words [^\\x20\\x09-\\x0D]+ of text, A-Z lower-cased."""
-    words = text.lower().split()  # on bytes: exactly the ASCII rules
-    n = len(words)
-    if not n:
-        return np.empty(0, np.int64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
-    m = min(n, width)
-    h = np.full(n - m + 1, m, np.uint64)
-    for k in range(m):
-        h = h * _P + w[k : n - m + 1 + k]
+#: Words and shingles are hashed as polynomials with odd multipliers modulo 2 ** 64, each followed by a mix of its bits.
+_BYTE, _WORD = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_VALUE = np.arange(1, 257, dtype=np.uint64)
+_VALUE[65:91] += np.uint64(32)  # A-Z as a-z
+CHUNK = 1 << 20
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the byte multiplier and of its inverse, n at least."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BYTE, pow(_BYTE, -1, 1 << 64))):
+            p = np.full(max(n, CHUNK + 4096), base, np.uint64)
+            p[0] = 1
+            _powers[i] = np.cumprod(p)
+    return _powers
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xC4CEB9FE1A85EC53)
     h ^= h >> np.uint64(33)
-    return np.unique(h.view(np.int64))
+    return h
+
+
+def _word_hashes(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of the bytes data; a word also ends before each place of breaks."""
+    n = len(data)
+    up, down = _powers_to(n)
+    sums = np.cumsum(_VALUE[data] * up[:n])
+    word = ~_SPACE[data]
+    apart = np.zeros(n + 1, bool)
+    apart[breaks] = True
+    apart[[0, n]] = True
+    starts = np.flatnonzero(word & (apart[:n] | np.append(True, ~word[:-1])))
+    ends = np.flatnonzero(word & (apart[1:] | np.append(~word[1:], True)))
+    h = sums[ends] - np.where(starts > 0, sums[starts - 1], np.uint64(0))
+    return _mix(h * down[starts]), starts
+
+
+def _shingles_of(w: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the shingles of word hashes; of all as one where they are fewer than width."""
+    m = min(len(w), width)
+    h = np.full(len(w) - m + 1, m, np.uint64)
+    for k in range(m):
+        h = h * _WORD + w[k : len(w) - m + 1 + k]
+    return _mix(h).view(np.int64)
+
+
+def _words_of(data: np.ndarray) -> np.ndarray:
+    """Word hashes of a long text, by pieces that end at white space."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + CHUNK
+        if end < len(data):
+            space = np.flatnonzero(_SPACE[data[end : end + CHUNK]])
+            while not len(space) and end < len(data):
+                end += CHUNK
+                space = np.flatnonzero(_SPACE[data[end : end + CHUNK]])
+            end += int(space[0]) if len(space) else 0
+        out.append(_word_hashes(data[at:end], np.zeros(0, np.int64))[0])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-    docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-    texts = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
-    for d, t in zip(docs, texts):
-        yield d, t.as_py() or b""
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of the words [^\\x20\\x09-\\x0D]+ of text, A-Z lower-cased."""
+    w = _words_of(np.frombuffer(text, np.uint8))
+    return np.unique(_shingles_of(w, width)) if len(w) else np.empty(0, np.int64)
+
+
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """shingles() of each text (null: none), many short texts at a time."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
+    valid = texts.is_valid().to_numpy(zero_copy_only=False)
+    none = np.empty(0, np.int64)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
+        lo, hi = offsets[i], offsets[j]
+        if j == i + 1:
+            yield shingles(data[lo:hi].tobytes(), width) if valid[i] else none
+        else:
+            w, starts = _word_hashes(data[lo:hi], offsets[i:j] - lo) if hi > lo else (np.zeros(0, np.uint64), none)
+            at = np.searchsorted(starts, offsets[i : j + 1] - lo)
+            h = _shingles_of(w, width) if len(w) >= width else none
+            for k in range(j - i):
+                n = at[k + 1] - at[k]
+                if not n or not valid[i + k]:
+                    yield none
+                elif n < width:
+                    yield _shingles_of(w[at[k] : at[k + 1]], width)
+                else:
+                    yield np.unique(h[at[k] : at[k + 1] - width + 1])
+        i = j
+
+
+def _texts(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    return zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), width))
 
 
 def frequent(docs: DataFrame, width: int = WIDTH, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +154,7 @@ def frequent(docs: DataFrame, width: int = WIDTH, limit: int = FREQUENT) -> tupl
 
         held, seen, total = [], set(), 0
         for batch in batches:
-            for _, text in _texts(batch):
-                s = shingles(text, width)
+            for _, s in _texts(batch, width):
                 key = xxhash.xxh3_64_intdigest(s.tobytes())
                 if len(s) and key not in seen:
                     seen.add(key)
@@ -108,26 +174,35 @@ def frequent(docs: DataFrame, width: int = WIDTH, limit: int = FREQUENT) -> tupl
     return h[order], place[order]
 
 
-def _ordered(s: np.ndarray, hot: np.ndarray, place: np.ndarray) -> np.ndarray:
-    if not len(hot) or not len(s):
-        return s
-    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-    is_hot = hot[at] == s
-    if not is_hot.any():
-        return s
-    return np.concatenate([s[~is_hot], s[is_hot][np.argsort(place[at[is_hot]], kind="stable")]])
+class _Order:
+    """Rare shingles by hash, then the frequent ones by count; a bitmap tells most rare ones at once."""
+
+    def __init__(self, hot: np.ndarray, place: np.ndarray):
+        self.hot, self.place = hot, place
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[hot & ((1 << 22) - 1)] = True
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        some = np.flatnonzero(self.maybe[s & ((1 << 22) - 1)])
+        if not len(some):
+            return s
+        at = np.minimum(np.searchsorted(self.hot, s[some]), len(self.hot) - 1)
+        is_hot = self.hot[at] == s[some]
+        if not is_hot.any():
+            return s
+        some, at = some[is_hot], at[is_hot]
+        return np.concatenate([np.delete(s, some), s[some][np.argsort(self.place[at], kind="stable")]])
 
 
 def _sets(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, place = order.value
+        ordered = order.value
         for batch in batches:
             out = []
-            for d, text in _texts(batch):
-                s = shingles(text, width)
+            for d, s in _texts(batch, width):
                 n = len(s)
                 full = xxhash.xxh3_128_digest(s.tobytes())
-                prefix = _ordered(s, hot, place)[: n - (percent * n + 99) // 100 + 1] if n else s
+                prefix = ordered(s)[: n - (percent * n + 99) // 100 + 1] if n else s
                 group = xxhash.xxh3_64_intdigest(prefix.tobytes(), n)
                 out.append((d, n, int.from_bytes(full[:8], "little", signed=True), int.from_bytes(full[8:], "little", signed=True), group - (1 << 63), prefix))
             cols = list(zip(*out)) or [[]] * 6
@@ -233,11 +308,22 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return d.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _maybe(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """docs without most rows whose doc_id is not among the n of wanted, by one bit a hash: 16 MB at most, whatever n is; only speed depends on it."""
+    bits = 1 << min(27, max(15, (16 * n).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    maps = wanted.select(F.bitmap_bucket_number(slot).alias("_bucket"), F.bitmap_bit_position(slot).alias("_at")).groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_map"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte.cast("bigint"), F.pmod(at, F.lit(8)).cast("int")) == 1
+    return docs.join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col("_bucket")).where(hit).select(*docs.columns)
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, n_links) of each row: n_links counts the class's verified links to others, those that joined components."""
     spark = docs.sparkSession
     n_parts = C.shuffle_partitions(spark)
-    order = spark.sparkContext.broadcast(frequent(docs, width))
+    order = spark.sparkContext.broadcast(_Order(*frequent(docs, width)))
     made = C.materialize(_sets(docs, order, width, percent), "sets")
     full = made.where("n > 0 and doc_id is not null")
     classes = C.materialize(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("c"), F.min("g").alias("g"), F.min("n").alias("n")), "classes")
@@ -251,18 +337,28 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     within = classes.join(reps.where("k > 1"), "g").where("c <> r").select(F.col("r").alias("a"), F.col("c").alias("b"))
     across = group_pairs.join(reps.select(F.col("g").alias("a"), F.col("r").alias("ra")), "a").join(reps.select(F.col("g").alias("b"), F.col("r").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     pairs = C.materialize(within.union(across), "pairs")
-    # whole sets of all classes that some list or group puts with another
-    in_list = listed.select("g").distinct()
-    wanted = classes.join(in_list, "g", "left_semi").select("c").union(within.select("b")).union(within.select("a")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select(F.col("c").alias("doc_id")), "doc_id", "left_semi")
+    sets: DataFrame | None = None
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(d, shingles(t, width)) for d, t in _texts(batch)]
+            out = list(_texts(batch, width))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["c", "x"])
 
-    sets = C.materialize(texts.mapInArrow(whole, "c long, x array<long>"), "whole-sets")
-    links = C.materialize(_links(pairs, sets, percent), "links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The links among pairs; sets that were not made yet are made first."""
+        nonlocal sets
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select(F.col("c").alias("doc_id")), "doc_id", "left_anti")
+        wanted = C.materialize(wanted, "wanted")
+        n = wanted.count()
+        if n:
+            texts = _maybe(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, n).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+            more = C.materialize(texts.mapInArrow(whole, "c long, x array<long>"), "whole-sets")
+            sets = more if sets is None else sets.union(more)
+        return _links(pairs, sets, percent) if sets is not None else pairs
+
+    links = C.materialize(linked(pairs), "links")
     comps = C.materialize(components(links), "comps")
 
     def labelled(of: DataFrame) -> DataFrame:
@@ -286,7 +382,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             rows = rows.withColumn("score", F.xxhash64("g", F.lit(turn)).cast("double"))
         hub = rows.groupBy("h").agg(F.max(F.struct("score", "g", "comp", "n", "c", "pos")).alias("p"))
         star = rows.join(hub, "h").where(f"comp <> p.comp and {100 + percent} * least(n - pos, p.n - p.pos) >= {percent} * (n + p.n)").select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
-        new = C.materialize(_links(star, sets, percent), "star-links")
+        new = C.materialize(linked(C.materialize(star, "star")), "star-links")
         links = links.union(new)
         if not new.limit(1).count():
             break
@@ -303,7 +399,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     unit_pairs = near.union(same).distinct()
     rest = unit_pairs.join(units.select(F.col("g").alias("ga"), F.col("comp").alias("ca"), F.col("c").alias("a")), ["ga", "ca"]).join(units.select(F.col("g").alias("gb"), F.col("comp").alias("cb"), F.col("c").alias("b")), ["gb", "cb"]).select("a", "b")
     rest = C.materialize(rest, "rest")
-    more = C.materialize(_links(rest, sets, percent), "more-links")
+    more = C.materialize(linked(rest), "more-links")
     if more.limit(1).count():
         comps = C.materialize(components(comps.toDF("a", "b").union(more)), "comps")
     every = links.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
