@@ -284,7 +284,7 @@ def _stream_lists(percent: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node of edges (a, b): comp is the smallest node that it reaches."""
+    """(node, comp) of every node of edges (a, b), as a written table: comp is the smallest node that it reaches."""
     e = C.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     said = None
     while True:
@@ -293,12 +293,16 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # in large, b < a; small star: the lower neighbours and the node itself go to the lowest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
+        old = e
         e = C.materialize(large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct(), "edges")
+        C.discard(old)
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == said or not now[0]:
             break
         said = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    out = C.materialize(e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "components")
+    C.discard(e)
+    return out
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -323,12 +327,18 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """(doc_id, n_shingles, class_id, component_id, n_links) of each row: n_links counts the class's verified links to others, those that joined components."""
     spark = docs.sparkSession
     n_parts = C.shuffle_partitions(spark)
+    scratch: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(C.materialize(df, name))
+        return scratch[-1]
+
     order = spark.sparkContext.broadcast(_Order(*frequent(docs, width)))
-    made = C.materialize(_sets(docs, order, width, percent), "sets")
+    made = keep(_sets(docs, order, width, percent), "sets")
     full = made.where("n > 0 and doc_id is not null")
-    classes = C.materialize(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("c"), F.min("g").alias("g"), F.min("n").alias("n")), "classes")
+    classes = keep(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("c"), F.min("g").alias("g"), F.min("n").alias("n")), "classes")
     lists = full.select("g", "n", F.posexplode("prefix").alias("pos", "h")).withColumn("pos", F.col("pos").cast("long")).repartitionByRange(n_parts, "h", "n", "g").sortWithinPartitions("h", "n", "g")
-    found = C.materialize(lists.mapInArrow(_stream_lists(percent), "kind int, a long, b long, h long, pos long"), "lists")
+    found = keep(lists.mapInArrow(_stream_lists(percent), "kind int, a long, b long, h long, pos long"), "lists")
     group_pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
     # lists that were open at the ends of tasks: their parts' groups, each with the first of the whole list
     listed = found.where(F.col("kind") == LISTED).select("h", F.col("a").alias("g"), F.col("b").alias("n"), "pos")
@@ -336,7 +346,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     reps = classes.groupBy("g").agg(F.min("c").alias("r"), F.count("*").alias("k"))
     within = classes.join(reps.where("k > 1"), "g").where("c <> r").select(F.col("r").alias("a"), F.col("c").alias("b"))
     across = group_pairs.join(reps.select(F.col("g").alias("a"), F.col("r").alias("ra")), "a").join(reps.select(F.col("g").alias("b"), F.col("r").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    pairs = C.materialize(within.union(across), "pairs")
+    pairs = keep(within.union(across), "pairs")
     sets: DataFrame | None = None
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,16 +360,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select(F.col("c").alias("doc_id")), "doc_id", "left_anti")
-        wanted = C.materialize(wanted, "wanted")
+        wanted = keep(wanted, "wanted")
         n = wanted.count()
         if n:
             texts = _maybe(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, n).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            more = C.materialize(texts.mapInArrow(whole, "c long, x array<long>"), "whole-sets")
+            more = keep(texts.mapInArrow(whole, "c long, x array<long>"), "whole-sets")
             sets = more if sets is None else sets.union(more)
         return _links(pairs, sets, percent) if sets is not None else pairs
 
-    links = C.materialize(linked(pairs), "links")
-    comps = C.materialize(components(links), "comps")
+    links = keep(linked(pairs), "links")
+    comps = components(links)
 
     def labelled(of: DataFrame) -> DataFrame:
         return classes.join(of.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
@@ -374,7 +384,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     # more stars, about groups that are central in that many of their shingles are listed, then about any; linear in the lists
     share = listed.groupBy("g").agg((F.count("*") / F.max("n")).alias("share"))
     for turn in range(STARS):
-        units = C.materialize(labelled(comps).select("c", "g", "n", "comp"), "units")
+        units = keep(labelled(comps).select("c", "g", "n", "comp"), "units")
         _, rows = open_lists(units)
         if turn == 0:
             rows = rows.join(share, "g").withColumn("score", F.col("share"))
@@ -382,13 +392,13 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             rows = rows.withColumn("score", F.xxhash64("g", F.lit(turn)).cast("double"))
         hub = rows.groupBy("h").agg(F.max(F.struct("score", "g", "comp", "n", "c", "pos")).alias("p"))
         star = rows.join(hub, "h").where(f"comp <> p.comp and {100 + percent} * least(n - pos, p.n - p.pos) >= {percent} * (n + p.n)").select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
-        new = C.materialize(linked(C.materialize(star, "star")), "star-links")
+        new = keep(linked(keep(star, "star")), "star-links")
         links = links.union(new)
         if not new.limit(1).count():
             break
-        comps = C.materialize(components(comps.toDF("a", "b").union(new)), "comps")
+        comps = components(comps.toDF("a", "b").union(new))
 
-    units = C.materialize(labelled(comps).select("c", "g", "n", "comp"), "units")
+    units = keep(labelled(comps).select("c", "g", "n", "comp"), "units")
     per_unit, rows = open_lists(units)
     # the first shingle that two linked sets share leaves enough after it in both; rows that cannot have a partner in their list go first
     low = rows.groupBy("h").agg(F.min("n").alias("low"))
@@ -398,16 +408,18 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     same = per_unit.select("g", F.col("comp").alias("ca")).join(per_unit.select("g", F.col("comp").alias("cb")), "g").where("ca < cb").select(F.col("g").alias("ga"), "ca", F.col("g").alias("gb"), "cb")
     unit_pairs = near.union(same).distinct()
     rest = unit_pairs.join(units.select(F.col("g").alias("ga"), F.col("comp").alias("ca"), F.col("c").alias("a")), ["ga", "ca"]).join(units.select(F.col("g").alias("gb"), F.col("comp").alias("cb"), F.col("c").alias("b")), ["gb", "cb"]).select("a", "b")
-    rest = C.materialize(rest, "rest")
-    more = C.materialize(linked(rest), "more-links")
+    rest = keep(rest, "rest")
+    more = keep(linked(rest), "more-links")
     if more.limit(1).count():
-        comps = C.materialize(components(comps.toDF("a", "b").union(more)), "comps")
+        comps = components(comps.toDF("a", "b").union(more))
     every = links.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = every.select(F.col("a").alias("c")).union(every.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
     known = labelled(comps).join(degree, "c", "left").select("s1", "s2", F.col("c").alias("class_id"), F.col("comp").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = made.select("doc_id", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(known, ["s1", "s2"], "left")
     own = F.col("doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("component_id", own).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = C.materialize(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("component_id", own).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard")
+    C.discard(*scratch)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
