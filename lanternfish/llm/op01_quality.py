@@ -106,7 +106,10 @@ def verdict(feats: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFra
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    cuts = thresholds(C.materialize(features(docs), "quality-features"), labels)
+    feats = C.materialize(features(docs), "quality-features")
+    # written, so that its size is known: one row a stratum, broadcast while small, and texts are not shuffled by stratum
+    cuts = C.materialize(thresholds(feats, labels), "quality-cuts")
+    C.discard(feats)
     row = C.fresh(docs, "_row")
     packed = F.struct(*[F.col(c) for c in docs.columns]).alias(row)
     judged = verdict(features(docs, [F.col("lang"), packed]), cuts)
@@ -115,7 +118,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = C.materialize(features(C.read(spark, sf_dir, "documents")), "quality-features")
-    cuts = thresholds(feats, C.read(spark, sf_dir, "labels"))
+    cuts = C.materialize(thresholds(feats, C.read(spark, sf_dir, "labels")), "quality-cuts")
     return verdict(feats, cuts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
