@@ -354,9 +354,22 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             out = list(_texts(batch, width))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["c", "x"])
 
+    def near_prefixes(pairs: DataFrame) -> DataFrame:
+        """Pairs that can be links by their prefixes. With o shingles in common, a's prefix holds at most n_a - o that b lacks, and all others
+        of the prefix that ends first are in the other one: so both share p - (n - o) at least, for one of the two."""
+        both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = keep(both, "distinct-pairs")
+        ids = keep(both.select(F.col("a").alias("doc_id")).union(both.select("b")).distinct(), "pair-ids")
+        pre = _maybe(made.select("doc_id", "n", "prefix"), ids, ids.count()).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        pre = keep(pre, "prefixes")
+        d = both.join(pre.toDF("a", "na", "pa"), "a").join(pre.toDF("b", "nb", "pb"), "b")
+        least = f"{percent} * (na + nb) / {100 + percent}"
+        return d.where(f"size(array_intersect(pa, pb)) >= least(size(pa) - na, size(pb) - nb) + {least}").select("a", "b")
+
     def linked(pairs: DataFrame) -> DataFrame:
         """The links among pairs; sets that were not made yet are made first."""
         nonlocal sets
+        pairs = keep(near_prefixes(pairs), "near-pairs")
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select(F.col("c").alias("doc_id")), "doc_id", "left_anti")
@@ -392,7 +405,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             rows = rows.withColumn("score", F.xxhash64("g", F.lit(turn)).cast("double"))
         hub = rows.groupBy("h").agg(F.max(F.struct("score", "g", "comp", "n", "c", "pos")).alias("p"))
         star = rows.join(hub, "h").where(f"comp <> p.comp and {100 + percent} * least(n - pos, p.n - p.pos) >= {percent} * (n + p.n)").select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
-        new = keep(linked(keep(star, "star")), "star-links")
+        new = keep(linked(star), "star-links")
         links = links.union(new)
         if not new.limit(1).count():
             break
