@@ -50,6 +50,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH_ROWS = 500
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, after making Arrow batches of its session small: rows that hold whole texts fill memory long before the usual 10,000."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df does not have, whatever its case."""
     taken = {c.lower() for c in df.columns}

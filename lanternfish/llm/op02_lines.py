@@ -109,7 +109,7 @@ def _apply(text: pd.Series, keep: pd.Series) -> pd.Series:
 
 def dedup_lines(docs: DataFrame, n_dropped: str | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the text that stays, and with the count of dropped lines where a name for it is given."""
-    maps, cols = keep_bitmaps(docs, min_chars), docs.columns
+    maps, cols = keep_bitmaps(C.text_batches(docs), min_chars), docs.columns
     taken = [C.fresh(docs, x) for x in ("_id", "_row", "_keep", "_n")]
     maps = maps.toDF(taken[0], taken[1], taken[3], taken[2])
     d = docs.join(maps, (docs["doc_id"].cast("long") == F.col(taken[0])) & (F.xxhash64(docs["text"]) == F.col(taken[1])), "left")

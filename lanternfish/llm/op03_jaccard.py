@@ -33,8 +33,8 @@ from lanternfish.llm import common as C
 WIDTH = 5
 PERCENT = 80
 FREQUENT = 1 << 17
-WINDOW = 1 << 22
-MIN_IN_WINDOW = 4
+WINDOW = 1 << 21
+MIN_IN_WINDOW = 3
 STARS = 1
 #: Words and shingles are hashed as polynomials with odd multipliers modulo 2 ** 64, each followed by a mix of its bits.
 _BYTE, _WORD = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
@@ -42,7 +42,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _VALUE = np.arange(1, 257, dtype=np.uint64)
 _VALUE[65:91] += np.uint64(32)  # A-Z as a-z
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -166,7 +166,7 @@ def frequent(docs: DataFrame, width: int = WIDTH, limit: int = FREQUENT) -> tupl
         if held:
             yield counted()
 
-    found = docs.select("doc_id", "text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    found = C.text_batches(docs).select("doc_id", "text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     rows = found.orderBy(F.desc("c"), "h").limit(limit).collect()  # limit rows at most
     h = np.array([r["h"] for r in rows], np.int64)
     place = np.arange(len(h))[::-1]
@@ -328,6 +328,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     spark = docs.sparkSession
     n_parts = C.shuffle_partitions(spark)
     scratch: list[DataFrame] = []
+    C.text_batches(docs)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         scratch.append(C.materialize(df, name))

@@ -136,7 +136,7 @@ def grade(xs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndar
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    spark = docs.sparkSession
+    spark = C.text_batches(docs).sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi").select(F.col("doc_id").alias("_id"), F.col("lo").cast("int").alias("toxic"), F.md5(F.col("doc_id").cast("string")).alias("_h"))
     open_to_fit = known.where("substring(_h, 32, 1) > '3'")  # a quarter is never fitted
     first = open_to_fit.where("toxic = 1").orderBy("_h").limit(rows // 3).unionByName(open_to_fit.where("toxic = 0").orderBy("_h").limit(rows - rows // 3))

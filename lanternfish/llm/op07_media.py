@@ -147,7 +147,7 @@ def describe(store: DataFrame) -> DataFrame:
             cols = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "feature"])
 
-    return store.select("digest", "media").mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string")
+    return C.text_batches(store).select("digest", "media").mapInArrow(read, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, feature string")
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,7 +113,7 @@ def count_edits(docs: DataFrame, edits: str = "edits", vocabulary: str | None =
             types = (pa.int64(),) * 5 + (pa.list_(pa.int32()), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], names=["doc_id", "n_tokens", "n_tokens_after", "n_chunks_encoded", "n_leaves", "leaf_tokens", "edited_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(edits).alias("edits")).mapInArrow(count, _RESULT)
+    return C.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(edits).alias("edits")).mapInArrow(count, _RESULT)
 
 
 def sample_edits() -> Column:

@@ -211,7 +211,7 @@ _RESULT = "n_entities int, types array<string>, replaced array<struct<start:int,
 
 def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """(doc_id, n_entities, types, replaced: place in the old text, type and surrogate, text) of each row."""
-    found = C.materialize(entities(docs), "entities")
+    found = C.materialize(entities(C.text_batches(docs)), "entities")
     again = C.materialize(attempts(found, key), "attempts")
     per = found.where("doc_id is not null").join(again, ["type", "norm"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "type", "norm"), "attempt"))).alias("_again"))
     per = C.materialize(per, "attempts-by-document")  # of a known size, so it is broadcast only if small
