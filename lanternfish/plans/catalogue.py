@@ -1,10 +1,521 @@
-"""Named queries over the test tables, each with the SQL that gives the same rows where SQL can express them."""
+"""Named queries over the test tables, each with the SQL that gives the same rows where SQL can express them.
+
+documents stand for pages: url gemini://<source>.test/<lang>/<doc_id>, size in bytes, hash by md5. pages stand for responses; links are
+their root-relative hrefs, with path nodes as targets. events stand for the crawl log: a user is a host, an error a failed fetch.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lanternfish.functions import text as T
+from lanternfish.functions import urls as U
+from lanternfish.functions.robots import plain_rule_blocks
+from lanternfish.operators import graph as G
+from lanternfish.operators import lifecycle as L
+from lanternfish.operators import policy as P
+from lanternfish.operators import reports as R
+from lanternfish.operators import search as S
+from lanternfish.plans import querylang as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TERM, TERMS = "the", ("the", "of")
+ITERATIONS = 3
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def doc_pages(spark: SparkSession, d: str) -> DataFrame:
+    """documents as pages."""
+    t = read(spark, d, "documents")
+    host = F.concat("source", F.lit(".test"))
+    return t.select("doc_id", F.concat(F.lit("gemini://"), host, F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), host.alias("domain_name"), F.lit(1965).alias("port"), F.concat(F.lit("text/"), "lang").alias("content_type"), F.concat_ws(" ", F.lit("document"), F.col("lang")).alias("title"), F.col("text").alias("content_body"), F.octet_length("text").cast("long").alias("size"), F.md5("text").alias("content_hash"))
+
+
+DOC_PAGES = "p AS (SELECT doc_id, 'gemini://' || source || '.test/' || lang || '/' || doc_id AS url, source || '.test' AS domain_name, 1965 AS port, 'text/' || lang AS content_type, 'document ' || lang AS title, text AS content_body, strlen(text) AS size, md5(text) AS content_hash FROM documents)"
+TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    """(url, host, port, to_url, to_host, to_port, is_cross_site) of the hrefs of pages."""
+    p = read(spark, d, "pages")
+    u = U.parse_url(F.col("url"))
+    rows = p.select("url", u["host"].alias("host"), U.url_port(u).alias("port"), F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1).alias("links"))
+    return L.link_rows(rows, ("http", "https"), 1024)
+
+
+# hosts, ports and hrefs as the links need them
+LINKS = r"""h AS (SELECT url, regexp_extract(url, '^([a-z]+)://', 1) AS proto, lower(regexp_extract(url, '^[a-z]+://([^:/]*)', 1)) AS host, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS href FROM pages),
+l AS (SELECT DISTINCT url, host, CASE proto WHEN 'http' THEN 80 ELSE 443 END AS port, proto || '://' || host || regexp_replace(href, '#.*$', '') AS to_url, host AS to_host, CASE proto WHEN 'http' THEN 80 ELSE 443 END AS to_port, false AS is_cross_site FROM h WHERE href LIKE '/%')"""
+
+
+def path_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges (src: host of a page, dst: path that it links to), as often as there are links: a graph with hubs and authorities."""
+    return page_links(spark, d).select("host", F.regexp_extract("to_url", r"^[a-z]+://[^/]*(/.*)$", 1).alias("path")).select(F.col("host").alias("src"), F.col("path").alias("dst"))
+
+
+EDGES = LINKS + r", e AS (SELECT host AS src, regexp_extract(to_url, '^[a-z]+://[^/]*(/.*)$', 1) AS dst FROM l)"
+
+
+# --- full text -----------------------------------------------------------------------------------------------------------------
+
+
+@query(rf"SELECT doc_id, t AS term, count(*)::int AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS t FROM documents) GROUP BY doc_id, t")
+def token_tf_documents(spark, d):
+    t = read(spark, d, "documents").select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("term"))
+    return t.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
+
+
+def _tf(terms: tuple[str, ...], name: str = "content_body") -> str:
+    return ", ".join(rf"len(list_filter(regexp_extract_all(lower({name}), '[\p{{L}}\p{{N}}]+'), lambda x: x = '{t}')) AS n{i}" for i, t in enumerate(terms))
+
+
+_SINGLE = rf"WITH {DOC_PAGES}, b AS (SELECT url, title || ' ' || translate(url, '_-~', '   ') AS tt, content_body AS c FROM p), f AS (SELECT url, len(list_filter(regexp_extract_all(lower(tt), '[\p{{L}}\p{{N}}]+'), lambda x: x = '{TERM}')) AS nt, len(list_filter(regexp_extract_all(lower(tt || ' ' || c), '[\p{{L}}\p{{N}}]+'), lambda x: x = '{TERM}')) AS nb FROM b)"
+
+
+@query(_SINGLE + " SELECT url, round(0.1 * (50 * nt + nb), 6) AS text_rank FROM f WHERE nb > 0 ORDER BY text_rank DESC, url LIMIT 10")
+def search_single_term(spark, d):
+    hits = S.match(S.postings(doc_pages(spark, d)).where(F.col("term") == TERM), [TERM])
+    return S.page_of(hits.select("url", F.round("text_rank", 6).alias("text_rank")), 1, [F.desc("text_rank"), F.col("url")])
+
+
+@query(rf"SELECT doc_id, n0 + n1 AS tf_sum FROM (SELECT doc_id, {_tf(TERMS, 'text')} FROM documents) WHERE n0 > 0 AND n1 > 0")
+def search_all_terms(spark, d):
+    t = token_tf_documents(spark, d).where(F.col("term").isin(*TERMS))
+    return t.groupBy("doc_id").agg(F.sum("tf").alias("tf_sum"), F.count("*").alias("k")).where(F.col("k") == len(TERMS)).drop("k")
+
+
+@query()
+def search_cover_density(spark, d):
+    hits = S.match(S.postings(doc_pages(spark, d)).where(F.col("term").isin(*TERMS)), list(TERMS))
+    return hits.select("url", F.round("text_rank", 6).alias("text_rank"))
+
+
+@query(_SINGLE + " SELECT url, round(0.1 * (50 * nt + nb), 6) AS text_rank FROM f WHERE nb > 0 ORDER BY 0.1 * (50 * nt + nb) DESC, url LIMIT 50000")
+def root_set_top_k(spark, d):
+    hits = S.match(S.postings(doc_pages(spark, d)).where(F.col("term") == TERM), [TERM])
+    return S.root_set(hits).select("url", F.round("text_rank", 6).alias("text_rank"))
+
+
+@query(rf"WITH {DOC_PAGES} SELECT url, round(CASE WHEN size * 20 > 48000 THEN 1 / ln(exp(1.0) + (size * 20 - 48000) // 3000) ELSE 1 END, 9) AS discount FROM p")
+def size_discount(spark, d):
+    return doc_pages(spark, d).select("url", F.round(S.size_discount(F.col("size") * 20), 9).alias("discount"))
+
+
+@query(rf"WITH {DOC_PAGES}, s AS (SELECT url, size, {_tf((TERM,))}, (doc_id % 97)::double AS score FROM p), f AS (SELECT url, exp(score / 96.0 * 6.5) AS b, 0.1 * n0 * CASE WHEN size > 48000 THEN 1 / ln(exp(1.0) + (size - 48000) // 3000) ELSE 1 END AS r FROM s WHERE n0 > 0) SELECT url, round(2 * b * r / (b + r), 6) AS score FROM f")
+def score_fusion(spark, d):
+    p = doc_pages(spark, d).withColumn("n", F.size(F.filter(T.tokenize(F.col("content_body")), lambda t: t == TERM))).where("n > 0")
+    fused = S.fuse((F.col("doc_id") % 97).cast("double"), F.lit(96.0), 0.1 * F.col("n"), F.col("size"))
+    return p.select("url", F.round(fused, 6).alias("score"))
+
+
+@query()
+def dedup_same_host_or_path(spark, d):
+    p = doc_pages(spark, d)
+    ranked = p.select("url", F.col("domain_name").alias("host"), U.parse_url(F.col("url"))["path"].alias("path"), "content_hash", "size", F.col("size").cast("double").alias("text_rank"), (F.col("doc_id") % 97).cast("double").alias("score"))
+    return S.dedup(ranked).select("url", "content_hash", "score")
+
+
+@query()
+def previews(spark, d):
+    cut = F.pandas_udf(lambda s: s.map(lambda x: S.headline(x, [TERM])), "string")
+    return S.page_of(doc_pages(spark, d), 1, [F.col("doc_id")]).select("doc_id", T.clean_preview(cut("content_body")).alias("preview"))
+
+
+@query(rf"WITH {DOC_PAGES} SELECT content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM p GROUP BY content_hash HAVING count(*) > 1")
+def exact_dup_groups(spark, d):
+    return doc_pages(spark, d).groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+
+
+# --- filters and paging --------------------------------------------------------------------------------------------------------
+
+
+def _filtered(spark, d, text: str) -> DataFrame:
+    return doc_pages(spark, d).where(Q.filter_column(Q.parse_query(text).filters)).select("url")
+
+
+def _filter_query(name: str, text: str, where: str) -> None:
+    f = lambda spark, d: _filtered(spark, d, text)
+    f.__name__ = name
+    query(f"WITH {DOC_PAGES} SELECT url FROM p WHERE {where}")(f)
+
+
+_filter_query("filter_content_type", "x content_type:text/d", "content_type LIKE 'text/d%'")
+_filter_query("filter_domain", "x domain:src3.test", "domain_name = 'src3.test'")
+_filter_query("filter_size_range", "x size:>2K", "size > 2000")
+_filter_query("filter_size_below", "x size:<1.5KiB", "size > 0 AND size < 1536")
+_filter_query("filter_not", "x NOT domain:src3.test NOT size:>5K", "domain_name <> 'src3.test' AND size > 0 AND size < 5000")
+_filter_query("filter_or_and", "x domain:src1.test domain:src2.test content_type:text/en", "domain_name IN ('src1.test', 'src2.test') AND content_type LIKE 'text/en%'")
+_filter_query("filter_intitle", "x intitle:de", "title = 'document de'")
+
+
+@query(f"WITH {DOC_PAGES} SELECT url, size, (SELECT (count(*) + 9) // 10 FROM p) AS n_pages FROM p ORDER BY size DESC, url LIMIT 10 OFFSET 20")
+def page_n_of_results(spark, d):
+    p = doc_pages(spark, d)
+    n = p.agg(S.page_count(F.count("*")).alias("n_pages"))
+    return S.page_of(p.select("url", "size"), 3, [F.desc("size"), F.col("url")]).crossJoin(F.broadcast(n))  # n: one row
+
+
+@query(f"WITH {DOC_PAGES} SELECT url, greatest(size // 1000, 1) AS kb, CASE WHEN doc_id % 5 = 0 THEN 'unknown/none' ELSE content_type END AS label FROM p")
+def size_kb_label(spark, d):
+    p = doc_pages(spark, d)
+    return p.select("url", T.size_kb(F.col("size")).alias("kb"), T.content_label(F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("content_type"))).alias("label"))
+
+
+# --- URLs, links, graph --------------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT url, regexp_extract(url, '^([a-z]+)://', 1) AS protocol, regexp_extract(url, '^[a-z]+://([^:/]*)', 1) AS host, CASE WHEN url LIKE 'https%' THEN 443 ELSE 80 END AS port, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS param, regexp_extract(url, '^[^#]*#(.*)$', 1) AS fragment FROM pages")
+def url_parts(spark, d):
+    u = U.parse_url(F.col("url"))
+    return read(spark, d, "pages").select("url", u["protocol"].alias("protocol"), u["host"].alias("host"), U.url_port(u).alias("port"), u["path"].alias("path"), u["param"].alias("param"), u["fragment"].alias("fragment"))
+
+
+@query("SELECT url, url AS formatted FROM pages")
+def url_round_trip(spark, d):
+    return read(spark, d, "pages").select("url", U.format_url(U.parse_url(F.col("url"))).alias("formatted"))
+
+
+@query("SELECT page_id, translate(url, '_-~', '   ') AS words FROM pages")
+def index_friendly_url(spark, d):
+    return read(spark, d, "pages").select("page_id", U.index_friendly(F.col("url")).alias("words"))
+
+
+@query(r"""SELECT page_id, r AS ref, NOT contains(r, '://') AND regexp_matches(r, '^[A-Za-z]*:') AS is_action FROM (SELECT page_id, unnest(list_concat(regexp_extract_all(html, 'href="([^"]*)"', 1), ['mailto:a@b', ':x', url])) AS r FROM pages)""")
+def non_uri_action(spark, d):
+    refs = F.concat(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1), F.array(F.lit("mailto:a@b"), F.lit(":x"), F.col("url")))
+    return read(spark, d, "pages").select("page_id", F.explode(refs).alias("ref")).select("page_id", "ref", U.is_non_uri_action(F.col("ref")).alias("is_action"))
+
+
+@query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))), '|') AS links FROM pages""")
+def extract_links(spark, d):
+    return read(spark, d, "pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))), "|").alias("links"))
+
+
+@query(f"WITH {LINKS} SELECT url, to_url FROM l")
+def compose_root_relative_links(spark, d):
+    return page_links(spark, d).select("url", "to_url")
+
+
+@query(f"WITH {LINKS}, x AS (SELECT * EXCLUDE (is_cross_site), (host <> to_host OR port <> to_port) AS is_cross_site FROM l) SELECT url, count(*) FILTER (WHERE is_cross_site) AS n_cross, count(*) FILTER (WHERE NOT is_cross_site) AS n_internal FROM x GROUP BY url")
+def cross_site_split(spark, d):
+    return page_links(spark, d).groupBy("url").agg(F.count(F.when(F.col("is_cross_site"), 1)).alias("n_cross"), F.count(F.when(~F.col("is_cross_site"), 1)).alias("n_internal"))
+
+
+@query(f"WITH {LINKS} SELECT to_url, is_cross_site, count(*) AS n FROM l GROUP BY ALL")
+def backlink_counts(spark, d):
+    return page_links(spark, d).groupBy("to_url", "is_cross_site").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EDGES}, t AS (SELECT dst FROM e GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1) SELECT true AS is_cross_site, count(*) AS n, array_to_string(list_sort(list(src)), '|') AS urls FROM e WHERE dst = (SELECT dst FROM t)")
+def backlinks(spark, d):
+    e = path_edges(spark, d)
+    top = e.groupBy("dst").count().orderBy(F.desc("count"), "dst").limit(1)
+    one = e.join(F.broadcast(top.select("dst")), "dst")  # top: one row
+    links = one.select(F.col("src").alias("url"), F.lit("top").alias("to_url"), F.lit(True).alias("is_cross_site"))
+    return G.backlinks(links, "top").select("is_cross_site", "n", F.array_join("urls", "|").alias("urls"))
+
+
+_DOC_LINKS = "k AS (SELECT url, lead(url, 3) OVER (ORDER BY doc_id) AS to_url FROM p), lk AS (SELECT *, true AS is_cross_site FROM k WHERE to_url IS NOT NULL)"
+
+
+def doc_links(spark, d) -> DataFrame:
+    """A link from each document to the third after it, by doc_id."""
+    p = doc_pages(spark, d).select("doc_id", "url")
+    return p.join(p.select((F.col("doc_id") - 3).alias("doc_id"), F.col("url").alias("to_url")), "doc_id").select("url", "to_url", F.lit(True).alias("is_cross_site"))
+
+
+@query(f"WITH {DOC_PAGES}, {_DOC_LINKS}, m AS (SELECT url FROM p WHERE content_type = 'text/es') SELECT lk.url, p.content_type, p.size FROM m JOIN lk ON m.url = lk.to_url JOIN p ON p.url = m.url")
+def base_set_join(spark, d):
+    p = doc_pages(spark, d)
+    return S.base_set(p.where("content_type = 'text/es'").select("url"), doc_links(spark, d), p).select("url", "content_type", "size")
+
+
+@query(f"WITH {DOC_PAGES}, {_DOC_LINKS}, m AS (SELECT url, content_type, size FROM p WHERE content_type = 'text/es'), b AS (SELECT lk.url, p.content_type, p.size FROM m JOIN lk ON m.url = lk.to_url JOIN p ON p.url = m.url) SELECT * FROM m UNION ALL SELECT * FROM b WHERE url NOT IN (SELECT url FROM m)")
+def graph_nodes_first_wins(spark, d):
+    p = doc_pages(spark, d).select("url", "content_type", "size", "content_hash")
+    root = p.where("content_type = 'text/es'")
+    return S.first_wins(root, S.base_set(root, doc_links(spark, d), p)).select("url", "content_type", "size")
+
+
+@query(f"WITH {DOC_PAGES}, {_DOC_LINKS}, m AS (SELECT url FROM p WHERE content_type = 'text/es'), n AS (SELECT url FROM m UNION SELECT lk.url FROM m JOIN lk ON m.url = lk.to_url), e AS (SELECT url AS src, to_url AS dst FROM lk WHERE url IN (FROM n) AND to_url IN (FROM n)) SELECT src, dst, sum(k)::bigint AS k FROM (SELECT src, dst, 1 AS k FROM e WHERE src IN (FROM m) UNION ALL SELECT src, dst, 1 FROM e WHERE dst IN (FROM m)) GROUP BY ALL")
+def edge_multiset(spark, d):
+    p, links = doc_pages(spark, d), doc_links(spark, d)
+    root = p.where("content_type = 'text/es'").select("url")
+    nodes = S.first_wins(root, S.base_set(root, links, p).select("url"))
+    return G.subgraph_edges(root, nodes, links).groupBy("src", "dst").agg(F.count("*").alias("k"))
+
+
+@query(f"WITH {EDGES} SELECT node, sum(i)::bigint AS indeg, sum(o)::bigint AS outdeg FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY node")
+def degrees(spark, d):
+    return G.degrees(path_edges(spark, d))
+
+
+def _hits_sql() -> str:
+    out = f"WITH {EDGES}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), h0 AS (SELECT node, 1.0::double / (SELECT count(*) FROM n) AS auth, 1.0::double / (SELECT count(*) FROM n) AS hub FROM n)"
+    for i in range(ITERATIONS):
+        out += f""", a{i} AS (SELECT dst AS node, sum(hub) AS a FROM e JOIN h{i} ON src = node GROUP BY dst), b{i} AS (SELECT src AS node, sum(auth) AS h FROM e JOIN h{i} ON dst = node GROUP BY src),
+r{i} AS (SELECT node, CASE WHEN coalesce(a, 0) = 0 THEN auth ELSE a END AS auth, CASE WHEN coalesce(h, 0) = 0 THEN hub ELSE h END AS hub FROM h{i} LEFT JOIN a{i} USING (node) LEFT JOIN b{i} USING (node)),
+h{i + 1} AS (SELECT node, auth / (SELECT greatest(sum(auth), 1) FROM r{i}) AS auth, hub / (SELECT greatest(sum(hub), 1) FROM r{i}) AS hub FROM r{i})"""
+    return out + f" SELECT node, round(auth, 6) AS score FROM h{ITERATIONS}"
+
+
+@query(_hits_sql())
+def hits_k_iters(spark, d):
+    e = G.cut(path_edges(spark, d))
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return G.hits(nodes, e, ITERATIONS, exact_steps=True).select("node", F.round("score", 6).alias("score"))
+
+
+def _salsa_sql() -> str:
+    out = f"""WITH {EDGES}, g AS (SELECT node, sum(i) > sum(o) AS is_auth FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY node),
+x AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS n_out, count(*) OVER (PARTITION BY dst) AS n_in FROM e JOIN g a ON src = a.node JOIN g b ON dst = b.node WHERE a.is_auth <> b.is_auth),
+s0 AS (SELECT node, is_auth, 1.0::double / count(*) OVER (PARTITION BY is_auth) AS score FROM g)"""
+    for i in range(ITERATIONS):
+        out += f""", u{i} AS (SELECT src, sum(score / n_in) / max(n_out) AS v FROM x JOIN s{i} ON dst = node GROUP BY src), d{i} AS (SELECT dst, sum(score / n_out) / max(n_in) AS v FROM x JOIN s{i} ON src = node GROUP BY dst),
+a{i} AS (SELECT x.dst AS node, sum(v) AS va FROM x JOIN u{i} USING (src) GROUP BY x.dst), b{i} AS (SELECT x.src AS node, sum(v) AS vh FROM x JOIN d{i} USING (dst) GROUP BY x.src),
+s{i + 1} AS (SELECT node, is_auth, coalesce(CASE WHEN is_auth THEN va ELSE vh END, 0) / (SELECT greatest(sum(score), 1) FROM s{i}) AS score FROM s{i} LEFT JOIN a{i} USING (node) LEFT JOIN b{i} USING (node))"""
+    return out + f" SELECT node, round(score, 6) AS score FROM s{ITERATIONS}"
+
+
+@query(_salsa_sql())
+def salsa_k_iters(spark, d):
+    e = G.cut(path_edges(spark, d))
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return G.salsa(nodes, e, ITERATIONS, exact_steps=True).select("node", F.round("score", 6).alias("score"))
+
+
+# --- reports -------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DOC_PAGES} SELECT count(DISTINCT lower(domain_name)) AS n_domains, count(*) AS n_pages FROM p WHERE content_body IS NOT NULL")
+def stat_domains_pages(spark, d):
+    return R.domains_and_pages(doc_pages(spark, d))
+
+
+@query(f"WITH {DOC_PAGES}, c AS (SELECT CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN '' ELSE content_type END AS content_type FROM p) SELECT CASE WHEN content_type = '' THEN '<empty string>' ELSE content_type END AS content_type, count(*) AS n FROM c WHERE content_type IS NOT NULL GROUP BY c.content_type")
+def stat_content_type(spark, d):
+    kind = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("content_type"))
+    return R.content_types(doc_pages(spark, d).withColumn("content_type", kind))
+
+
+_HOSTS = "SELECT DISTINCT {} AS domain_name, CASE WHEN url LIKE 'https%' THEN 443 ELSE 80 END AS port FROM pages"
+
+
+def page_hosts(spark, d) -> DataFrame:
+    u = U.parse_url(F.col("url"))
+    return read(spark, d, "pages").select(F.initcap(u["host"]).alias("domain_name"), U.url_port(u).alias("port"))
+
+
+@query(_HOSTS.format("upper(regexp_extract(url, '^[a-z]+://([^:/]*)', 1)[1]) || regexp_extract(url, '^[a-z]+://([^:/]*)', 1)[2:]"))
+def known_hosts_raw(spark, d):
+    return R.known_hosts(page_hosts(spark, d), lower=False)
+
+
+@query(_HOSTS.format("lower(regexp_extract(url, '^[a-z]+://([^:/]*)', 1))"))
+def known_hosts_lower(spark, d):
+    return R.known_hosts(page_hosts(spark, d))
+
+
+@query("SELECT 'https://' || h || '/' AS url FROM (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^:/]*)', 1)) AS h, url LIKE 'https%' AS s FROM pages) WHERE s")
+def host_urls(spark, d):
+    return R.host_urls(R.known_hosts(page_hosts(spark, d)).where("port = 443"), "https")
+
+
+@query(f"WITH {DOC_PAGES} SELECT url FROM p WHERE doc_id % 4 = 1")
+def known_feeds(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("gemsub", "atom", "rss", "twtxt"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return R.known_feeds(doc_pages(spark, d).withColumn("feed_type", kind), "atom")
+
+
+@query("SELECT regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/.well-known/security.txt' AS url FROM pages WHERE page_id % 3 = 0")
+def known_security_txt(spark, d):
+    u = F.when(F.col("page_id") % 3 == 0, F.concat(F.regexp_extract("url", "^([a-z]+://[^/]+)", 1), F.lit("/.well-known/security.txt"))).otherwise(F.col("url"))
+    return R.known_security_txt(read(spark, d, "pages").select(u.alias("url"), F.lit("text/plain").alias("content_type")))
+
+
+_REDIRECTS = "r AS (SELECT url AS from_url, lead(url) OVER (ORDER BY page_id) AS to_url, page_id FROM pages), rd AS (SELECT from_url, to_url FROM r WHERE page_id % 4 <> 3 AND to_url IS NOT NULL)"
+
+
+def redirect_table(spark, d) -> DataFrame:
+    p = read(spark, d, "pages").select("page_id", "url")
+    return p.join(p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("to_url")), "page_id").where("page_id % 4 <> 3").select(F.col("url").alias("from_url"), "to_url")
+
+
+@query(f"WITH {_REDIRECTS} SELECT * FROM rd")
+def perma_redirects(spark, d):
+    return R.perma_redirects(redirect_table(spark, d))
+
+
+@query(f"WITH RECURSIVE {_REDIRECTS}, w AS (SELECT url, url AS target, 0 AS n_hops FROM pages UNION ALL SELECT w.url, to_url, n_hops + 1 FROM w JOIN rd ON target = from_url WHERE n_hops < 5) SELECT url, arg_max(target, n_hops) AS target, max(n_hops) AS n_hops FROM w GROUP BY url")
+def redirect_chain_5(spark, d):
+    return L.follow_redirects(read(spark, d, "pages"), redirect_table(spark, d))
+
+
+@query(f"WITH {DOC_PAGES} SELECT '[' || string_agg('{{\"url\":\"' || url || '\"}}', ',' ORDER BY url) || ']' AS json FROM p WHERE size < 300")
+def json_report(spark, d):
+    from lanternfish.sources.tables import as_json_array
+
+    return as_json_array(doc_pages(spark, d).where("size < 300").select("url"), ["url"])
+
+
+# --- crawl log, lifecycle, policy ----------------------------------------------------------------------------------------------
+
+_LOG = "c AS (SELECT user_id, max(ts) AS last_crawled_at, max(ts) FILTER (WHERE event_type <> 'error') AS last_crawl_success_at, min(ts) AS first_seen_at FROM events GROUP BY user_id), nw AS (SELECT max(ts) AS now FROM events)"
+
+
+def crawl_log(spark, d) -> DataFrame:
+    """Hosts of events with their times and, in column now, the log's last time."""
+    e = read(spark, d, "events")
+    c = e.groupBy("user_id").agg(F.max("ts").alias("last_crawled_at"), F.max(F.when(F.col("event_type") != "error", F.col("ts"))).alias("last_crawl_success_at"), F.min("ts").alias("first_seen_at"))
+    return c.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))  # one row
+
+
+@query(f"WITH {_LOG} SELECT count(*) AS n_all, count(*) FILTER (WHERE last_crawled_at < now - INTERVAL 3 DAY OR last_crawled_at IS NULL) AS n_due FROM c, nw")
+def index_status_stale(spark, d):
+    due = L.older(F.col("last_crawled_at"), F.col("now"), L.STALE) | F.col("last_crawled_at").isNull()
+    return crawl_log(spark, d).agg(F.count("*").alias("n_all"), F.count(F.when(due, 1)).alias("n_due"))
+
+
+@query("SELECT user_id AS host, (user_id % 3)::int AS port, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) > 3")
+def host_timeouts_over_3(spark, d):
+    log = read(spark, d, "events").select(F.col("user_id").alias("host"), (F.col("user_id") % 3).cast("int").alias("port"), (F.col("event_type") == "error").alias("failed"))
+    return P.host_timeouts(log)
+
+
+@query(f"WITH {_LOG} SELECT user_id::varchar AS url FROM c, nw WHERE last_crawled_at < now - INTERVAL 3 DAY ORDER BY last_crawled_at, user_id::varchar LIMIT 360")
+def frontier_batch(spark, d):
+    pages = crawl_log(spark, d).select(F.col("user_id").cast("string").alias("url"), "last_crawled_at", F.lit(None).cast("timestamp_ntz").alias("last_queued_at"), "now")
+    return L.claim_batch(pages, F.col("now"))[0]
+
+
+@query(f"WITH {_LOG} SELECT user_id FROM c, nw WHERE NOT coalesce(last_crawl_success_at < now - INTERVAL 5 DAY, false)")
+def expire_after_5_days(spark, d):
+    return L.expire(crawl_log(spark, d), F.col("now"), "INTERVAL 5 DAYS").select("user_id")
+
+
+@query(f"WITH {_LOG} SELECT user_id, strftime(last_crawled_at, '%Y-%m-%d %H:%M:%S') AS shown FROM c")
+def crawl_times(spark, d):
+    return crawl_log(spark, d).select("user_id", F.date_format("last_crawled_at", "yyyy-MM-dd HH:mm:ss").alias("shown"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'insert' WHEN doc_id % 3 = 0 THEN 'update' ELSE 'touch' END AS action FROM documents")
+def change_detection_skip(spark, d):
+    t = read(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("url"), F.md5("text").alias("h"))
+    old = t.where("doc_id % 10 <> 9").select("url", F.col("h").alias("raw_content_hash"), F.col("h").alias("indexed_content_hash"))
+    h = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("new"), "h")).otherwise(F.col("h"))
+    return L.changed(old, t.select("doc_id", "url", h.alias("raw_content_hash"), h.alias("indexed_content_hash"))).select("doc_id", "action")
+
+
+@query(f"WITH {DOC_PAGES} SELECT url, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS who FROM p")
+def insert_if_absent(spark, d):
+    p = doc_pages(spark, d)
+    return L.insert_if_absent(p.where("doc_id % 2 = 0").select("url", F.lit("old").alias("who")), p.select("url", F.lit("new").alias("who")), ["url"])
+
+
+@query(f"WITH {_REDIRECTS} SELECT from_url, CASE WHEN ascii(right(from_url, 1)) % 2 = 0 THEN 'b' ELSE to_url END AS to_url FROM rd")
+def redirect_upsert(spark, d):
+    r = redirect_table(spark, d)
+    new = r.where(F.ascii(F.right("from_url", F.lit(1))) % 2 == 0).select("from_url", F.explode(F.array(F.struct(F.lit(1).alias("n"), F.lit("a").alias("to_url")), F.struct(F.lit(2).alias("n"), F.lit("b").alias("to_url")))).alias("x")).select("from_url", "x.to_url", "x.n")
+    return L.upsert(r, new, ["from_url"], "n")
+
+
+@query(f"WITH {LINKS} SELECT to_url, count(*) AS n FROM (SELECT url, to_url FROM l WHERE url NOT LIKE 'http://%' UNION ALL SELECT url, 'replaced' FROM pages WHERE url LIKE 'http://%') GROUP BY to_url")
+def replace_links(spark, d):
+    new = read(spark, d, "pages").where("url like 'http://%'").select("url", F.lit("replaced").alias("to_url"))
+    return L.replace_rows(page_links(spark, d).select("url", "to_url"), new, ["url"]).groupBy("to_url").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id FROM pages WHERE url NOT LIKE 'https://%/en/%'")
+def purge_like(spark, d):
+    return L.purge(read(spark, d, "pages"), "https://%/en/%", ["url"]).select("page_id")
+
+
+@query("SELECT url, regexp_extract(url, '^[a-z]+://([^:/]*)', 1) IN ('example.com', 'example.org', 'example.net', 'example.io', 'example.us', 'example.eu', 'example.gov', 'example.space') AS blocked FROM pages")
+def blacklist_domain(spark, d):
+    return read(spark, d, "pages").select("url", U.parse_url(F.col("url"))["host"].isin(*P.BLOCKED_HOSTS).alias("blocked"))
+
+
+@query()
+def blacklist_all(spark, d):
+    u = U.parse_url(F.col("url"))
+    return read(spark, d, "pages").select("url", P.built_in(F.col("url"), u["host"], u["path"]).alias("blocked"))
+
+
+@query(r"SELECT page_id, len(q) >= 3 AND len(list_filter(list_distinct(q), lambda a: len(list_filter(q, lambda b: b = a)) >= 3)) > 0 AS repeats FROM (SELECT page_id, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) || CASE WHEN page_id % 2 = 0 THEN '/en/en/en' ELSE '' END, '/'), lambda x: x <> '') AS q FROM pages)")
+def path_repeat_guard(spark, d):
+    path = F.concat(U.parse_url(F.col("url"))["path"], F.when(F.col("page_id") % 2 == 0, "/en/en/en").otherwise(""))
+    return read(spark, d, "pages").select("page_id", P.repeats_parts(path).alias("repeats"))
+
+
+@query(r"SELECT page_id, page_id % 2 = 0 AS has_control FROM pages")
+def control_char_guard(spark, d):
+    return read(spark, d, "pages").select("page_id", U.has_control(F.concat("url", F.when(F.col("page_id") % 2 == 0, "\x01").otherwise(""))).alias("has_control"))
+
+
+@query("WITH q AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS path FROM pages) SELECT page_id, rule, path = rule OR path = rule || '/' OR (length(path) > length(rule) + 1 AND starts_with(path, rule) AND (path[length(rule) + 1] = '/' OR rule LIKE '%/')) AS blocked FROM q, (VALUES ('/en'), ('/en/'), ('/fr/1'), ('/')) v(rule)")
+def robots_prefix_block(spark, d):
+    p = read(spark, d, "pages").select("page_id", U.parse_url(F.col("url"))["path"].alias("path"), F.explode(F.array(*map(F.lit, ("/en", "/en/", "/fr/1", "/")))).alias("rule"))
+    return p.select("page_id", "rule", plain_rule_blocks(F.col("path"), F.col("rule")).alias("blocked"))
+
+
+_ART = "|".join(("\\" if c in r"\.^$|?*+()[]{}-/#&" else "") + c + "{4}" for c in map(chr, range(33, 127)) if c not in "'")
+
+
+@query(f"SELECT doc_id, regexp_matches(text, '{_ART}|''{{4}}') OR regexp_matches(text, '[☆★░█⣿⡇⢀┼╭]') OR contains(text, '(_-<') OR contains(text, '_ _ _ _') AS is_art FROM documents")
+def ascii_art_flag(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.is_ascii_art(F.col("text")).alias("is_art"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) > 1000 THEN left(text, 1000) || '...' ELSE text END AS title FROM documents")
+def title_truncate(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.truncate_title(F.col("text")).alias("title"))
+
+
+@query("SELECT doc_id, 'text/gemini' AS type, lang, 'utf-8' AS charset FROM documents")
+def mime_parse(spark, d):
+    meta = F.concat(F.lit(" text/gemini ; lang="), "lang", F.lit("; charset = utf-8;x"))
+    m = read(spark, d, "documents").select("doc_id", T.mime_type(meta).alias("type"), T.mime_params(meta).alias("p"))
+    return m.select("doc_id", "type", F.col("p")["lang"].alias("lang"), F.col("p")["charset"].alias("charset"))
+
+
+@query("SELECT url, CASE WHEN n = 0 THEN '[]' ELSE '[\"' || array_to_string(l, '\",\"') || '\"]' END AS json FROM (SELECT url, list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS l, len(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS n FROM pages)")
+def json_link_arrays(spark, d):
+    links = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)))
+    return read(spark, d, "pages").select("url", F.to_json(F.from_json(F.to_json(links), "array<string>")).alias("json"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::bigint AS k FROM events")
+def json_props(spark, d):
+    return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query()
+def markup_documents(spark, d):
+    from lanternfish.functions.gemtext import document_of
+
+    source = F.concat(F.lit("# "), "source", F.lit("\n=> /a/1 2024-01-01 x\n=> /a/2 2024-01-02 y\n=> /a/3 2024-01-03 z\n"), "text")
+    m = read(spark, d, "documents").select("doc_id", document_of(source).alias("m"))
+    return m.select("doc_id", "m.title", F.length("m.text").alias("n_chars"), F.size("m.links").alias("n_links"), "m.is_feed")
+
+
+@query()
+def full_text_search(spark, d):
+    p = doc_pages(spark, d).withColumns({"indexed_content_hash": F.col("content_hash"), "last_crawl_success_at": F.lit(None).cast("timestamp_ntz")})
+    return S.search(p, S.postings(p).where(F.col("term").isin(*TERMS)), doc_links(spark, d), " ".join(TERMS) + " domain:src3.test domain:src1.test").select("url", F.round("score", 4).alias("score"), "size", "preview")
