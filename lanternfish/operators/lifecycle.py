@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lanternfish.functions import gemtext as G
 from lanternfish.functions import text as T
 from lanternfish.functions import urls as U
+from lanternfish.operators.graph import cut
 
 STALE, LEASE, ROBOTS_FRESH, EXPIRE = "INTERVAL 3 DAYS", "INTERVAL 5 MINUTES", "INTERVAL 2 DAYS", "INTERVAL 30 DAYS"
 # fixed values: types whose text is kept as it is
@@ -125,7 +126,7 @@ def link_rows(pages: DataFrame, protocols: tuple[str, ...] = ("gemini",), max_by
 
 def crawl_batch(pages: DataFrame, links: DataFrame, responses: DataFrame, now: Column, protocols: tuple[str, ...] = ("gemini",)) -> tuple[DataFrame, DataFrame]:
     """(pages, links) after responses: unchanged pages are touched, changed ones replaced with their links, errors noted, new urls enqueued, expired pages dropped."""
-    got = extract_responses(responses)
+    got = cut(extract_responses(responses))  # used several times, and made by Python
     judged = changed(pages, got)
     fine = F.col("error").isNull()
     fresh_links = link_rows(judged.where(fine & (F.col("action") != "touch")), protocols)
