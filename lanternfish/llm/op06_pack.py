@@ -2,7 +2,7 @@
 
 Token ids of a document, then END, are cut into pieces of CONTEXT ids where they are longer. The histogram of piece lengths (CONTEXT
 numbers at most, whatever the corpus) goes to the driver. There all patterns of up to three lengths that fill a sequence exactly are
-enumerated, repeat counts are fitted to the histogram by accelerated projected gradients, rounded, clipped to what there is, and the
+enumerated, repeat counts are fitted to the histogram by coordinate descent, rounded, clipped to what there is, and the
 residual is packed best fit decreasing, many equal bins at a time. The plan says for each length which ranks go to which sequence
 and offset; it holds at most one entry for each pattern and place, a number bounded by CONTEXT alone.
 
@@ -55,46 +55,50 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, context: int = CONTEX
     return C.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECE + (", ids binary" if ids else ""))
 
 
-def fit_patterns(hist: np.ndarray, context: int = CONTEXT, steps: int = 150) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of one to three lengths that sum to context, with rounded repeat counts that hist (index: length) allows."""
+def fit_patterns(hist: np.ndarray, context: int = CONTEXT, rounds: int = 3) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of one to three lengths that sum to context, with rounded repeat counts that hist (index: length) allows.
+
+    min |A x - hist|, x >= 0, by coordinate descent from zero: each pattern in turn takes the step that is best for it, which leaves
+    few patterns with many repeats.
+    """
     have = np.flatnonzero(hist)
     i, j = np.meshgrid(have, have, indexing="ij")
     k = context - i - j
     ok = (i >= j) & (k >= 0) & (j >= k)
     i, j, k = i[ok], j[ok], k[ok]
     ok = (k == 0) | (hist[k] > 0)
-    i, j, k = i[ok], j[ok], k[ok]
+    order = np.lexsort((-j[ok], -i[ok]))  # long ones first, as they fit in few patterns
+    patterns = list(zip(i[ok][order].tolist(), j[ok][order].tolist(), k[ok][order].tolist()))
+    r, x = hist.tolist(), [0.0] * len(patterns)
+    r[0] = 0.0
+    for _ in range(rounds):
+        for p, (a, b, c) in enumerate(patterns):
+            # column of A: how often each length is in the pattern; length 0 is none
+            if c:
+                norm = 3 if a != b and b != c else 9 if a == c else 5
+                step = (r[a] + r[b] + r[c]) / norm
+            else:
+                step = (r[a] + r[b]) / (2 if a != b else 4)
+            if step < 0 and step < -x[p]:
+                step = -x[p]
+            if step:
+                x[p] += step
+                r[a] -= step
+                r[b] -= step
+                if c:
+                    r[c] -= step
+    left = hist.copy()
     out = [((context,), int(hist[context]))] if hist[context] else []
-    if len(i):
-        # columns: unit weights of the lengths, repeated lengths twice; k = 0 counts for nothing
-        goal = hist.astype(float)
-        goal[[0, context]] = 0
-        x, y, t = np.zeros(len(i)), np.zeros(len(i)), 1.0
-        three = k > 0
-        step = 1.0 / (3.0 * np.bincount(np.concatenate([i, j, k[three]]), minlength=context + 1)[have].max())
-
-        def made(x: np.ndarray) -> np.ndarray:
-            m = np.bincount(i, x, context + 1) + np.bincount(j, x, context + 1) + np.bincount(k, x, context + 1)
-            m[0] = 0
-            return m
-
-        for _ in range(steps):
-            r = made(y) - goal
-            r[0] = 0
-            new = np.maximum(0, y - step * (r[i] + r[j] + r[k]))
-            t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-            y, x, t = new + (t - 1) / t2 * (new - x), new, t2
-        left = hist.copy()
-        for p in np.argsort(-x, kind="stable"):
-            n = int(x[p] + 0.5)
-            if n < 1:
-                break
-            one = tuple(int(v) for v in (i[p], j[p], k[p]) if v)
-            n = min([n, *(int(left[v]) // one.count(v) for v in one)])
-            if n > 0:
-                for v in one:
-                    left[v] -= n
-                out.append((one, n))
+    for p in sorted(range(len(x)), key=x.__getitem__, reverse=True):
+        n = int(x[p] + 0.5)
+        if n < 1:
+            break
+        one = tuple(v for v in patterns[p] if v)
+        n = min([n, *(int(left[v]) // one.count(v) for v in one)])
+        if n > 0:
+            for v in one:
+                left[v] -= n
+            out.append((one, n))
     return out
 
 
