@@ -66,14 +66,18 @@ def takes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Rows alike in doc_id, source and text are interchangeable."""
-    names = [C.fresh(docs, x) for x in ("_id", "_row", "_source", "_rank", "_epochs", "_hash", "_nth")]
-    t = takes(docs).select("doc_id", "row", "source", F.row_number().over(Window.partitionBy("doc_id", "row", "source").orderBy("epochs")), "epochs").toDF(*names[:5])
-    h, nth = names[5:]
-    d = docs.withColumn(h, F.xxhash64("text"))
-    d = d.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", h, "source").orderBy(F.lit(1))))
-    d = d.join(t, d["doc_id"].eqNullSafe(F.col(names[0])) & (F.col(h) == F.col(names[1])) & d["source"].eqNullSafe(F.col(names[2])) & (F.col(nth) == F.col(names[3])))
+    # plain equal keys, so that the window and the join share one shuffle of the texts
+    keys = lambda text_hash: [text_hash, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.concat(F.when(F.col("doc_id").isNull(), "n").otherwise("d"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")))]
+    ours = [C.fresh(docs, x) for x in ("_k0", "_k1", "_k2", "_nth")]
+    theirs = [C.fresh(docs, x) for x in ("_t0", "_t1", "_t2", "_rank", "_epochs")]
+    t = takes(docs)
+    t = t.select(*[k.alias(x) for k, x in zip(keys(F.col("row")), theirs)], F.col("epochs").alias(theirs[4]))
+    t = t.withColumn(theirs[3], F.row_number().over(Window.partitionBy(*theirs[:3]).orderBy(theirs[4])))
+    d = docs.withColumns(dict(zip(ours, keys(F.xxhash64("text")))))
+    d = d.withColumn(ours[3], F.row_number().over(Window.partitionBy(*ours[:3]).orderBy(F.lit(1))))
+    d = d.join(t, [F.col(a) == F.col(b) for a, b in zip(ours, theirs)])
     # a row taken k times comes k times
-    return d.where(F.col(names[4]) > 0).withColumn(h, F.explode(F.array_repeat(F.lit(1), F.col(names[4]).cast("int")))).select(*docs.columns)
+    return d.where(F.col(theirs[4]) > 0).withColumn(ours[0], F.explode(F.array_repeat(F.lit(1), F.col(theirs[4]).cast("int")))).select(*docs.columns)
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
