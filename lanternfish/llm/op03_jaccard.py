@@ -33,8 +33,8 @@ from lanternfish.llm import common as C
 WIDTH = 5
 PERCENT = 80
 FREQUENT = 1 << 17
-WINDOW = 1 << 21
-MIN_IN_WINDOW = 3
+WINDOW = 1 << 22
+MIN_IN_WINDOW = 2
 STARS = 1
 #: Words and shingles are hashed as polynomials with odd multipliers modulo 2 ** 64, each followed by a mix of its bits.
 _BYTE, _WORD = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
@@ -438,8 +438,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is not the smallest of its component; of rows that share doc_id all stay."""
-    found = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found.toDF(C.fresh(docs, "_gone")), F.col("doc_id").cast("long") == F.col(C.fresh(docs, "_gone")), "left_anti")
+    name = C.fresh(docs, "_gone")
+    # written, so that its size is known: broadcast while small, and then no text is shuffled
+    gone = C.materialize(jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
