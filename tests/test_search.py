@@ -131,3 +131,11 @@ def test_sources(spark, tmp_path):
     tables.write_snapshot(d, str(tmp_path), "t", 1)
     assert spark.read.parquet(f"{tmp_path}/t/v00000001").count() == 2
     assert tables.as_json_array(d.where("id > 9"), ["id"]).first()["json"] == "[]"
+
+
+def test_blocked_urls(spark):
+    from lanternfish.operators.blocked_urls import blocked_urls
+
+    rules = P.prefix_rules(blocked_urls(spark))
+    urls = spark.createDataFrame([("gemini://taz.de/",), ("gemini://caolan.uk/weather/xy",), ("gemini://caolan.uk/",), ("gemini://geddit.pitr.ca/post",)], "url string")
+    assert {r["url"] for r in P.blocked_by_prefix(urls, rules).collect()} == {"gemini://taz.de/", "gemini://caolan.uk/weather/xy", "gemini://geddit.pitr.ca/post"}
