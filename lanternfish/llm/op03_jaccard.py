@@ -35,6 +35,8 @@ PERCENT = 80
 FREQUENT = 1 << 17
 WINDOW = 1 << 22
 MIN_IN_WINDOW = 2
+WINDOW_DOCS = 8192
+NARROW_ROWS = 50_000
 STARS = 1
 #: Words and shingles are hashed as polynomials with odd multipliers modulo 2 ** 64, each followed by a mix of its bits.
 _BYTE, _WORD = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
@@ -166,7 +168,8 @@ def frequent(docs: DataFrame, width: int = WIDTH, limit: int = FREQUENT) -> tupl
         if held:
             yield counted()
 
-    found = C.text_batches(docs).select("doc_id", "text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, docs.count() // WINDOW_DOCS)  # small partitions would see too little each
+    found = C.text_batches(docs).select("doc_id", "text").coalesce(tasks).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     rows = found.orderBy(F.desc("c"), "h").limit(limit).collect()  # limit rows at most
     h = np.array([r["h"] for r in rows], np.int64)
     place = np.arange(len(h))[::-1]
@@ -283,24 +286,26 @@ def _stream_lists(percent: int):
     return stream
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of every node of edges (a, b), as a written table: comp is the smallest node that it reaches."""
-    e = C.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    said = None
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """(node, comp) of every node of edges (a, b), as a written table: comp is the smallest node that it reaches. Tables of edges are written in parts files, if given."""
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        return C.materialize(df.coalesce(parts) if parts else df, name)
+
+    e = write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # in large, b < a; small star: the lower neighbours and the node itself go to the lowest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        old = e
-        e = C.materialize(large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct(), "edges")
+        old, e = e, write(large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct(), "edges")
         C.discard(old)
-        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == said or not now[0]:
+        # done when each node has one edge, to a node that has none
+        per = e.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1))).groupBy("a").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+        if not per.where("up > 1 or (up > 0 and down > 0)").limit(1).count():
             break
-        said = now
-    out = C.materialize(e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "components")
+    out = write(e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "components")
     C.discard(e)
     return out
 
@@ -334,10 +339,15 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         scratch.append(C.materialize(df, name))
         return scratch[-1]
 
+    def narrow(df: DataFrame, name: str) -> DataFrame:
+        """keep() for tables of a few numbers a document or fewer: as many files as documents ask for."""
+        return keep(df.coalesce(parts), name)
+
     order = spark.sparkContext.broadcast(_Order(*frequent(docs, width)))
     made = keep(_sets(docs, order, width, percent), "sets")
+    parts = min(n_parts, max(8, made.count() // NARROW_ROWS))
     full = made.where("n > 0 and doc_id is not null")
-    classes = keep(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("c"), F.min("g").alias("g"), F.min("n").alias("n")), "classes")
+    classes = narrow(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("c"), F.min("g").alias("g"), F.min("n").alias("n")), "classes")
     lists = full.select("g", "n", F.posexplode("prefix").alias("pos", "h")).withColumn("pos", F.col("pos").cast("long")).repartitionByRange(n_parts, "h", "n", "g").sortWithinPartitions("h", "n", "g")
     found = keep(lists.mapInArrow(_stream_lists(percent), "kind int, a long, b long, h long, pos long"), "lists")
     group_pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
@@ -347,7 +357,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     reps = classes.groupBy("g").agg(F.min("c").alias("r"), F.count("*").alias("k"))
     within = classes.join(reps.where("k > 1"), "g").where("c <> r").select(F.col("r").alias("a"), F.col("c").alias("b"))
     across = group_pairs.join(reps.select(F.col("g").alias("a"), F.col("r").alias("ra")), "a").join(reps.select(F.col("g").alias("b"), F.col("r").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    pairs = keep(within.union(across), "pairs")
+    pairs = narrow(within.union(across), "pairs")
     sets: DataFrame | None = None
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,8 +369,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         """Pairs that can be links by their prefixes. With o shingles in common, a's prefix holds at most n_a - o that b lacks, and all others
         of the prefix that ends first are in the other one: so both share p - (n - o) at least, for one of the two."""
         both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = keep(both, "distinct-pairs")
-        ids = keep(both.select(F.col("a").alias("doc_id")).union(both.select("b")).distinct(), "pair-ids")
+        both = narrow(both, "distinct-pairs")
+        ids = narrow(both.select(F.col("a").alias("doc_id")).union(both.select("b")).distinct(), "pair-ids")
         pre = _maybe(made.select("doc_id", "n", "prefix"), ids, ids.count()).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         pre = keep(pre, "prefixes")
         d = both.join(pre.toDF("a", "na", "pa"), "a").join(pre.toDF("b", "nb", "pb"), "b")
@@ -370,11 +380,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     def linked(pairs: DataFrame) -> DataFrame:
         """The links among pairs; sets that were not made yet are made first."""
         nonlocal sets
-        pairs = keep(near_prefixes(pairs), "near-pairs")
+        pairs = narrow(near_prefixes(pairs), "near-pairs")
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select(F.col("c").alias("doc_id")), "doc_id", "left_anti")
-        wanted = keep(wanted, "wanted")
+        wanted = narrow(wanted, "wanted")
         n = wanted.count()
         if n:
             texts = _maybe(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, n).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -382,8 +392,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             sets = more if sets is None else sets.union(more)
         return _links(pairs, sets, percent) if sets is not None else pairs
 
-    links = keep(linked(pairs), "links")
-    comps = components(links)
+    links = narrow(linked(pairs), "links")
+    comps = components(links, parts)
 
     def labelled(of: DataFrame) -> DataFrame:
         return classes.join(of.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
@@ -398,7 +408,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     # more stars, about groups that are central in that many of their shingles are listed, then about any; linear in the lists
     share = listed.groupBy("g").agg((F.count("*") / F.max("n")).alias("share"))
     for turn in range(STARS):
-        units = keep(labelled(comps).select("c", "g", "n", "comp"), "units")
+        units = narrow(labelled(comps).select("c", "g", "n", "comp"), "units")
         _, rows = open_lists(units)
         if turn == 0:
             rows = rows.join(share, "g").withColumn("score", F.col("share"))
@@ -406,13 +416,13 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             rows = rows.withColumn("score", F.xxhash64("g", F.lit(turn)).cast("double"))
         hub = rows.groupBy("h").agg(F.max(F.struct("score", "g", "comp", "n", "c", "pos")).alias("p"))
         star = rows.join(hub, "h").where(f"comp <> p.comp and {100 + percent} * least(n - pos, p.n - p.pos) >= {percent} * (n + p.n)").select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
-        new = keep(linked(star), "star-links")
+        new = narrow(linked(star), "star-links")
         links = links.union(new)
         if not new.limit(1).count():
             break
-        comps = components(comps.toDF("a", "b").union(new))
+        comps = components(comps.toDF("a", "b").union(new), parts)
 
-    units = keep(labelled(comps).select("c", "g", "n", "comp"), "units")
+    units = narrow(labelled(comps).select("c", "g", "n", "comp"), "units")
     per_unit, rows = open_lists(units)
     # the first shingle that two linked sets share leaves enough after it in both; rows that cannot have a partner in their list go first
     low = rows.groupBy("h").agg(F.min("n").alias("low"))
@@ -422,10 +432,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     same = per_unit.select("g", F.col("comp").alias("ca")).join(per_unit.select("g", F.col("comp").alias("cb")), "g").where("ca < cb").select(F.col("g").alias("ga"), "ca", F.col("g").alias("gb"), "cb")
     unit_pairs = near.union(same).distinct()
     rest = unit_pairs.join(units.select(F.col("g").alias("ga"), F.col("comp").alias("ca"), F.col("c").alias("a")), ["ga", "ca"]).join(units.select(F.col("g").alias("gb"), F.col("comp").alias("cb"), F.col("c").alias("b")), ["gb", "cb"]).select("a", "b")
-    rest = keep(rest, "rest")
-    more = keep(linked(rest), "more-links")
+    rest = narrow(rest, "rest")
+    more = narrow(linked(rest), "more-links")
     if more.limit(1).count():
-        comps = components(comps.toDF("a", "b").union(more))
+        comps = components(comps.toDF("a", "b").union(more), parts)
     every = links.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = every.select(F.col("a").alias("c")).union(every.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
     known = labelled(comps).join(degree, "c", "left").select("s1", "s2", F.col("c").alias("class_id"), F.col("comp").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
