@@ -36,7 +36,7 @@ GRADES = 3
 TELLING = 1.5
 STEPS = 200
 RIDGE = 1e-4
-MAX_FPR = 0.005
+MAX_FPR = 0.01
 SCALE = 20.0
 SHRINK = 40
 _WORD = re.compile(r"[^\W\d_]+")
