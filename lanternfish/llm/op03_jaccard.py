@@ -170,8 +170,7 @@ def frequent(docs: DataFrame, width: int = WIDTH, limit: int = FREQUENT) -> tupl
 
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, docs.count() // WINDOW_DOCS)  # small partitions would see too little each
     found = C.text_batches(docs).select("doc_id", "text").coalesce(tasks).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    rows = found.orderBy(F.desc("c"), "h").limit(limit).collect()  # limit rows at most
-    h = np.array([r["h"] for r in rows], np.int64)
+    h = found.orderBy(F.desc("c"), "h").limit(limit).select("h").toPandas()["h"].to_numpy(np.int64)  # limit rows at most
     place = np.arange(len(h))[::-1]
     order = np.argsort(h)
     return h[order], place[order]

@@ -15,6 +15,7 @@ Defined results: null and empty texts are one piece of the id END; repeated rows
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -68,11 +69,12 @@ def fit_patterns(hist: np.ndarray, context: int = CONTEXT, rounds: int = 3) -> l
     i, j, k = i[ok], j[ok], k[ok]
     ok = (k == 0) | (hist[k] > 0)
     order = np.lexsort((-j[ok], -i[ok]))  # long ones first, as they fit in few patterns
-    patterns = list(zip(i[ok][order].tolist(), j[ok][order].tolist(), k[ok][order].tolist()))
-    r, x = hist.tolist(), [0.0] * len(patterns)
+    # packed arrays: as many Python numbers would take ten times the driver's memory
+    i, j, k = (array("H", v[ok][order].astype(np.uint16).tobytes()) for v in (i, j, k))
+    r, x = hist.tolist(), array("d", bytes(8 * len(i)))
     r[0] = 0.0
     for _ in range(rounds):
-        for p, (a, b, c) in enumerate(patterns):
+        for p, (a, b, c) in enumerate(zip(i, j, k)):
             # column of A: how often each length is in the pattern; length 0 is none
             if c:
                 norm = 3 if a != b and b != c else 9 if a == c else 5
@@ -89,11 +91,11 @@ def fit_patterns(hist: np.ndarray, context: int = CONTEXT, rounds: int = 3) -> l
                     r[c] -= step
     left = hist.copy()
     out = [((context,), int(hist[context]))] if hist[context] else []
-    for p in sorted(range(len(x)), key=x.__getitem__, reverse=True):
+    for p in np.argsort(-np.frombuffer(x), kind="stable") if len(x) else ():
         n = int(x[p] + 0.5)
         if n < 1:
             break
-        one = tuple(v for v in patterns[p] if v)
+        one = tuple(v for v in (i[p], j[p], k[p]) if v)
         n = min([n, *(int(left[v]) // one.count(v) for v in one)])
         if n > 0:
             for v in one:
