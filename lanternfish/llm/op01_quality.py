@@ -6,6 +6,12 @@ cutoffs are tested from the loosest to the tightest: with n good documents of wh
 P(Binomial(n, alpha / rules) <= k) <= delta / (strata * rules), the exact (Clopper-Pearson) test. Fixed-sequence testing needs no
 correction within the grid; Bonferroni covers rules and strata. So with confidence 1 - delta, in every stratum at once, the rules
 together falsely reject at most a fraction alpha of good documents. A stratum with too few labels gets no cutoff and rejects nothing.
+These are thresholds() and the query op1_quality_rules, whose SQL says the same.
+
+joint_cuts(), the query op1_quality_joint and filter_documents() need fewer labels: all rules are tested together along one fixed path
+of steps (see turn), so alpha is not divided and a step is accepted while P(Binomial(n, alpha) <= k) <= delta / (strata + 1). Strata
+with n too small for that even at k = 0, and strata without labels, are judged by one pooled stratum, the last of the strata + 1 tests:
+the small strata together or, where these are still too few, all strata. Its bound holds for the documents pooled as a whole.
 
 Defined results: null or empty text has no words and fails the base rules; a null stratum is a stratum of its own; labels that are
 null or contradict each other for a doc_id are not used; repeated rows are judged alike, each returned; an empty table gives none.
@@ -21,6 +27,9 @@ from lanternfish.llm import common as C
 ALPHA = 0.02
 DELTA = 0.05
 GRID = 40
+#: The cutoff at which symbol_share and shout_share, which prose hardly has, go on alone along the joint path.
+LOOSE = 20
+STEPS = GRID + LOOSE - 1
 #: rule -> width of a grid step; cutoff number g stands for g * step, g = GRID is the loosest.
 RULES = {"symbol_share": 0.01, "dup_line_share": 0.02, "repeat_share": 0.0125, "shout_share": 0.02, "mean_word": 0.5}
 
@@ -68,6 +77,12 @@ def levels() -> dict[str, Column]:
     return {r: F.least(F.lit(GRID), F.greatest(F.lit(0), F.ceil(v / F.lit(RULES[r])) - 1)).cast("int") for r, v in rule_values().items()}
 
 
+def turn() -> Column:
+    """The first step of the joint path that rejects a document, STEPS + 1 for none: all rules go from GRID to LOOSE together, then symbol_share and shout_share to 1, then the others."""
+    first = lambda r, v: F.when(v >= LOOSE, GRID + 1 - v).when(v > 0, (GRID + 1 if r in ("symbol_share", "shout_share") else GRID + LOOSE) - v)
+    return F.coalesce(F.least(*[first(r, v) for r, v in levels().items()]), F.lit(STEPS + 1))
+
+
 def log_cdf(k: str, n: str, p: float) -> Column:
     """ln P(Binomial(n, p) <= k) by the recurrence of the terms in logarithms; 0 (no evidence) where k >= n * p."""
     step = f"s.lp + ln(({n} - i + 1) / i * {p!r} / (1 - {p!r}))"
@@ -76,10 +91,15 @@ def log_cdf(k: str, n: str, p: float) -> Column:
     return F.expr(f"case when {k} >= {n} * {p!r} then 0D when {k} = 0 then {n} * ln(1 - {p!r}) else aggregate(sequence(1L, {k}), {start}, (s, i) -> named_struct('lp', {step}, 'lc', {add}), s -> s.lc) end")
 
 
+def held_out(feats: DataFrame, labels: DataFrame, stratum: str, values: list[Column]) -> DataFrame:
+    """(stratum, values) of the labelled good documents that pass the base rules."""
+    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = 1 and hi = 1").select("doc_id")
+    return feats.where(~base_failed()).select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("\x00null")).alias("stratum"), *values).join(good, "doc_id", "left_semi")
+
+
 def thresholds(feats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, one cutoff level per rule or null). feats: base counts with doc_id and the stratum; labels: doc_id, quality."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = 1 and hi = 1").select("doc_id")
-    held = feats.where(~base_failed()).select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("\x00null")).alias("stratum"), *[v.alias(r) for r, v in levels().items()]).join(good, "doc_id", "left_semi")
+    held = held_out(feats, labels, stratum, [v.alias(r) for r, v in levels().items()])
     rules = list(RULES)
     # at most GRID + 1 levels a rule: counts stay small however many documents there are
     long = held.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in rules])).alias("x")).select("stratum", "x.rule", "x.level")
@@ -104,15 +124,41 @@ def verdict(feats: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFra
     return d.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~hit).drop("_stratum", *[f"cut_{r}" for r in RULES])
 
 
+def joint_cuts(feats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, last accepted step of the joint path, 0 for none) of each stratum with labels enough, and a row of null for all others."""
+    hist = held_out(feats, labels, stratum, [turn().alias("turn")]).groupBy("stratum", "turn").agg(F.count("*").alias("c"))
+    sizes = hist.groupBy("stratum").agg(F.sum("c").alias("n"))
+    tests = sizes.agg((F.count("*") + 1).alias("tests"))
+    enough = F.col("n") * F.log(F.lit(1 - alpha)) <= F.log(F.lit(delta) / F.col("tests"))
+    sizes = sizes.crossJoin(F.broadcast(tests)).select("stratum", "tests", enough.alias("own"))  # tests: one row
+    # kinds of units: 0 a stratum of its own, 1 the small strata, 2 all strata
+    unit = F.explode(F.array(F.struct(F.when(F.col("own"), F.col("stratum")).alias("stratum"), F.when(F.col("own"), 0).otherwise(1).alias("kind")), F.struct(F.lit(None).cast("string").alias("stratum"), F.lit(2).alias("kind"))))
+    long = hist.join(sizes, "stratum").select("turn", "c", "tests", unit.alias("u")).groupBy("u.stratum", "u.kind", "tests", "turn").agg(F.sum("c").alias("c"))
+    per = long.groupBy("stratum", "kind", "tests").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("turn", "c"))).alias("m"))
+    steps = per.select("stratum", "kind", "tests", "n", "m", F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("g")).select("stratum", "kind", "tests", "n", "g", F.expr("aggregate(sequence(1, g), 0L, (a, v) -> a + coalesce(m[v], 0L))").alias("k"))
+    # k grows with g, so the accepted steps are the first ones
+    passed = F.when(log_cdf("k", "n", alpha) <= F.log(F.lit(delta) / F.col("tests")), F.col("g"))
+    last = steps.groupBy("stratum", "kind", "tests", "n").agg(F.coalesce(F.max(passed), F.lit(0)).alias("last"))
+    pooled = last.agg(F.coalesce(F.max(F.when((F.col("kind") == 1) & enough, F.col("last"))), F.max(F.when(F.col("kind") == 2, F.col("last"))), F.lit(0)).alias("last"))
+    return last.where("kind = 0").select("stratum", "last").union(pooled.select(F.lit(None).cast("string"), "last"))
+
+
+def joint_verdict(feats: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
+    """feats with base_failed and kept, by joint_cuts()."""
+    own, pooled = cuts.where("stratum is not null").toDF("_stratum", "_last"), cuts.where("stratum is null").select(F.col("last").alias("_pooled"))
+    d = feats.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("\x00null"))).join(own, "_stratum", "left").crossJoin(F.broadcast(pooled))  # pooled: one row
+    return d.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (turn() > F.coalesce("_last", "_pooled"))).drop("_stratum", "_last", "_pooled")
+
+
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
     feats = C.materialize(features(docs), "quality-features")
     # written, so that its size is known: one row a stratum, broadcast while small, and texts are not shuffled by stratum
-    cuts = C.materialize(thresholds(feats, labels), "quality-cuts")
+    cuts = C.materialize(joint_cuts(feats, labels), "quality-cuts")
     C.discard(feats)
     row = C.fresh(docs, "_row")
     packed = F.struct(*[F.col(c) for c in docs.columns]).alias(row)
-    judged = verdict(features(docs, [F.col("lang"), packed]), cuts)
+    judged = joint_verdict(features(docs, [F.col("lang"), packed]), cuts)
     return judged.where("kept").select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
@@ -122,6 +168,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict(feats, cuts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_quality_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats = C.materialize(features(C.read(spark, sf_dir, "documents")), "quality-features")
+    cuts = C.materialize(joint_cuts(feats, C.read(spark, sf_dir, "labels")), "quality-cuts")
+    return joint_verdict(feats, cuts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 _BINOMIAL = """list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))))"""
 
 

@@ -6,6 +6,7 @@ from lanternfish.llm import op01_quality, op02_lines, op03_jaccard, op04_toxicit
 
 QUERIES = {
     "op1_quality_rules": op01_quality.op1_quality_rules,
+    "op1_quality_joint": op01_quality.op1_quality_joint,
     "op2_line_dedup": op02_lines.op2_line_dedup,
     "op3_ngram_jaccard": op03_jaccard.op3_ngram_jaccard,
     "op4_toxicity": op04_toxicity.op4_toxicity,

@@ -67,6 +67,17 @@ def test_quality_filter(docs, clashing, labels, nothing):
     assert q1.filter_documents(docs, labels).count() <= docs.count()
 
 
+def test_small_strata_reject(spark, docs):
+    text = lambda i, mark: " ".join(f"w{i}x{k}{mark}" for k in range(60))
+    good = [(i, text(i, ""), lang, "a", 1) for i, lang in enumerate(["en"] * 300 + ["de"] * 300 + ["fr"] * 300 + ["es"] * 100)]
+    bad = [(5000 + i, text(i, "##"), lang, "a", 1) for i, lang in enumerate(["en", "de", "fr", "es", "it"])]  # es has few labels, it has none
+    labels = spark.createDataFrame([(r[0], 1) for r in good], "doc_id long, quality int")
+    kept = {r["doc_id"] for r in q1.filter_documents(spark.createDataFrame([*good, *bad], docs.schema), labels).collect()}
+    assert kept == {r[0] for r in good}
+    cuts = {r["stratum"]: r["last"] for r in q1.joint_cuts(q1.features(spark.createDataFrame(good, docs.schema)), labels).collect()}
+    assert set(cuts) == {"en", "de", "fr", None} and cuts[None] > 0
+
+
 # 2
 
 
