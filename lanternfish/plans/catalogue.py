@@ -135,7 +135,8 @@ def dedup_same_host_or_path(spark, d):
 @query()
 def previews(spark, d):
     cut = F.pandas_udf(lambda s: s.map(lambda x: S.headline(x, [TERM])), "string")
-    return S.page_of(doc_pages(spark, d), 1, [F.col("doc_id")]).select("doc_id", T.clean_preview(cut("content_body")).alias("preview"))
+    # headline reads no more of a body than its first 4,999 characters
+    return doc_pages(spark, d).select("doc_id", T.clean_preview(cut(F.substring("content_body", 1, 4999))).alias("preview"))
 
 
 @query(rf"WITH {DOC_PAGES} SELECT content_hash, count(*) AS copies, min(doc_id) AS first_doc FROM p GROUP BY content_hash HAVING count(*) > 1")

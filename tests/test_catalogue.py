@@ -31,3 +31,13 @@ def test_same_rows(spark, name):
 
 def test_every_query_is_named():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES) and len(catalogue.QUERIES) > 50
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_preview_of_every_document(spark):
+    docs = {r["doc_id"]: r["text"] for r in catalogue.read(spark, DATA, "documents").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["preview"] for r in catalogue.QUERIES["previews"](spark, DATA).collect()}
+    assert got.keys() == docs.keys() and len(got) > 10
+    for i, text in docs.items():
+        plain = " ".join(catalogue.S.headline(text, [catalogue.TERM]).split())
+        assert got[i] == plain.lstrip("`*=># ")
