@@ -376,6 +376,13 @@ def json_report(spark, d):
     return as_json_array(doc_pages(spark, d).where("size < 300").select("url"), ["url"])
 
 
+@query(f"WITH {DOC_PAGES}, hp AS (SELECT DISTINCT domain_name, port FROM p) SELECT '[' || string_agg('{{\"domain_name\":\"' || domain_name || '\",\"port\":' || port || '}}', ',' ORDER BY domain_name, port) || ']' AS json FROM hp")
+def json_known_hosts(spark, d):
+    from lanternfish.sources.tables import as_json_array
+
+    return as_json_array(R.known_hosts(doc_pages(spark, d), lower=False), ["domain_name", "port"])
+
+
 # --- crawl log, lifecycle, policy ----------------------------------------------------------------------------------------------
 
 _LOG = "c AS (SELECT user_id, max(ts) AS last_crawled_at, max(ts) FILTER (WHERE event_type <> 'error') AS last_crawl_success_at, min(ts) AS first_seen_at FROM events GROUP BY user_id), nw AS (SELECT max(ts) AS now FROM events)"

@@ -1,5 +1,6 @@
 """Each catalogue query on the smallest tables against its SQL, where the tables are there."""
 
+import json
 import os
 
 import duckdb
@@ -29,6 +30,14 @@ def test_same_rows(spark, name):
     assert sorted([plain(r[x]) for x in cols] for r in df.collect()) == sorted([plain(r[i]) for i in at] for r in sql.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_json_report_of_all_rows(spark):
+    hosts = {r["source"] + ".test" for r in catalogue.read(spark, DATA, "documents").select("source").distinct().collect()}
+    got = json.loads(catalogue.QUERIES["json_known_hosts"](spark, DATA).first()["json"])
+    assert {x["domain_name"] for x in got} == hosts and len(got) == len(hosts)
+    test_same_rows(spark, "json_known_hosts")
+
+
 def test_every_query_is_named():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES) and len(catalogue.QUERIES) > 50
 
