@@ -67,6 +67,17 @@ def _mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def card_within(value: str, at: int) -> tuple[int, int]:
+    """Span of the longest run of whole digit groups in value, which begins at at, that is a valid card; (at, at) if there is none."""
+    groups = [g.span() for g in re.finditer(r"\d+", value)]
+    runs = [(a, b) for i, (a, _) in enumerate(groups) for _, b in groups[i:]]
+    for a, b in sorted(runs, key=lambda r: r[0] - r[1]):
+        digits = re.sub(r"\D", "", value[a:b])
+        if 13 <= len(digits) <= 19 and luhn(digits):
+            return at + a, at + b
+    return at, at
+
+
 def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, type, norm) of each entity, in order, without overlaps."""
     out = []
@@ -92,8 +103,15 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
                 continue
         else:
             norm = re.sub(r"\D", "", value) if kind != "ip" else ".".join(str(int(x)) for x in value.split("."))
-            if kind == "card" and not luhn(norm) or kind == "ip" and any(int(x) > 255 for x in value.split(".")):
+            if kind == "ip" and any(int(x) > 255 for x in value.split(".")):
                 continue
+            if kind == "card" and not luhn(norm):
+                start, end = card_within(value, start)
+                if start == end:
+                    # a card may begin in this match and end after it
+                    at = m.start() + value.index(" ") + 1 if " " in value else at
+                    continue
+                norm, at = re.sub(r"\D", "", text[start:end]), end
             if kind == "phone":
                 norm = norm[-10:]
         out.append((start, end, kind, norm))

@@ -322,6 +322,16 @@ def test_surrogates():
     assert all(x not in t for x in new) and q9.script("Ивана") == "CYRILLIC"
 
 
+def test_cards_beside_numbers():
+    card = "4845168114407329"
+    spaced = "4845 1681 1440 7329"
+    for t, c in [(f"12 {card}", card), (f"{card} 99", card), (f"7-{card}", card), (f"12 {spaced} 9", spaced), (f"1234 {spaced}", spaced), (f"1234 123-45-6789 {card}", card)]:
+        found = [(k, t[a:b]) for a, b, k, _ in q9.mentions(t)]
+        assert ("card", c) in found, t
+    assert [k for *_, k, _ in q9.mentions(f"1234 123-45-6789 {card}")] == ["ssn", "card"]
+    assert q9.mentions("1234 5678 9012 3456 7891") == []
+
+
 def test_collisions(spark, monkeypatch, docs, nothing):
     real = [("phone", str(i)) for i in range(40)]
     monkeypatch.setattr(q9, "core", lambda kind, norm, attempt=0, key=b"": str((int(norm) * 7 + attempt * 13) % 100))
