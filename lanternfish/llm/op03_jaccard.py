@@ -8,8 +8,8 @@ listed under the shingles of the prefix.
 The lists are range-partitioned by (shingle, size, group), so a shingle of very many documents is spread over tasks, and streamed:
 in each list, every group is paired with the first one of a compatible size, a number of pairs linear in the lists. Pairs are
 expanded to classes and verified on whole sets. Then only lists and groups that still hold several components are left; pairs of
-different components in them are emitted, verified and joined. So every link counts, but members of one component are not paired
-with each other. Components come from alternating large and small stars, with each round written to the shared folder.
+different components in them are emitted, verified and joined. So every component is whole, but members of one component are not
+paired with each other: n_joining_links of a class counts the links that were verified to join components, not all that it has. Components come from alternating large and small stars, with each round written to the shared folder.
 
 Which shingles are frequent is found in bounded windows over all documents and concerns speed only, as any order gives the same
 links; the list is at most FREQUENT long, and so has a size bound for the broadcast.
@@ -328,7 +328,7 @@ def _maybe(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id, n_links) of each row: n_links counts the class's verified links to others, those that joined components."""
+    """(doc_id, n_shingles, class_id, component_id, n_joining_links) of each row: n_joining_links counts the class's verified links to others, those that joined components."""
     spark = docs.sparkSession
     n_parts = C.shuffle_partitions(spark)
     scratch: list[DataFrame] = []
@@ -436,11 +436,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     if more.limit(1).count():
         comps = components(comps.toDF("a", "b").union(more), parts)
     every = links.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = every.select(F.col("a").alias("c")).union(every.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
-    known = labelled(comps).join(degree, "c", "left").select("s1", "s2", F.col("c").alias("class_id"), F.col("comp").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    degree = every.select(F.col("a").alias("c")).union(every.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_joining_links"))
+    known = labelled(comps).join(degree, "c", "left").select("s1", "s2", F.col("c").alias("class_id"), F.col("comp").alias("component_id"), F.coalesce("n_joining_links", F.lit(0)).alias("n_joining_links"))
     out = made.select("doc_id", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(known, ["s1", "s2"], "left")
     own = F.col("doc_id")
-    out = C.materialize(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("component_id", own).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard")
+    out = C.materialize(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("component_id", own).alias("component_id"), F.coalesce("n_joining_links", F.lit(0)).alias("n_joining_links")), "jaccard")
     C.discard(*scratch)
     return out
 

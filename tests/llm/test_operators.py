@@ -153,6 +153,14 @@ def test_jaccard(spark, docs, clashing, rows, nothing):
     assert kept.columns == clashing.columns and q3.near_duplicates(nothing).count() == 0 and q3.jaccard_components(nothing).count() == 0
 
 
+def test_joining_links_are_named_so(spark, docs):
+    base = [f"w{i}" for i in range(200)]
+    copies = [(i, " ".join([*base[:100], f"x{i}", *base[101:]]), "en", "a", 1) for i in range(8)]
+    got = q3.jaccard_components(spark.createDataFrame(copies, docs.schema)).collect()
+    assert {"class_id", "n_joining_links"} <= set(got[0].asDict()) and "n_links" not in got[0].asDict()
+    assert {r["component_id"] for r in got} == {0} and all(1 <= r["n_joining_links"] <= 7 for r in got)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (200, 200)]
     got = {r["node"]: r["comp"] for r in q3.components(spark.createDataFrame(chain, "a long, b long")).collect()}
