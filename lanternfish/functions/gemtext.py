@@ -114,16 +114,18 @@ def nodes_of(text: Column) -> Column:
     return parsed(text)
 
 
-def document_of(text: Column, concise: bool = True) -> Column:
+def document_of(text: Column, concise: bool = True, host: Column | None = None, protocol: str = "gemini") -> Column:
+    """Text, title, links and whether it is a feed; with a host, links to other hosts or protocols don't count for a feed."""
+
     @F.pandas_udf(DOCUMENT)
-    def made(s):
+    def made(s, hosts):
         import pandas as pd
 
         rows = []
-        for x in s:
+        for x, h in zip(s, hosts):
             nodes = parse_nodes(x)
             t, title, links = extract(nodes, concise)
-            rows.append((t, title, links, is_feed(nodes)))
+            rows.append((t, title, links, is_feed(nodes, h, protocol if h else "")))
         return pd.DataFrame(rows, columns=["text", "title", "links", "is_feed"])
 
-    return made(text)
+    return made(text, F.lit(None).cast("string") if host is None else host)

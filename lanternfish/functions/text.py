@@ -34,8 +34,30 @@ def mime_params(meta: Column) -> Column:
     return F.aggregate(parts, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != key(p)), F.create_map(key(p), value(p))))
 
 
+def first_bytes(text: Column, limit: int) -> Column:
+    """The longest beginning of text of at most limit bytes; a character is not cut."""
+    at = lambda n: F.substring(text.cast("binary"), 1, n).cast("string")
+    return F.coalesce(*[F.when(F.is_valid_utf8(at(n)), at(n)) for n in range(limit, limit - 4, -1)])
+
+
 def truncate_title(title: Column, limit: int = 1000) -> Column:
-    return F.when(F.octet_length(title) > limit, F.concat(F.left(title, F.lit(limit)), F.lit("..."))).otherwise(title)
+    return F.when(F.octet_length(title) > limit, F.concat(first_bytes(title, limit), F.lit("..."))).otherwise(title)
+
+
+def left_pad(value: Column, width: int) -> Column:
+    """Blanks in front up to width; a longer value stays whole."""
+    text = value.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit(" "))
+
+
+def ascii_lower(text: Column) -> Column:
+    """Only A-Z."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def hash_number(hexadecimal: Column) -> Column:
+    """The unsigned number of up to 16 hexadecimal digits; 0 for an empty or malformed text."""
+    return F.when(hexadecimal.rlike("^[0-9A-Fa-f]{1,16}$"), F.conv(hexadecimal, 16, 10).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
 
 
 def unsigned(text: Column) -> Column:

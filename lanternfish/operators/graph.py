@@ -10,9 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanternfish.functions import urls as U
+
 ITERATIONS = 300
 EPSILON = 1.1920929e-07
-#: Graphs with no more edges and nodes than this are ranked in memory of the driver (some tens of MB); larger ones by joins.
+#: The most edges and nodes that rank() takes into the driver's memory where it is asked to (some tens of MB).
 LOCAL_ROWS = 500_000
 
 
@@ -36,7 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut in the shared checkpoint folder: plans of iterations would grow with each turn."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lanternfish-"))
+        at = sc.getConf().get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="lanternfish-"))
     return df.checkpoint()
 
 
@@ -136,19 +141,28 @@ def local_rank(n: int, src: np.ndarray, dst: np.ndarray, algorithm: str) -> np.n
     return score
 
 
-def rank(nodes: DataFrame, edges: DataFrame, algorithm: str = "salsa") -> DataFrame:
-    """(node, score) of a query's graph; nodes are distinct."""
+def rank(nodes: DataFrame, edges: DataFrame, algorithm: str = "salsa", local: bool = False) -> DataFrame:
+    """(node, score) of a query's graph; nodes are distinct. By joins, whatever the size; local: in the driver's memory, an error above LOCAL_ROWS."""
     if algorithm not in ("hits", "salsa"):
         logging.getLogger(__name__).warning("no ranking algorithm %r; taking salsa", algorithm)
         algorithm = "salsa"
+    if not local:
+        nodes, edges = cut(nodes), cut(edges)
+        return hits(nodes, edges) if algorithm == "hits" else salsa(nodes, edges)
     some_edges, some = edges.select("src", "dst").limit(LOCAL_ROWS + 1).toPandas(), nodes.select("node").limit(LOCAL_ROWS + 1).toPandas()
-    if max(len(some_edges), len(some)) <= LOCAL_ROWS:
-        names = pd.Index(some["node"])
-        score = local_rank(len(names), names.get_indexer(some_edges["src"]), names.get_indexer(some_edges["dst"]), algorithm)
-        return nodes.sparkSession.createDataFrame(pd.DataFrame({"node": names, "score": score}), "node string, score double")
-    return hits(nodes, edges) if algorithm == "hits" else salsa(nodes, edges)
+    if max(len(some_edges), len(some)) > LOCAL_ROWS:
+        raise ValueError(f"more than {LOCAL_ROWS} edges or nodes are not ranked in memory")
+    names = pd.Index(some["node"])
+    score = local_rank(len(names), names.get_indexer(some_edges["src"]), names.get_indexer(some_edges["dst"]), algorithm)
+    return nodes.sparkSession.createDataFrame(pd.DataFrame({"node": names, "score": score}), "node string, score double")
 
 
 def backlinks(links: DataFrame, url: str) -> DataFrame:
-    """(is_cross_site, n, urls) of the pages that link to url."""
-    return links.where(F.col("to_url") == url).groupBy("is_cross_site").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("url")).alias("urls"))
+    """(is_cross_site, n, urls) of the pages that link to url: two rows, for a report of one page. backlink_rows() has a row a link."""
+    return backlink_rows(links, url).groupBy("is_cross_site").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("url")).alias("urls"))
+
+
+def backlink_rows(links: DataFrame, url: str) -> DataFrame:
+    """(url, is_cross_site) of each link to url; a url without a protocol is tried as gemini://."""
+    got = links.sparkSession.range(1).select(*[F.when(u["good"], U.format_url(u)) for u in (U.parse_url(F.lit(x)) for x in (url, "gemini://" + url))]).first()
+    return links.where(F.col("to_url").isin(list({x for x in (url, got[0] or got[1]) if x}))).select("url", "is_cross_site")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from lanternfish.functions import gemtext as G
 from lanternfish.functions import text as T
 from lanternfish.functions import urls as U
+from lanternfish.operators import policy as P
 from lanternfish.operators.graph import cut
 
-STALE, LEASE, ROBOTS_FRESH, EXPIRE = "INTERVAL 3 DAYS", "INTERVAL 5 MINUTES", "INTERVAL 2 DAYS", "INTERVAL 30 DAYS"
+STALE, LEASE, EXPIRE = "INTERVAL 3 DAYS", "INTERVAL 5 MINUTES", "INTERVAL 30 DAYS"
 # fixed values: types whose text is kept as it is
 PLAIN_TYPES = ("text/plain", "plaintext", "text/markdown", "text/x-rst")
 MARKUP_TYPE = "text/gemini"
@@ -66,14 +68,29 @@ def purge(df: DataFrame, pattern: str, columns: list[str]) -> DataFrame:
     return df.where(~reduce(or_, [F.coalesce(F.col(c).like(pattern), F.lit(False)) for c in columns]))
 
 
+def purge_index(pages: DataFrame, links: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame, int]:
+    """pages and links without urls like pattern, and the number of pages that go."""
+    left = purge(pages, pattern, ["url"])
+    return left, purge(links, pattern, ["url", "to_url"]), pages.where(F.col("url").like(pattern)).count()
+
+
 def expire(pages: DataFrame, now: Column, interval: str = EXPIRE) -> DataFrame:
     """Without pages whose last success is too long ago; one that never had any stays."""
     return pages.where(~F.coalesce(older(F.col("last_crawl_success_at"), now, interval), F.lit(False)))
 
 
-def skip_gone(pages: DataFrame, now: Column, interval: str = "INTERVAL 21 DAYS") -> Column:
-    """Pages that said they are gone (status 53) are tried again after the interval only."""
-    return (F.col("last_status") == 53) & ~older(F.col("last_crawled_at"), now, interval)
+def skip_gone(now: Column, interval: str = "INTERVAL 21 DAYS") -> Column:
+    """Pages that answered for the wrong host (status 53) are tried again after the interval only."""
+    return F.coalesce((F.col("last_status") == 53) & ~older(F.col("last_crawled_at"), now, interval), F.lit(False))
+
+
+def mark_blocked(pages: DataFrame, blocked: DataFrame, now: Column) -> DataFrame:
+    """pages where those of blocked (url) are noted as blocked, and dropped if their last success is too long ago."""
+    d = pages.join(blocked.select("url").distinct().withColumn("_blocked", F.lit(True)), "url", "left")
+    hit = F.col("_blocked").isNotNull()
+    gone = hit & F.coalesce(older(F.col("last_crawl_success_at"), now, EXPIRE), F.lit(False))
+    noted = {"last_crawled_at": F.when(hit, now).otherwise(F.col("last_crawled_at")), "last_status": F.when(hit, F.lit(0)).otherwise(F.col("last_status")), "last_meta": F.when(hit, F.lit("blocked")).otherwise(F.col("last_meta"))}
+    return d.where(~gone).withColumns(noted).select(*pages.columns)
 
 
 def follow_redirects(urls: DataFrame, redirects: DataFrame, hops: int = 5) -> DataFrame:
@@ -85,15 +102,26 @@ def follow_redirects(urls: DataFrame, redirects: DataFrame, hops: int = 5) -> Da
     return d
 
 
-def normal_only(pages: DataFrame) -> DataFrame:
-    """Without pages whose url is not in its normal form."""
-    return pages.where(U.format_url(U.parse_url(F.col("url"))) == F.col("url"))
+def is_normal(url: Column) -> Column:
+    u = U.parse_url(url)
+    return u["good"] & (U.format_url(u) == url)
+
+
+def normal_only(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Without pages whose url is not in its normal form, and without links from or to their urls; they come back in normal form when found again."""
+    odd = pages.where(~is_normal(F.col("url"))).select("url")
+    return pages.join(odd, "url", "left_anti"), links.join(odd, "url", "left_anti").join(odd.withColumnRenamed("url", "to_url"), "to_url", "left_anti").select(*links.columns)
+
 
+def changed(old: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
+    """new (url, raw_content_hash, indexed_content_hash and, if it has one, status) with action: insert, touch (nothing changed) or update.
 
-def changed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """new (url, raw_content_hash, indexed_content_hash) with action: insert, touch (nothing changed) or update."""
+    A page is touched if its raw hash is the same; a prompt (status 1x), which has no body of its own, and every page under force only if
+    both hashes are.
+    """
     known = old.select("url", F.col("raw_content_hash").alias("_r"), F.col("indexed_content_hash").alias("_i"))
-    same = (F.col("raw_content_hash") == F.col("_r")) | (F.col("indexed_content_hash") == F.col("_i"))
+    alone = F.lit(not force) & (~F.coalesce(F.col("status").between(10, 19), F.lit(False)) if "status" in new.columns else F.lit(True))
+    same = (F.col("raw_content_hash") == F.col("_r")) & (alone | (F.col("indexed_content_hash") == F.col("_i")))
     return new.join(known, "url", "left").withColumn("action", F.when(F.col("_r").isNull(), "insert").when(same, "touch").otherwise("update")).drop("_r", "_i")
 
 
@@ -104,30 +132,67 @@ def extract_responses(responses: DataFrame) -> DataFrame:
     d = d.withColumns({"charset": F.col("_params")["charset"], "lang": F.col("_params")["lang"], "_body": decode(F.col("body"), F.coalesce(F.col("_params")["charset"], F.lit("")))})
     ok, prompt = F.col("status").between(20, 29), F.col("status").between(10, 19)
     markup, plain = ok & (F.col("_type") == MARKUP_TYPE), ok & F.col("_type").isin(*PLAIN_TYPES)
-    d = d.withColumn("_doc", G.document_of(F.when(markup, F.col("_body"))))
+    d = d.withColumn("_doc", G.document_of(F.when(markup, F.col("_body")), host=F.col("_u.host")))
     title = F.when(prompt, F.col("meta")).when(markup & (F.col("_doc.title") != ""), F.col("_doc.title")).otherwise(F.col("url"))
     text = F.when(prompt, F.col("meta")).when(markup, F.col("_doc.text")).when(plain, F.col("_body")).otherwise("")
     size = F.when(markup | plain, F.octet_length("body")).otherwise(0).cast("long")
     bad = (markup | plain) & T.too_binary(F.octet_length("body"), F.octet_length("_body"))
     d = d.withColumns({"title": T.truncate_title(title), "content_body": text, "size": size, "content_type": F.when(prompt, "<gemini-request-info>").otherwise(F.col("_type")), "feed_type": F.when(ok, T.feed_type(F.col("_type"), F.col("_u.path"), F.coalesce(F.col("_doc.is_feed"), F.lit(False)) & markup))})
-    d = d.withColumns({"raw_content_hash": F.coalesce(F.md5("body"), F.lit("")), "indexed_content_hash": F.md5("content_body"), "links": F.when(markup, F.col("_doc.links")).otherwise(F.array().cast("array<string>"))})
+    d = d.withColumns({"raw_content_hash": F.md5(F.coalesce("body", F.lit(b""))), "indexed_content_hash": F.md5("content_body"), "links": F.when(markup, F.col("_doc.links")).otherwise(F.array().cast("array<string>"))})
     return d.select("url", "status", "meta", "fetched_at", F.col("_u.host").alias("host"), U.url_port(F.col("_u")).alias("port"), "content_type", "charset", "lang", "title", "content_body", "feed_type", "size", "raw_content_hash", "indexed_content_hash", "links", F.when(~ok & ~prompt, F.lit("status")).when(bad, "binary sent as text").alias("error"))
 
 
 def link_rows(pages: DataFrame, protocols: tuple[str, ...] = ("gemini",), max_bytes: int = 1024) -> DataFrame:
-    """(url, host, port, to_url, to_host, to_port, is_cross_site) of pages (url, host, port, links): actions, other protocols and very long links go, fragments are cut."""
-    d = pages.select("url", "host", "port", U.parse_url(F.col("url")).alias("_b"), F.explode(F.array_distinct("links")).alias("_l")).where(~U.is_non_uri_action(F.col("_l")))
+    """(url, host, port, to_url, to_host, to_port, is_cross_site) of pages (url, host, port, links).
+
+    Empty links, actions, other protocols, malformed absolute links and very long relative ones go; fragments are cut, and so is a
+    parameter of a markup file that is a beginning of the link itself, a common slip.
+    """
+    d = pages.select("url", "host", "port", U.parse_url(F.col("url")).alias("_b"), F.explode(F.array_distinct("links")).alias("_l")).where(~U.is_non_uri_action(F.col("_l")) & (F.col("_l") != ""))
+    whole, malformed = U.parse_url(F.col("_l"))["good"], reduce(or_, [F.startswith(F.col("_l"), F.lit(f"{p}://")) for p in protocols])
+    d = d.where(whole | (~malformed & (F.octet_length("_l") <= max_bytes)))
     # the array of one keeps the struct from being copied into each use of its fields
     d = d.select("url", "host", "port", F.explode(F.array(U.resolve_link(F.col("_b"), F.col("_l")))).alias("_r"))
     d = d.select("url", "host", "port", F.explode(F.array(F.col("_r").withField("fragment", F.lit("")))).alias("_t")).where(F.col("_t.good") & F.col("_t.protocol").isin(*protocols))
-    d = d.withColumns({"to_url": U.format_url(F.col("_t")), "to_host": F.col("_t.host"), "to_port": U.url_port(F.col("_t"))}).where(F.octet_length("to_url") <= max_bytes)
+    slip = F.col("_t.path").endswith(".gmi") & F.startswith(U.format_url(F.col("_t")), F.col("_t.param"))
+    d = d.select("url", "host", "port", F.explode(F.array(F.col("_t").withField("param", F.when(slip, F.lit("")).otherwise(F.col("_t.param"))))).alias("_t"))
+    d = d.withColumns({"to_url": U.format_url(F.col("_t")), "to_host": F.col("_t.host"), "to_port": U.url_port(F.col("_t"))})
     return d.withColumn("is_cross_site", U.cross_site(F.col("host"), F.col("port"), F.col("to_host"), F.col("to_port"))).select("url", "host", "port", "to_url", "to_host", "to_port", "is_cross_site").distinct()
 
 
-def crawl_batch(pages: DataFrame, links: DataFrame, responses: DataFrame, now: Column, protocols: tuple[str, ...] = ("gemini",)) -> tuple[DataFrame, DataFrame]:
-    """(pages, links) after responses: unchanged pages are touched, changed ones replaced with their links, errors noted, new urls enqueued, expired pages dropped."""
-    got = cut(extract_responses(responses))  # used several times, and made by Python
-    judged = changed(pages, got)
+def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key in the given order."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def resolve_redirects(responses: DataFrame, redirects: DataFrame, hops: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(responses with each redirect (status 3x) replaced by what its target answered, redirects with the permanent ones (31) of the batch).
+
+    A fetch follows at most hops redirects, known ones and those of the batch; a target that the batch has no answer of leaves the page
+    with the redirect's own response, an error. Targets that are malformed or the page itself are not followed.
+    """
+    target = U.parse_url(F.col("meta"))
+    moved = responses.where(F.col("status").between(30, 39)).select("url", "status", F.when(target["good"], U.format_url(target)).alias("to_url")).where("to_url <> url")
+    known = upsert(redirects, moved.where("status = 31").select(F.col("url").alias("from_url"), "to_url", F.col("to_url").alias("_o")), ["from_url"], "_o")
+    every = known.unionByName(moved.select(F.col("url").alias("from_url"), "to_url").join(known.select("from_url"), "from_url", "left_anti"))
+    ends = follow_redirects(responses.select("url"), every, hops).where("n_hops > 0").select("url", "target")
+    answers = responses.where(~F.col("status").between(30, 39)).withColumnRenamed("url", "target")
+    found = ends.join(answers, "target").select(*responses.columns)
+    return responses.join(found.select("url"), "url", "left_anti").unionByName(found), known
+
+
+def crawl_batch(
+    pages: DataFrame, links: DataFrame, responses: DataFrame, now: Column, protocols: tuple[str, ...] = ("gemini",),
+    allow: Callable[[DataFrame], DataFrame] | None = None, force: bool = False, keep_status: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(pages, links) after responses, the latest one of each url: unchanged pages are touched, changed ones replaced with their links, errors noted, new urls enqueued, expired pages dropped.
+
+    allow takes rows (url) and gives those that may be crawled, as policy.should_crawl does; only these become pages, while links are
+    kept either way. force indexes pages anew whose raw hash is the same. keep_status notes the status and meta that a failed page
+    sent, which skip_gone looks for; otherwise it gets 0 and the kind of its error.
+    """
+    got = cut(extract_responses(latest(responses, ["url"], [F.col("fetched_at").desc_nulls_last(), F.col("status"), F.col("meta"), F.md5("body")])))  # used several times, and made by Python
+    judged = changed(pages, got, force)
     fine = F.col("error").isNull()
     fresh_links = link_rows(judged.where(fine & (F.col("action") != "touch")), protocols)
     per = fresh_links.groupBy("url").agg(F.sort_array(F.collect_set(F.when(F.col("is_cross_site"), F.col("to_url")))).alias("cross_site_links"), F.sort_array(F.collect_set(F.when(~F.col("is_cross_site"), F.col("to_url")))).alias("internal_links"))
@@ -135,20 +200,40 @@ def crawl_batch(pages: DataFrame, links: DataFrame, responses: DataFrame, now: C
     d = pages.join(new, "url", "full_outer")
     wrote = F.coalesce(F.col("_n.ok") & (F.col("_n.action") != "touch"), F.lit(False))
     good, seen = F.coalesce(F.col("_n.ok"), F.lit(False)), F.col("_n").isNotNull()
-    pick = lambda c, old=None: F.when(wrote, F.col(f"_n.{c}")).otherwise(F.col(old or c)).alias(old or c)
+    sent = seen & F.lit(keep_status) & (F.col("_n.error") == "status")
+    pick = lambda c, when=wrote: F.when(when, F.col(f"_n.{c}")).otherwise(F.col(c)).alias(c)
     d = d.select(
         "url", F.coalesce("domain_name", "_n.host").alias("domain_name"), F.coalesce(pages["port"], F.col("_n.port")).alias("port"),
-        *[pick(c) for c in ("content_type", "charset", "lang", "title", "content_body", "feed_type")], F.coalesce(F.when(wrote, F.col("_n.size")).otherwise(F.col("size")), F.lit(0)).alias("size"),
+        pick("content_type", good), *[pick(c) for c in ("charset", "lang", "title", "content_body", "feed_type")], F.coalesce(F.when(wrote, F.col("_n.size")).otherwise(F.col("size")), F.lit(0)).alias("size"),
         F.when(wrote, now).otherwise(F.col("last_indexed_at")).alias("last_indexed_at"), F.when(seen, now).otherwise(F.col("last_crawled_at")).alias("last_crawled_at"), F.when(good, now).otherwise(F.col("last_crawl_success_at")).alias("last_crawl_success_at"),
-        F.when(good, F.col("_n.status")).when(seen, F.lit(0)).otherwise(F.col("last_status")).alias("last_status"), F.when(good, F.col("_n.meta")).when(seen, F.col("_n.error")).otherwise(F.col("last_meta")).alias("last_meta"),
+        F.when(good | sent, F.col("_n.status")).when(seen, F.lit(0)).otherwise(F.col("last_status")).alias("last_status"), F.when(good | sent, F.col("_n.meta")).when(seen, F.col("_n.error")).otherwise(F.col("last_meta")).alias("last_meta"),
         F.coalesce("first_seen_at", now).alias("first_seen_at"), pick("cross_site_links"), pick("internal_links"), "last_queued_at",
         F.coalesce(F.when(wrote, F.col("_n.indexed_content_hash")).otherwise(F.col("indexed_content_hash")), F.lit("")).alias("indexed_content_hash"), F.coalesce(F.when(wrote, F.col("_n.raw_content_hash")).otherwise(F.col("raw_content_hash")), F.lit("")).alias("raw_content_hash"),
     )
-    found = fresh_links.select(F.col("to_url").alias("url"), F.col("to_host").alias("domain_name"), F.col("to_port").alias("port"), F.lit(0).cast("long").alias("size"), now.alias("first_seen_at"), F.lit("").alias("indexed_content_hash"), F.lit("").alias("raw_content_hash"))
+    found = fresh_links.select(F.col("to_url").alias("url"), F.col("to_host").alias("domain_name"), F.col("to_port").alias("port"), F.lit(0).cast("long").alias("size"), now.alias("first_seen_at"), F.lit("").alias("indexed_content_hash"), F.lit("").alias("raw_content_hash")).dropDuplicates(["url"])
+    if allow:
+        found = found.join(allow(found.select("url")).select("url"), "url", "left_semi")
     done = judged.where(fine & (F.col("action") != "touch")).select("url")
     all_links = links.join(done, "url", "left_anti").unionByName(fresh_links.select(*links.columns))
     return expire(insert_if_absent(d, found, ["url"]), now), all_links
 
 
-def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+def crawl_round(
+    pages: DataFrame, links: DataFrame, policies: DataFrame, status: DataFrame, redirects: DataFrame, responses: DataFrame, now: Column, rules: DataFrame, timeouts: DataFrame, force: bool = False,
+) -> dict[str, DataFrame]:
+    """A whole round over landed responses, robots files among them: the new pages, links, robot_policies, robot_policies_status and perma_redirects.
+
+    Robots files replace their hosts' rules first. Pages out of normal form go. Pages that the rules forbid are marked as blocked,
+    pages that answered for the wrong host lately are left alone, redirects are followed, and what is left is crawled.
+    """
+    policies, status = P.update_robots(policies, status, responses, now)
+    allow = lambda urls: P.should_crawl(urls, rules, P.fresh_policies(policies, status, now), timeouts)
+    pages, links = normal_only(pages, links)
+    rest = responses.where(~P.is_robots(F.col("url")) & is_normal(F.col("url")))
+    ok = cut(allow(rest.select("url").distinct()))
+    pages = mark_blocked(pages, rest.select("url").join(ok, "url", "left_anti"), now)
+    rest = rest.join(ok, "url", "left_semi").join(pages.where(skip_gone(now)).select("url"), "url", "left_anti")
+    one = latest(rest, ["url"], [F.col("fetched_at").desc_nulls_last(), F.col("status"), F.col("meta"), F.md5("body")])
+    whole, redirects = resolve_redirects(one, redirects)
+    pages, links = crawl_batch(pages, links, whole, now, allow=allow, force=force, keep_status=True)
+    return {"pages": pages, "links": links, "robot_policies": policies, "robot_policies_status": status, "perma_redirects": redirects}

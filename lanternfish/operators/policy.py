@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.functions import robots as R
+from lanternfish.functions import text as X
 from lanternfish.functions import urls as U
 
 # fixed values: hosts that are never crawled
@@ -63,6 +64,45 @@ def blocked_by_robots(urls: DataFrame, policies: DataFrame) -> DataFrame:
     return urls.join(policies, ["host", "port"]).where(R.rule_blocks(F.col("path"), F.col("disallowed"))).select("url").distinct()
 
 
+ROBOTS_FRESH = "INTERVAL 2 DAYS"
+ROBOTS_TYPES = ("text/plain", "text/gemini")
+
+
+def is_robots(url: Column) -> Column:
+    return U.parse_url(url)["path"] == "/robots.txt"
+
+
+def robots_urls(urls: DataFrame, status: DataFrame, now: Column, protocol: str = "gemini") -> DataFrame:
+    """url of the robots file of each host and port of urls (url) that has no fresh status."""
+    u = urls.select(U.parse_url(F.col("url")).alias("u")).where(F.col("u.good") & (F.col("u.protocol") == protocol)).select(F.col("u.host").alias("host"), U.url_port(F.col("u")).alias("port")).distinct()
+    due = u.join(fresh_status(status, now), ["host", "port"], "left_anti")
+    shown = F.when(F.col("port") == U.DEFAULT_PORTS[protocol], F.lit("")).otherwise(F.concat(F.lit(":"), F.col("port").cast("string")))
+    return due.select(F.concat(F.lit(f"{protocol}://"), F.col("host"), shown, F.lit("/robots.txt")).alias("url"))
+
+
+def fresh_status(status: DataFrame, now: Column) -> DataFrame:
+    return status.where(F.col("last_crawled_at") > now - F.expr(ROBOTS_FRESH))
+
+
+def fresh_policies(policies: DataFrame, status: DataFrame, now: Column) -> DataFrame:
+    """The rules of hosts whose status is fresh and says that they have any."""
+    return policies.join(fresh_status(status, now).where("have_policy").select("host", "port"), ["host", "port"], "left_semi")
+
+
+def update_robots(policies: DataFrame, status: DataFrame, responses: DataFrame, now: Column, agents: tuple[str, ...] = ("*", "indexer")) -> tuple[DataFrame, DataFrame]:
+    """(robot_policies, robot_policies_status) after the robots files among responses, the latest of each host: all rules of a host are replaced at once, and its status is set.
+
+    A file counts if it came with status 20 as plain text or line markup; a host without one has no rules, and a status that says so.
+    """
+    u = U.parse_url(F.col("url"))
+    got = responses.where(is_robots(F.col("url"))).select(u["host"].alias("host"), U.url_port(u).alias("port"), ((F.col("status") == 20) & X.mime_type(F.col("meta")).isin(*ROBOTS_TYPES)).alias("have_policy"), "body", "fetched_at")
+    last = got.groupBy("host", "port").agg(F.max_by(F.struct(F.coalesce("have_policy", F.lit(False)).alias("have_policy"), "body"), F.struct("fetched_at", "body")).alias("v")).select("host", "port", "v.*")
+    rules = last.where("have_policy").select("host", "port", F.explode(R.robots_rules(F.make_valid_utf8(F.col("body").cast("string")), agents)).alias("disallowed"))
+    hosts = last.select("host", "port")
+    news = last.select("host", "port", now.alias("last_crawled_at"), "have_policy")
+    return policies.join(hosts, ["host", "port"], "left_anti").unionByName(rules).select(*policies.columns), status.join(hosts, ["host", "port"], "left_anti").unionByName(news).select(*status.columns)
+
+
 def host_timeouts(log: DataFrame, over: int = 3) -> DataFrame:
     """(host, port, n) of hosts with more than over failed fetches; log has host, port, failed."""
     return log.groupBy("host", "port").agg(F.count(F.when(F.col("failed"), 1)).alias("n")).where(F.col("n") > over)

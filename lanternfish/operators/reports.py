@@ -27,7 +27,9 @@ def known_hosts(pages: DataFrame, lower: bool = True) -> DataFrame:
     return d.where(F.col("domain_name").rlike(r"^[^.:/][^:/]*$")) if lower else d
 
 
-def known_feeds(pages: DataFrame, kind: str = "atom") -> DataFrame:
+def known_feeds(pages: DataFrame, kind: str = "") -> DataFrame:
+    """url of the feeds of a kind, atom if none is named; an unknown kind is an error."""
+    kind = kind or "atom"
     if kind not in ("atom", "rss", "twtxt", "gemsub"):
         raise ValueError(f"no feeds of type {kind}")
     return pages.where(F.col("feed_type") == kind).select("url")
@@ -53,8 +55,12 @@ def host_urls(hosts: DataFrame, protocol: str = "gemini") -> DataFrame:
     return hosts.select(F.concat(F.lit(f"{protocol}://"), F.col("domain_name"), shown, F.lit("/")).alias("url"))
 
 
+def seed_rows(urls: DataFrame, now: Column) -> DataFrame:
+    """New pages for the good ones of urls (url), in normal form."""
+    u = urls.select(U.parse_url(F.col("url")).alias("_u")).where("_u.good")
+    return u.select(U.format_url(F.col("_u")).alias("url"), F.col("_u.host").alias("domain_name"), U.url_port(F.col("_u")).alias("port"), F.lit(0).cast("long").alias("size"), now.alias("first_seen_at"), F.lit("").alias("indexed_content_hash"), F.lit("").alias("raw_content_hash"))
+
+
 def add_seed(pages: DataFrame, url: str, now: Column) -> DataFrame:
     """pages with url where it is new and good."""
-    one = pages.sparkSession.createDataFrame([(url,)], "url string").withColumn("_u", U.parse_url(F.col("url"))).where("_u.good")
-    row = one.select(U.format_url(F.col("_u")).alias("url"), F.col("_u.host").alias("domain_name"), U.url_port(F.col("_u")).alias("port"), F.lit(0).cast("long").alias("size"), now.alias("first_seen_at"), F.lit("").alias("indexed_content_hash"), F.lit("").alias("raw_content_hash"))
-    return L.insert_if_absent(pages, row, ["url"])
+    return L.insert_if_absent(pages, seed_rows(pages.sparkSession.createDataFrame([(url,)], "url string"), now), ["url"])

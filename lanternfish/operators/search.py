@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternfish.functions import text as T
@@ -16,6 +17,7 @@ WEIGHT = 0.1
 TITLE_BOOST = 50
 ROOT_LIMIT = 50_000
 PER_PAGE = 10
+BUCKETS = 256
 # fixed values: words that the english analyzer leaves out
 STOP = ("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with").split()
 
@@ -35,12 +37,42 @@ def index_texts(pages: DataFrame) -> DataFrame:
     return pages.select("url", title.alias("title_text"), F.concat_ws(" ", title, F.col("content_body")).alias("body_text"))
 
 
-def postings(pages: DataFrame, analyzer: str = "simple") -> DataFrame:
-    """(term, url, field, tf, positions from 1). Written by term, it takes the place of an inverted index."""
+def postings(pages: DataFrame, analyzer: str = "simple", terms: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+    """(term, url, field, tf, positions from 1) of all terms, or of some. write_index() stores them in the place of an inverted index."""
     t = index_texts(pages)
-    fields = [t.select("url", F.lit(f).alias("field"), F.posexplode(analyze(F.col(f"{f}_text"), analyzer)).alias("pos", "term")) for f in ("title", "body")]
-    found = fields[0].unionByName(fields[1]).where("term is not null")
-    return found.groupBy("term", "url", "field").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list((F.col("pos") + 1).cast("int"))).alias("positions"))
+
+    def field(f: str) -> DataFrame:
+        places = F.transform(analyze(F.col(f"{f}_text"), analyzer), lambda x, i: F.struct((i + 1).cast("int").alias("pos"), x.alias("term")))
+        # wanted terms are picked before the rows multiply
+        wanted = F.filter(places, lambda p: p["term"].isNotNull() & (p["term"].isin(list(terms)) if terms is not None else F.lit(True)))
+        return t.select("url", F.lit(f).alias("field"), F.explode(wanted).alias("p")).select("url", "field", "p.pos", "p.term")
+
+    return field("title").unionByName(field("body")).groupBy("term", "url", "field").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_index(index: DataFrame, path: str, buckets: int = BUCKETS, salts: int = 8) -> None:
+    """Stores postings in folders by bucket of the term. Rows are dealt by bucket and a salt of the url, so that a very common term is written by several tasks."""
+    d = index.withColumn("bucket", bucket_of(F.col("term"), buckets))
+    d.repartition("bucket", F.pmod(F.xxhash64("url"), F.lit(salts))).sortWithinPartitions("bucket", "term", "url").write.partitionBy("bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The stored postings, all or those of terms; only the terms' folders are read."""
+    d = spark.read.parquet(path)
+    if terms is not None:
+        at = spark.range(1).select(F.array(*[bucket_of(F.lit(t), buckets) for t in terms]).alias("b")).first()["b"] if terms else []
+        d = d.where(F.col("bucket").isin(at) & F.col("term").isin(list(terms)))
+    return d.drop("bucket")
+
+
+def update_index(index: DataFrame, pages: DataFrame, gone: DataFrame | None = None, analyzer: str = "simple") -> DataFrame:
+    """index with the postings of pages, which are new or changed, in place of their old ones, and without the urls of gone; other pages' texts are not read."""
+    out = pages.select("url") if gone is None else pages.select("url").unionByName(gone.select("url"))
+    return index.join(out.distinct(), "url", "left_anti").select(*index.columns).unionByName(postings(pages, analyzer))
 
 
 def terms_of(spark, query: str, analyzer: str = "simple") -> list[str]:
@@ -55,19 +87,38 @@ def cover_density(positions: list[list[int]], weight: float = WEIGHT) -> float:
     if len(positions) == 1:
         return weight * len(positions[0])
     events = sorted((p, t) for t, ps in enumerate(positions) for p in ps)
-    last: dict[int, int] = {}
+    last: dict[int, int] = {}  # of each term the place of its last event among all
     rank, begin = 0.0, -1
-    for p, t in events:
-        last[t] = p
+    for i, (p, t) in enumerate(events):
+        last[t] = i
         if len(last) == len(positions):
-            start = min(last.values())
+            first = min(last.values())
+            start = events[first][0]
             if start > begin:
-                inside = sum(1 for q, _ in events if start <= q <= p)
-                rank += weight / (1 + max(0, p - start - (inside - 1)))
+                rank += weight / (1 + max(0, p - start - (i - first)))
                 begin = start
     return rank
 
 
+def cover_rank(positions: Column, n_terms: int, weight: float = WEIGHT) -> Column:
+    """cover_density() as an expression of an array of sorted position arrays, one a term: one pass over the sorted hits."""
+    if n_terms == 1:
+        return weight * F.size(F.element_at(positions, 1))
+    hits = F.flatten(F.transform(positions, lambda ps, t: F.transform(ps, lambda p: F.struct(p.cast("int").alias("p"), t.cast("int").alias("t")))))
+    hits = F.transform(F.array_sort(hits), lambda h, i: F.struct(h["p"].alias("p"), h["t"].alias("t"), i.cast("int").alias("i")))
+    none = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("p"))
+    start = F.struct(F.array_repeat(none, n_terms).alias("last"), F.lit(-1).alias("begin"), F.lit(0.0).alias("rank"))
+
+    def step(s: Column, h: Column) -> Column:
+        last = F.transform(s["last"], lambda x, t: F.when(t == h["t"], F.struct(h["i"].alias("i"), h["p"].alias("p"))).otherwise(x))
+        first = F.array_min(last)  # the earliest of the terms' last hits; -1 while a term is missing
+        cover = (first["i"] >= 0) & (first["p"] > s["begin"])
+        between = F.greatest(F.lit(0), h["p"] - first["p"] - (h["i"] - first["i"]))
+        return F.struct(last.alias("last"), F.when(cover, first["p"]).otherwise(s["begin"]).alias("begin"), (s["rank"] + F.when(cover, weight / (1 + between)).otherwise(0.0)).alias("rank"))
+
+    return F.aggregate(hits, start, step, lambda s: s["rank"])
+
+
 def match(index: DataFrame, terms: list[str]) -> DataFrame:
     """(url, text_rank) of the urls whose body has all terms; no terms match nothing."""
     if not terms:
@@ -76,13 +127,9 @@ def match(index: DataFrame, terms: list[str]) -> DataFrame:
     if len(terms) == 1:
         rank = F.sum(F.when(F.col("field") == "title", WEIGHT * TITLE_BOOST * F.col("tf")).otherwise(WEIGHT * F.col("tf")))
         return hits.groupBy("url").agg(rank.alias("text_rank"), F.max(F.col("field") == "body").alias("_in")).where("_in").drop("_in")
+    # at most one array a term
     by = hits.groupBy("url", "field").agg(F.collect_list("positions").alias("p"), F.count("*").alias("k")).where(F.col("k") == len(terms))
-
-    @F.pandas_udf("double")
-    def rank(p):
-        return p.map(lambda x: cover_density([list(y) for y in x]))
-
-    ranked = by.withColumn("r", rank("p") * F.when(F.col("field") == "title", TITLE_BOOST).otherwise(1))
+    ranked = by.withColumn("r", cover_rank(F.col("p"), len(terms)) * F.when(F.col("field") == "title", TITLE_BOOST).otherwise(1))
     return ranked.groupBy("url").agg(F.sum("r").alias("text_rank"), F.max(F.col("field") == "body").alias("_in")).where("_in").drop("_in")
 
 
@@ -120,17 +167,23 @@ def canonical(url: str, strip: bool) -> str:
     return url[:-1] if strip and url.endswith("/") else url
 
 
-def merge_copies(rows: list[dict]) -> list[dict]:
-    """rows of one content hash, in order: copies of one host, path or user page merge and keep the higher score; a mirror of a kept page goes."""
+def merge_copies(rows: list[dict], better: bool = False) -> list[dict]:
+    """rows of one content hash, in order: copies of one host, path or user page merge and keep the higher score; a mirror of a kept page goes.
+
+    better: the row with the higher score stands for both, as in fold_copies(); otherwise the first one takes over the score.
+    """
     kept: list[dict] = []
     for r in rows:
         if r["size"] == 0 or not r["content_hash"]:
             kept.append(r)
             continue
-        for k in kept:
+        for i, k in enumerate(kept):
             if k["size"] == 0:
                 continue
             same = r["host"] == k["host"] or r["path"] == k["path"] or k["url"].endswith(r["host"] + r["path"]) or canonical(r["url"], True) == canonical(k["url"], False)
+            if same and better:
+                kept[i] = r if r["score"] > k["score"] else k
+                break
             if same:
                 k["score"] = max(k["score"], r["score"])
                 break
@@ -141,20 +194,40 @@ def merge_copies(rows: list[dict]) -> list[dict]:
     return kept
 
 
-def dedup(ranked: DataFrame) -> DataFrame:
-    """ranked (url, host, path, content_hash, size, text_rank, score): rows of a hash are folded in the order of text rank. A hash's rows are copies among one query's matches."""
-    unique = ranked.where("size = 0 or coalesce(content_hash, '') = ''")
-    cols = ["url", "host", "path", "content_hash", "size", "text_rank", "score"]
+def canonical_url(url: Column) -> Column:
+    """canonical() as an expression."""
+    for part in ("/~", "/users", "/user"):
+        url = F.replace(url, F.lit(part), F.lit("\x00"))
+    return url
+
+
+def fold_copies(rows: Column) -> Column:
+    """merge_copies() of an ordered array of structs (url, host, path, ...), as an expression: of merged copies the one with the higher score stays."""
 
-    def fold(pdf):
-        import pandas as pd
+    def step(kept: Column, r: Column) -> Column:
+        own = F.regexp_replace(canonical_url(r["url"]), "/$", "")
+        # 1: the same page, 2: a mirror of a kept one
+        same = lambda k: (r["host"] == k["host"]) | (r["path"] == k["path"]) | F.endswith(k["url"], F.concat(r["host"], r["path"])) | (own == canonical_url(k["url"]))
+        kinds = F.transform(kept, lambda k: F.when(same(k), 1).when(F.endswith(r["url"], F.concat(k["host"], k["path"])), 2).otherwise(0))
+        at = F.array_position(F.transform(kinds, lambda x: x > 0), True)
+        return F.when(at == 0, F.concat(kept, F.array(r))).otherwise(F.transform(kept, lambda k, i: F.when((i + 1 == at) & (F.get(kinds, i) == 1) & (r["score"] > k["score"]), r).otherwise(k)))
 
-        rows = pdf.sort_values(["text_rank", "url"], ascending=[False, True]).to_dict("records")
-        return pd.DataFrame(merge_copies(rows), columns=cols)
+    return F.aggregate(rows, F.slice(rows, 1, 0), step)
 
-    schema = "url string, host string, path string, content_hash string, size long, text_rank double, score double"
-    copies = ranked.where("size > 0 and content_hash <> ''").select(*cols).groupBy("content_hash").applyInPandas(fold, schema)
-    return copies.unionByName(unique.select(*cols))
+
+def dedup(ranked: DataFrame) -> DataFrame:
+    """ranked (url, host, path, content_hash, size, text_rank, score): rows of a hash are folded in the order of text rank. A hash's rows are copies among one query's matches.
+
+    Rows of a hash whose host and path nobody else has are not told apart from others beforehand: the rules look at both, so a hash is one
+    array of narrow structs.
+    """
+    cols = ["url", "host", "path", "content_hash", "size", "text_rank", "score"]
+    unique = ranked.where("coalesce(size, 0) = 0 or coalesce(content_hash, '') = ''").select(*cols)
+    copies = ranked.where("size > 0 and content_hash <> ''").groupBy("content_hash").agg(F.array_sort(F.collect_list(F.struct((-F.col("text_rank")).alias("_rank"), "url", F.lower("host").alias("host"), "path", "size", "score"))).alias("rows"))
+    # most hashes have one row, and nothing to fold
+    left = F.when(F.size("rows") == 1, F.col("rows")).otherwise(fold_copies(F.col("rows")))
+    out = copies.select("content_hash", F.explode(left).alias("r")).select("r.url", "r.host", "r.path", "content_hash", "r.size", (-F.col("r._rank")).alias("text_rank"), "r.score")
+    return out.unionByName(unique)
 
 
 def page_of(df: DataFrame, page: int, order: list[Column], per_page: int = PER_PAGE) -> DataFrame:
@@ -172,14 +245,18 @@ def headline(body: str | None, terms: list[str], min_words: int = 23, max_words:
     if not words:
         return "No preview provided"
     hit = [any(t in terms for t in re.findall(r"[^\W_]+", w.lower())) for w in words]
-    best = max(range(len(words)), key=lambda i: (sum(hit[i : i + max_words]), -i))
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    at = np.arange(len(words))
+    best = int(np.argmax(sums[np.minimum(at + max_words, len(words))] - sums[at]))
     start = max(0, min(best, len(words) - min_words))
     return " ".join(f"[{w}]" if h else w for w, h in list(zip(words, hit))[start : start + max_words])
 
 
-def search(pages: DataFrame, index: DataFrame, links: DataFrame, query: str, page: int = 1, algorithm: str = "salsa", filters_see_all: bool = True) -> DataFrame:
+def search(pages: DataFrame, index: DataFrame, links: DataFrame, query: str, page: int = 1, algorithm: str = "salsa", local_graph: bool = False) -> DataFrame:
     """One page of results, best first: url, title, score, size, content_type, last_crawl_success_at, preview.
 
+    local_graph ranks the query's graph in the driver's memory (see graph.rank).
+
     pages and index are read by column: ranking sees narrow columns only, and bodies are joined for the rows of the page alone.
     """
     spark = pages.sparkSession
@@ -192,7 +269,7 @@ def search(pages: DataFrame, index: DataFrame, links: DataFrame, query: str, pag
     root = root_set(matched).join(narrow, "url")
     nodes = first_wins(root.select("url", "text_rank"), base_set(matched, links, narrow).select("url"))
     edges = graph.subgraph_edges(root.select("url"), nodes.select("url"), links)
-    scores = graph.rank(nodes.select(F.col("url").alias("node")), edges, algorithm)
+    scores = graph.rank(nodes.select(F.col("url").alias("node")), edges, algorithm, local_graph)
     top = scores.agg(F.max("score").alias("top"))
     fused = root.join(scores.withColumnRenamed("node", "url"), "url", "left").crossJoin(F.broadcast(top))  # top: one row
     fused = fused.withColumn("score", fuse(F.coalesce("score", F.lit(0.0)), F.coalesce("top", F.lit(0.0)), F.col("text_rank"), F.col("size")))
@@ -207,7 +284,3 @@ def search(pages: DataFrame, index: DataFrame, links: DataFrame, query: str, pag
     body = pages.select("url", "title", "size", "content_type", "last_crawl_success_at", "content_body")
     out = visible.join(body, "url").withColumn("preview", T.clean_preview(preview(F.substring("content_body", 1, 4999)))).drop("content_body")
     return out.withColumn("title", T.clean_title(F.col("title"))).orderBy(F.desc("score"), "url")
-
-
-def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)))

@@ -91,7 +91,7 @@ _SINGLE = rf"WITH {DOC_PAGES}, b AS (SELECT url, title || ' ' || translate(url,
 
 @query(_SINGLE + " SELECT url, round(0.1 * (50 * nt + nb), 6) AS text_rank FROM f WHERE nb > 0 ORDER BY text_rank DESC, url LIMIT 10")
 def search_single_term(spark, d):
-    hits = S.match(S.postings(doc_pages(spark, d)).where(F.col("term") == TERM), [TERM])
+    hits = S.match(S.postings(doc_pages(spark, d), terms=[TERM]), [TERM])
     return S.page_of(hits.select("url", F.round("text_rank", 6).alias("text_rank")), 1, [F.desc("text_rank"), F.col("url")])
 
 
@@ -101,15 +101,22 @@ def search_all_terms(spark, d):
     return t.groupBy("doc_id").agg(F.sum("tf").alias("tf_sum"), F.count("*").alias("k")).where(F.col("k") == len(TERMS)).drop("k")
 
 
-@query()
+# two terms: a least interval is a pair of neighbouring hits of different terms
+_COVER = rf"""WITH {DOC_PAGES}, b AS (SELECT url, title || ' ' || translate(url, '_-~', '   ') AS tt, content_body AS c FROM p), f AS (SELECT url, 50 AS w, regexp_extract_all(lower(tt), '[\p{{L}}\p{{N}}]+') AS t FROM b UNION ALL SELECT url, 1, regexp_extract_all(lower(tt || ' ' || c), '[\p{{L}}\p{{N}}]+') FROM b),
+u AS (SELECT url, w, unnest(t) AS t, generate_subscripts(t, 1) AS pos FROM f), k AS (SELECT url, w, t, pos, lag(t) OVER o AS t0, lag(pos) OVER o AS pos0 FROM u WHERE t IN {TERMS} WINDOW o AS (PARTITION BY url, w ORDER BY pos)),
+r AS (SELECT url, w, sum(CASE WHEN t <> t0 THEN 0.1::double / (pos - pos0) ELSE 0 END) AS r, count(DISTINCT t) AS n FROM k GROUP BY url, w)
+SELECT url, round(sum(w * r), 6) AS text_rank FROM r WHERE n = 2 GROUP BY url HAVING bool_or(w = 1)"""
+
+
+@query(_COVER)
 def search_cover_density(spark, d):
-    hits = S.match(S.postings(doc_pages(spark, d)).where(F.col("term").isin(*TERMS)), list(TERMS))
+    hits = S.match(S.postings(doc_pages(spark, d), terms=TERMS), list(TERMS))
     return hits.select("url", F.round("text_rank", 6).alias("text_rank"))
 
 
 @query(_SINGLE + " SELECT url, round(0.1 * (50 * nt + nb), 6) AS text_rank FROM f WHERE nb > 0 ORDER BY 0.1 * (50 * nt + nb) DESC, url LIMIT 50000")
 def root_set_top_k(spark, d):
-    hits = S.match(S.postings(doc_pages(spark, d)).where(F.col("term") == TERM), [TERM])
+    hits = S.match(S.postings(doc_pages(spark, d), terms=[TERM]), [TERM])
     return S.root_set(hits).select("url", F.round("text_rank", 6).alias("text_rank"))
 
 
@@ -125,14 +132,25 @@ def score_fusion(spark, d):
     return p.select("url", F.round(fused, 6).alias("score"))
 
 
-@query()
+# no two documents share a path here, so copies merge by host alone; the better score stays, of equal ones the first url
+@query(f"WITH {DOC_PAGES}, s AS (SELECT *, (doc_id % 97)::double AS score, row_number() OVER (PARTITION BY content_hash, domain_name ORDER BY doc_id % 97 DESC, url) AS i FROM p) SELECT url, content_hash, score FROM s WHERE i = 1 OR size = 0")
 def dedup_same_host_or_path(spark, d):
     p = doc_pages(spark, d)
     ranked = p.select("url", F.col("domain_name").alias("host"), U.parse_url(F.col("url"))["path"].alias("path"), "content_hash", "size", F.col("size").cast("double").alias("text_rank"), (F.col("doc_id") % 97).cast("double").alias("score"))
     return S.dedup(ranked).select("url", "content_hash", "score")
 
 
-@query()
+_PREVIEW = rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(left(text, 4999), '\s+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, w, list_transform(w, lambda x: list_contains(regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+'), '{TERM}')) AS h FROM w),
+i AS (SELECT doc_id, unnest(h) AS hit, generate_subscripts(h, 1) AS i FROM h),
+s AS (SELECT doc_id, i, sum(hit::int) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 36 FOLLOWING) AS n FROM i),
+b AS (SELECT doc_id, arg_min(i, (-n, i)) AS best FROM s GROUP BY doc_id),
+a AS (SELECT h.*, greatest(0, least(coalesce(best, 1) - 1, len(w) - 23)) AS a FROM h LEFT JOIN b USING (doc_id)),
+t AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN 'No preview provided' ELSE array_to_string(list_transform(range(a + 1, least(a + 37, len(w)) + 1), lambda k: CASE WHEN h[k] THEN '[' || w[k] || ']' ELSE w[k] END), ' ') END AS t FROM a)
+SELECT doc_id, regexp_replace(t, '^[`*=>#\s]+', '') AS preview FROM t"""
+
+
+@query(_PREVIEW)
 def previews(spark, d):
     cut = F.pandas_udf(lambda s: s.map(lambda x: S.headline(x, [TERM])), "string")
     # headline reads no more of a body than its first 4,999 characters
@@ -369,11 +387,11 @@ def redirect_chain_5(spark, d):
     return L.follow_redirects(read(spark, d, "pages"), redirect_table(spark, d))
 
 
-@query(f"WITH {DOC_PAGES} SELECT '[' || string_agg('{{\"url\":\"' || url || '\"}}', ',' ORDER BY url) || ']' AS json FROM p WHERE size < 300")
-def json_report(spark, d):
-    from lanternfish.sources.tables import as_json_array
+@query(f"WITH {DOC_PAGES} SELECT '{{\"url\":\"' || url || '\",\"size\":' || size || '}}' AS json FROM p")
+def json_pages(spark, d):
+    from lanternfish.sources.tables import as_json_rows
 
-    return as_json_array(doc_pages(spark, d).where("size < 300").select("url"), ["url"])
+    return as_json_rows(doc_pages(spark, d).select("url", "size"))
 
 
 @query(f"WITH {DOC_PAGES}, hp AS (SELECT DISTINCT domain_name, port FROM p) SELECT '[' || string_agg('{{\"domain_name\":\"' || domain_name || '\",\"port\":' || port || '}}', ',' ORDER BY domain_name, port) || ']' AS json FROM hp")
@@ -413,6 +431,100 @@ def frontier_batch(spark, d):
     return L.claim_batch(pages, F.col("now"))[0]
 
 
+_DUE = "c AS (SELECT user_id::varchar AS url, max(ts) FILTER (WHERE event_type = 'signup') AS last_crawled_at, user_id FROM events GROUP BY user_id), nw AS (SELECT max(ts) AS now FROM events)"
+
+
+def sparse_log(spark, d) -> DataFrame:
+    """Users of events as pages: crawled when they last signed up, claimed some minutes ago or never."""
+    e = read(spark, d, "events")
+    c = e.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("last_crawled_at"))
+    c = c.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))  # one row
+    queued = F.when(F.col("user_id") % 4 > 0, F.col("now") - F.make_interval(mins=(F.col("user_id") % 4 * 3).cast("int")))
+    return c.select(F.col("user_id").cast("string").alias("url"), "last_crawled_at", queued.alias("last_queued_at"), "now", "user_id")
+
+
+@query(f"WITH {_DUE} SELECT url FROM c, nw WHERE (last_crawled_at < now - INTERVAL 3 DAY OR last_crawled_at IS NULL) AND user_id % 4 <> 1 ORDER BY last_crawled_at NULLS FIRST, url LIMIT 360")
+def frontier_due(spark, d):
+    return L.claim_batch(sparse_log(spark, d), F.col("now"))[0]
+
+
+@query(f"WITH {_DUE}, b AS (SELECT url FROM c, nw WHERE (last_crawled_at < now - INTERVAL 3 DAY OR last_crawled_at IS NULL) AND user_id % 4 <> 1 ORDER BY last_crawled_at NULLS FIRST, url LIMIT 360) SELECT url, CASE WHEN url IN (FROM b) THEN 0 WHEN user_id % 4 = 0 THEN NULL ELSE user_id % 4 * 3 END AS queued_minutes_ago FROM c")
+def frontier_leases(spark, d):
+    pages = L.claim_batch(sparse_log(spark, d), F.col("now"))[1]
+    return pages.select("url", F.timestamp_diff("MINUTE", "last_queued_at", "now").alias("queued_minutes_ago"))
+
+
+_ROBOT_STATUS = "h AS (SELECT DISTINCT user_id FROM events), st AS (SELECT user_id, user_id % 5 < 2 AS fresh, user_id % 2 = 0 AS have FROM h WHERE user_id % 7 <> 6)"
+
+
+def robots_state(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, F.Column]:
+    """Hosts u<user_id> with rules of their own, statuses of up to four days ago, and answers of a third of them to a request for their robots file."""
+    from lanternfish.sources import tables
+
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    h = read(spark, d, "events").select("user_id").distinct().withColumns({"host": F.concat(F.lit("u"), F.col("user_id").cast("string")), "port": F.lit(1965)})
+    known = h.where("user_id % 7 <> 6")
+    status = known.select("host", "port", (now - F.make_dt_interval((F.col("user_id") % 5).cast("int"), F.lit(0), F.lit(0), F.lit(1))).alias("last_crawled_at"), (F.col("user_id") % 2 == 0).alias("have_policy"))
+    policies = known.select("host", "port", F.explode(F.array(F.lit("/old"), F.concat(F.lit("/old"), (F.col("user_id") % 3).cast("string")))).alias("disallowed"))
+    body = F.concat(F.lit("User-agent: *\nDisallow: /a"), (F.col("user_id") % 4).cast("string"), F.lit("\nDisallow: /b\nUser-agent: other\nDisallow: /c\n")).cast("binary")
+    answers = h.where("user_id % 3 = 0").select(F.concat(F.lit("gemini://"), "host", F.lit("/robots.txt")).alias("url"), F.when(F.col("user_id") % 2 == 0, 20).otherwise(51).alias("status"), F.lit("text/plain; charset=utf-8").alias("meta"), body.alias("body"), now.alias("fetched_at"))
+    assert answers.columns == [x.split()[0] for x in tables.RESPONSES.split(", ")]
+    return policies, status, answers, now
+
+
+@query(f"WITH {_ROBOT_STATUS} SELECT 'gemini://u' || user_id || '/robots.txt' AS url FROM h WHERE user_id NOT IN (SELECT user_id FROM st WHERE fresh)")
+def robots_due(spark, d):
+    _, status, _, now = robots_state(spark, d)
+    urls = read(spark, d, "events").select(F.concat(F.lit("gemini://u"), F.col("user_id").cast("string"), F.lit("/p/"), F.col("event_id").cast("string")).alias("url"))
+    return P.robots_urls(urls, status, now)
+
+
+@query(f"""WITH {_ROBOT_STATUS}, np AS (SELECT user_id, unnest(['/a' || user_id % 4, '/b']) AS disallowed FROM h WHERE user_id % 6 = 0 UNION ALL SELECT user_id, unnest(['/old', '/old' || user_id % 3]) FROM st WHERE user_id % 3 <> 0),
+ns AS (SELECT user_id, true AS fresh, user_id % 2 = 0 AS have FROM h WHERE user_id % 3 = 0 UNION ALL SELECT * FROM st WHERE user_id % 3 <> 0) SELECT 'u' || user_id AS host, 1965 AS port, disallowed FROM np JOIN ns USING (user_id) WHERE fresh AND have""")
+def robots_freshness(spark, d):
+    policies, status, answers, now = robots_state(spark, d)
+    policies, status = P.update_robots(policies, status, answers, now)
+    return P.fresh_policies(policies, status, now).select("host", "port", "disallowed")
+
+
+@query(f"WITH {_ROBOT_STATUS} SELECT 'u' || user_id AS host, user_id % 2 = 0 AS have_policy, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 5 END AS days_old FROM h WHERE user_id % 3 = 0 OR user_id % 7 <> 6")
+def robots_status_upsert(spark, d):
+    policies, status, answers, now = robots_state(spark, d)
+    return P.update_robots(policies, status, answers, now)[1].select("host", "have_policy", F.timestamp_diff("DAY", "last_crawled_at", now).alias("days_old"))
+
+
+_FOUND = ("/n/", "gemini://localhost/", "gemini://git.foo.test/", "gemini://other.test/private/", "gemini://other.test/ok/", "gemini://down.test/", "gemini://listed.test/x/", "https://web.test/", "mailto:a@b/", "gemini://bad.test:99999/", "gemini://other.test/robots.txt?")
+
+
+def crawled(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(pages, links) after a batch of answers, one for each page with links of all kinds to it, under rules of all kinds."""
+    from lanternfish.sources import tables
+
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    p = read(spark, d, "pages")
+    lines = F.concat_ws("\n", F.concat(F.lit("# Page "), F.col("page_id").cast("string")), *[F.concat(F.lit(f"=> {x}"), (F.col("page_id") % 20).cast("string"), F.lit(" link")) for x in _FOUND])
+    answer = lambda status, hours, body: p.select(F.concat(F.lit("gemini://h"), (F.col("page_id") % 10).cast("string"), F.lit(".test/"), F.col("page_id").cast("string")).alias("url"), status.alias("status"), F.lit("text/gemini").alias("meta"), body.cast("binary").alias("body"), (now - F.expr(f"INTERVAL {hours} HOURS")).alias("fetched_at"))
+    # an earlier answer of the same url does not count
+    responses = answer(F.lit(20), 2, F.lit("# Early\n=> /early")).unionByName(answer(F.when(F.col("page_id") % 9 == 0, 51).otherwise(20), 1, lines))
+    one = lambda ddl, *rows: spark.createDataFrame(list(rows), ddl)
+    rules, policies, timeouts = P.prefix_rules(one("url string", ("gemini://listed.test/x",))), one("host string, port int, disallowed string", ("other.test", 1965, "/private*")), one("host string, port int, n long", ("down.test", 1965, 9))
+    allow = lambda urls: P.should_crawl(urls, rules, policies, timeouts)
+    return L.crawl_batch(one(tables.PAGES), one(tables.LINKS), responses, now, allow=allow, keep_status=True)
+
+
+_CRAWLED = "a AS (SELECT 'h' || page_id % 10 || '.test' AS host, page_id, page_id % 20 AS k, page_id % 9 <> 0 AS ok FROM pages)"
+
+
+@query(f"WITH {_CRAWLED} SELECT 'gemini://' || host || '/' || page_id AS url, CASE WHEN ok THEN 20 ELSE 51 END AS last_status, CASE WHEN ok THEN 'Page ' || page_id END AS title FROM a UNION SELECT 'gemini://' || host || '/n/' || k, NULL, NULL FROM a WHERE ok UNION SELECT 'gemini://other.test/ok/' || k, NULL, NULL FROM a WHERE ok")
+def crawl_enqueue(spark, d):
+    return crawled(spark, d)[0].select("url", "last_status", "title")
+
+
+@query(f"WITH {_CRAWLED}, t AS (SELECT 'gemini://' || host || '/' || page_id AS url, unnest(['gemini://' || host || '/n/' || k, 'gemini://localhost/' || k, 'gemini://git.foo.test/' || k, 'gemini://other.test/private/' || k, 'gemini://other.test/ok/' || k, 'gemini://down.test/' || k, 'gemini://listed.test/x/' || k, 'gemini://other.test/robots.txt?' || k]) AS to_url FROM a WHERE ok) SELECT url, to_url, NOT contains(to_url, '.test/n/') AS is_cross_site FROM t")
+def crawl_links(spark, d):
+    return crawled(spark, d)[1].select("url", "to_url", "is_cross_site")
+
+
 @query(f"WITH {_LOG} SELECT user_id FROM c, nw WHERE NOT coalesce(last_crawl_success_at < now - INTERVAL 5 DAY, false)")
 def expire_after_5_days(spark, d):
     return L.expire(crawl_log(spark, d), F.col("now"), "INTERVAL 5 DAYS").select("user_id")
@@ -431,6 +543,43 @@ def change_detection_skip(spark, d):
     return L.changed(old, t.select("doc_id", "url", h.alias("raw_content_hash"), h.alias("indexed_content_hash"))).select("doc_id", "action")
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'insert' WHEN doc_id % 3 <> 0 AND (doc_id % 5 <> 0 OR doc_id % 4 <> 0) THEN 'touch' ELSE 'update' END AS action FROM documents")
+def change_two_hashes(spark, d):
+    """A third has a new raw text, a quarter a new indexed one; a fifth are prompts, which are the same only if both are."""
+    t = read(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("url"), F.md5("text").alias("h"))
+    old = t.where("doc_id % 10 <> 9").select("url", F.col("h").alias("raw_content_hash"), F.col("h").alias("indexed_content_hash"))
+    new = lambda k: F.when(F.col("doc_id") % k == 0, F.concat(F.lit("new"), "h")).otherwise(F.col("h"))
+    return L.changed(old, t.select("doc_id", "url", F.when(F.col("doc_id") % 5 == 0, 10).otherwise(20).alias("status"), new(3).alias("raw_content_hash"), new(4).alias("indexed_content_hash"))).select("doc_id", "action")
+
+
+@query(r"SELECT url, to_url, host <> to_host OR port <> to_port AS is_cross_site, to_port FROM (SELECT url, host, port, unnest([host, 'other' || page_id % 5 || '.test', 'peer.test', host]) AS to_host, unnest([port, 80, port, 8080]) AS to_port, unnest([proto || '://' || host || '/own', 'http://other' || page_id % 5 || '.test/x', proto || '://peer.test/y', proto || '://' || host || ':8080/']) AS to_url FROM (SELECT page_id, url, regexp_extract(url, '^([a-z]+)://', 1) AS proto, regexp_extract(url, '^[a-z]+://([^:/]*)', 1) AS host, CASE WHEN url LIKE 'https%' THEN 443 ELSE 80 END AS port FROM pages))")
+def cross_site_links(spark, d):
+    u = U.parse_url(F.col("url"))
+    links = F.array(F.lit("/own#part"), F.concat(F.lit("http://other"), (F.col("page_id") % 5).cast("string"), F.lit(".test:80/x")), F.lit("//peer.test/y"), F.concat(u["protocol"], F.lit("://"), u["host"], F.lit(":8080")), F.lit("mailto:a@b"), F.lit("ftp://f.test/z"), F.lit(""))
+    rows = read(spark, d, "pages").select("url", u["host"].alias("host"), U.url_port(u).alias("port"), links.alias("links"))
+    return L.link_rows(rows, ("http", "https")).select("url", "to_url", "is_cross_site", "to_port")
+
+
+@query(f"WITH {DOC_PAGES} SELECT url, doc_id % 6 = 0 AS blocked FROM p WHERE NOT (doc_id % 6 = 0 AND doc_id % 4 = 0)")
+def mark_blocked(spark, d):
+    now, day = F.lit("2024-02-01").cast("timestamp_ntz"), lambda c: F.make_dt_interval(c.cast("int"), F.lit(0), F.lit(0), F.lit(0))
+    p = doc_pages(spark, d).select("doc_id", "url", F.lit(None).cast("timestamp_ntz").alias("last_crawled_at"), F.lit(20).alias("last_status"), F.lit("ok").alias("last_meta"), (now - day(F.when(F.col("doc_id") % 4 == 0, 31).when(F.col("doc_id") % 4 == 1, 29))).alias("last_crawl_success_at"))
+    return L.mark_blocked(p, p.where("doc_id % 6 = 0").select("url"), now).select("url", ((F.col("last_meta") == "blocked") & (F.col("last_status") == 0) & (F.col("last_crawled_at") == now)).alias("blocked"))
+
+
+@query("WITH o AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '://([^/]+)/', '://\\1/./') ELSE url END AS url FROM pages) SELECT url FROM o WHERE page_id % 3 <> 0")
+def normal_pages(spark, d):
+    p = read(spark, d, "pages").select(F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "://([^/]+)/", "://$1/./")).otherwise(F.col("url")).alias("url"))
+    return L.normal_only(p, p.select("url", F.col("url").alias("to_url")))[0]
+
+
+@query("WITH o AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '://([^/]+)/', '://\\1/./') ELSE url END AS url, lead(page_id) OVER (ORDER BY page_id) AS n, lead(url) OVER (ORDER BY page_id) AS nu FROM pages) SELECT url, nu AS to_url FROM o WHERE page_id % 3 <> 0 AND n % 3 <> 0")
+def normal_links(spark, d):
+    p = read(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "://([^/]+)/", "://$1/./")).otherwise(F.col("url")).alias("url"))
+    links = p.join(p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("to_url")), "page_id").select("url", "to_url")
+    return L.normal_only(p.select("url"), links)[1]
+
+
 @query(f"WITH {DOC_PAGES} SELECT url, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS who FROM p")
 def insert_if_absent(spark, d):
     p = doc_pages(spark, d)
@@ -460,12 +609,45 @@ def blacklist_domain(spark, d):
     return read(spark, d, "pages").select("url", U.parse_url(F.col("url"))["host"].isin(*P.BLOCKED_HOSTS).alias("blocked"))
 
 
-@query()
+_ODD_PATHS = ("/robots.txt", "/favicon.txt", "/git/x", "/a.git/tree/b", "/a.git/blob/b", "/tools/git.sh", "/~xkcd/1", "/xkcd/1", "/orbit/next", "/orbit/prev.cgi", "/orbit/rand.gmi", "/g/gopher:/:/x", "/rfc-mirror/1", "/commits/ab12/x", "/commits/_/x", "/a/a/a", "/a/b/a", "/plain", "/robots.txt/x", "/next/page")
+_ODD_HOSTS = ("plain.test", "localhost", "127.0.0.9", "a.local", "a.localdomain", "git.a.test", "agit.test", "x.onion", "example.com", "example.company")
+_ODD = f"o AS (SELECT page_id, 'gemini://' || {list(_ODD_HOSTS)}[page_id % 10 + 1] || {list(_ODD_PATHS)}[page_id // 10 % 20 + 1] AS url FROM pages)"
+
+
+def odd_urls(spark, d) -> DataFrame:
+    """A url for each page, of hosts and paths that rules look for and of their likes that they don't."""
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    return read(spark, d, "pages").select("page_id", F.concat(F.lit("gemini://"), pick(_ODD_HOSTS, F.col("page_id") % 10), pick(_ODD_PATHS, F.floor(F.col("page_id") / 10) % 20)).alias("url"))
+
+
+_BUILT_IN = f"""{_ODD}, q AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^:/]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]*(/.*)$', 1) AS path FROM o),
+z AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM q),
+bl AS (SELECT page_id, url, host, path, host IN {P.BLOCKED_HOSTS} OR path IN ('/robots.txt', '/favicon.txt') OR starts_with(host, '127.0.0.') OR regexp_matches(host, '\\.(local|localhost|localdomain|onion)$') OR starts_with(path, '/git/') OR starts_with(host, 'git.') OR ends_with(url, '/git.sh')
+  OR regexp_matches(url, '\\.git/(tree|blob)/|/~?xkcd/|gopher:/:/|rfc-mirror') OR regexp_matches(path, '/(next|prev|rand)(\\.cgi|\\.gmi)?$') OR len(list_filter(list_distinct(parts), lambda a: len(list_filter(parts, lambda b: b = a)) >= 3)) > 0 OR regexp_matches(regexp_extract(url, 'commits/.*$'), '^commits/[a-z0-9A-Z]+[/.]') AS blocked FROM z)"""
+
+
+@query(f"WITH {_BUILT_IN} SELECT page_id, url, blocked FROM bl")
+def blacklist_rules(spark, d):
+    u = U.parse_url(F.col("url"))
+    return odd_urls(spark, d).select("page_id", "url", P.built_in(F.col("url"), u["host"], u["path"]).alias("blocked"))
+
+
+# page urls are of plain hosts: only the rules on parts of a path can hold
+@query(f"SELECT url, regexp_extract(url, '^[a-z]+://([^:/]*)', 1) IN {P.BLOCKED_HOSTS} OR starts_with(url, 'https://git.') OR starts_with(url, 'http://git.') OR regexp_matches(url, '\\.git/(tree|blob)/|/~?xkcd/|gopher:/:/|rfc-mirror|/(robots|favicon)\\.txt$|/git\\.sh$|://[^/]*/git/|/(next|prev|rand)(\\.cgi|\\.gmi)?$|commits/[a-z0-9A-Z]+[/.]') AS blocked FROM pages")
 def blacklist_all(spark, d):
     u = U.parse_url(F.col("url"))
     return read(spark, d, "pages").select("url", P.built_in(F.col("url"), u["host"], u["path"]).alias("blocked"))
 
 
+_PREFIXES = ("gemini://plain.test/commits", "gemini://agit.test:1965/a/", "gemini://a.local/orbit/next?x", "gemini://x.onion/")
+
+
+@query(f"WITH {_ODD}, r AS (SELECT unnest(['plain.test', 'agit.test', 'a.local', 'x.onion']) AS host, unnest(['/commits', '/a/', '/orbit/next', '/']) AS rule), q AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^:/]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]*(/.*)$', 1) AS path FROM o) SELECT DISTINCT url FROM q JOIN r USING (host) WHERE path = rule OR path = rule || '/' OR (length(path) > length(rule) + 1 AND starts_with(path, rule) AND (path[length(rule) + 1] = '/' OR ends_with(rule, '/')))")
+def blacklist_prefixes(spark, d):
+    rules = P.prefix_rules(spark.createDataFrame([(x,) for x in _PREFIXES], "url string"))
+    return P.blocked_by_prefix(odd_urls(spark, d).select("url"), rules)
+
+
 @query(r"SELECT page_id, len(q) >= 3 AND len(list_filter(list_distinct(q), lambda a: len(list_filter(q, lambda b: b = a)) >= 3)) > 0 AS repeats FROM (SELECT page_id, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) || CASE WHEN page_id % 2 = 0 THEN '/en/en/en' ELSE '' END, '/'), lambda x: x <> '') AS q FROM pages)")
 def path_repeat_guard(spark, d):
     path = F.concat(U.parse_url(F.col("url"))["path"], F.when(F.col("page_id") % 2 == 0, "/en/en/en").otherwise(""))
@@ -491,7 +673,7 @@ def ascii_art_flag(spark, d):
     return read(spark, d, "documents").select("doc_id", T.is_ascii_art(F.col("text")).alias("is_art"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) > 1000 THEN left(text, 1000) || '...' ELSE text END AS title FROM documents")
+@query("SELECT doc_id, CASE WHEN strlen(text) > 1000 THEN left(text, list_max(list_filter(range(249, 1001), lambda k: strlen(left(text, k)) <= 1000))::int) || '...' ELSE text END AS title FROM documents")
 def title_truncate(spark, d):
     return read(spark, d, "documents").select("doc_id", T.truncate_title(F.col("text")).alias("title"))
 
@@ -514,7 +696,43 @@ def json_props(spark, d):
     return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query()
+@query("SELECT doc_id, lpad(doc_id::varchar, greatest(3, length(doc_id::varchar))::int, ' ') AS padded, translate(source || 'ÀÉ' || upper(lang), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered, ('0x' || left(md5(text), 16))::uhugeint::decimal(20, 0) AS hash_number FROM documents")
+def text_scalars(spark, d):
+    t = read(spark, d, "documents")
+    return t.select("doc_id", T.left_pad(F.col("doc_id"), 3).alias("padded"), T.ascii_lower(F.concat("source", F.lit("ÀÉ"), F.upper("lang"))).alias("lowered"), T.hash_number(F.left(F.md5("text"), F.lit(16))).alias("hash_number"))
+
+
+@query("WITH l AS (SELECT page_id, unnest(['=> /search Search', '=> /search?q Again', '=> /doc/search Manual', '=> /backlinks', '=> /add_seed =>', 'plain /search', '=> ' || url]) AS line FROM pages) SELECT page_id, line, CASE WHEN starts_with(line, '=>') AND regexp_matches(line, '/search|/backlinks|/add_seed') AND NOT contains(line, '/doc') AND NOT contains(line, '?') THEN replace(line, '=>', '=:') ELSE line END AS markup FROM l")
+def input_links(spark, d):
+    from lanternfish.sources import markup
+
+    lines = F.array(*map(F.lit, ("=> /search Search", "=> /search?q Again", "=> /doc/search Manual", "=> /backlinks", "=> /add_seed =>", "plain /search")), F.concat(F.lit("=> "), "url"))
+    return read(spark, d, "pages").select("page_id", F.explode(lines).alias("line")).select("page_id", "line", markup.ask_input(F.col("line")).alias("markup"))
+
+
+@query(f"WITH {DOC_PAGES}, k AS (SELECT content_type, count(*) AS n FROM p GROUP BY content_type) SELECT -2 AS place, lpad(count(*)::varchar, 8, ' ') || ' : pages' AS markup FROM p UNION ALL SELECT -1, lpad(count(DISTINCT domain_name)::varchar, 8, ' ') || ' : domains' FROM p UNION ALL SELECT row_number() OVER (ORDER BY n DESC, content_type) - 1, lpad(n::varchar, 8, ' ') || ' : ' || content_type FROM k")
+def markup_statistics(spark, d):
+    from lanternfish.sources import markup
+
+    return markup.statistics(doc_pages(spark, d))
+
+
+@query(f"WITH {EDGES}, t AS (SELECT dst FROM e GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1), b AS (SELECT src AS url, length(src) % 2 = 0 AS is_cross_site FROM e WHERE dst = (SELECT dst FROM t)) SELECT k AS is_cross_site, (SELECT count(*) FROM b WHERE is_cross_site = k)::varchar || CASE WHEN k THEN ' cross-capsule backlinks' ELSE ' internal backlinks' END AS markup FROM (VALUES (true), (false)) v(k) UNION ALL SELECT is_cross_site, '=>' || url FROM b")
+def markup_backlinks(spark, d):
+    from lanternfish.sources import markup
+
+    e = path_edges(spark, d)
+    top = e.groupBy("dst").count().orderBy(F.desc("count"), "dst").limit(1)
+    one = e.join(F.broadcast(top.select("dst")), "dst")  # top: one row
+    return markup.backlinks(one.select(F.col("src").alias("url"), (F.length("src") % 2 == 0).alias("is_cross_site")))
+
+
+@query(r"""WITH d AS (SELECT doc_id, source, string_split('# ' || source || chr(10) || '=> /a/1 2024-01-01 x' || chr(10) || '=> /a/2 2024-01-02 y' || chr(10) || '=> /a/3 2024-01-03 z' || chr(10) || text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END) AS l, unnest(range(1, len(ls) + CASE WHEN ls[-1] = '' THEN 0 ELSE 1 END)) AS i FROM d),
+f AS (SELECT *, CASE WHEN starts_with(l, '=>') AND trim(l[3:], ' ' || chr(9)) <> '' THEN 'link' WHEN regexp_matches(l, '^#{1,3}') THEN 'heading' WHEN starts_with(l, '* ') THEN 'list' WHEN starts_with(l, '>') THEN 'quote' ELSE 'text' END AS kind, encode(l) AS b FROM l),
+g AS (SELECT *, CASE kind WHEN 'link' THEN trim(CASE WHEN regexp_matches(trim(l[3:]), '[ 	]') THEN regexp_replace(trim(l[3:]), '^[^ 	]*[ 	]', '') ELSE '' END) WHEN 'heading' THEN trim(regexp_replace(l, '^#{1,3}', '')) WHEN 'list' THEN trim(l[3:]) WHEN 'quote' THEN trim(l[2:]) ELSE l END AS t FROM f),
+k AS (SELECT *, kind = 'text' AND l <> '' AND (l = repeat(l[1], length(l)) AND strlen(l[1]) = 1 OR (strlen(l) > 6 AND l[1] = l[2] AND l[2] = l[3] AND l[-1] = l[-2] AND l[-2] = l[-3] AND strlen(l[1]) = 1 AND strlen(l[-1]) = 1 AND l[1] NOT IN (' ', chr(9)) AND l[-1] NOT IN (' ', chr(9))) OR contains(left(l, 5), '│')) AS gone FROM g)
+SELECT doc_id, any_value(source) AS title, length(string_agg(t, chr(10) ORDER BY i) FILTER (WHERE NOT gone))::int AS n_chars, count(*) FILTER (WHERE kind = 'link')::int AS n_links, true AS is_feed FROM k JOIN d USING (doc_id) GROUP BY doc_id""")
 def markup_documents(spark, d):
     from lanternfish.functions.gemtext import document_of
 
@@ -526,4 +744,4 @@ def markup_documents(spark, d):
 @query()
 def full_text_search(spark, d):
     p = doc_pages(spark, d).withColumns({"indexed_content_hash": F.col("content_hash"), "last_crawl_success_at": F.lit(None).cast("timestamp_ntz")})
-    return S.search(p, S.postings(p).where(F.col("term").isin(*TERMS)), doc_links(spark, d), " ".join(TERMS) + " domain:src3.test domain:src1.test").select("url", F.round("score", 4).alias("score"), "size", "preview")
+    return S.search(p, S.postings(p, terms=TERMS), doc_links(spark, d), " ".join(TERMS) + " domain:src3.test domain:src1.test").select("url", F.round("score", 4).alias("score"), "size", "preview")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanternfish.functions.text import mime_type
+
 PAGES = """url string not null, domain_name string not null, port int not null, content_type string, charset string, lang string, title string, content_body string, feed_type string, size bigint not null,
 last_indexed_at timestamp_ntz, last_crawled_at timestamp_ntz, last_crawl_success_at timestamp_ntz, last_status int, last_meta string, first_seen_at timestamp_ntz not null,
 cross_site_links array<string>, internal_links array<string>, last_queued_at timestamp_ntz, indexed_content_hash string not null, raw_content_hash string not null"""
@@ -34,8 +36,22 @@ def write_snapshot(df: DataFrame, root: str, name: str, version: int) -> str:
     return path
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def newest(spark: SparkSession, root: str, name: str) -> int | None:
+    """The number of the newest whole version of a table; None if there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    names = [x.getPath() for x in fs.listStatus(at)]
+    return max((int(x.getName()[1:]) for x in names if x.getName()[1:].isdigit() and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))), default=None)
+
+
+def current(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}/v{newest(spark, root, name):08d}")
+
+
+def write_next(df: DataFrame, root: str, name: str) -> str:
+    return write_snapshot(df, root, name, (newest(df.sparkSession, root, name) or 0) + 1)
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
@@ -43,13 +59,24 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.btrim("value").alias("url")).where("url <> ''")
 
 
+# fixed values: types whose bodies are fetched, others are known by their headers only
+BODY_TYPES = ("text/gemini", "text/plain", "text/markdown", "text/x-rst", "plaintext")
+
+
 def read_responses(spark: SparkSession, path: str, max_bytes: int = 2_500_000) -> DataFrame:
-    """Landed responses; bodies above max_bytes count as not fetched."""
+    """Landed responses; bodies above max_bytes, and those of successful answers of other types than BODY_TYPES, count as not fetched."""
     d = spark.read.schema(RESPONSES).parquet(path)
-    return d.withColumn("body", F.when(F.octet_length("body") <= max_bytes, F.col("body")))
+    kind = mime_type(F.col("meta"))
+    wanted = ~F.coalesce(F.col("status").between(20, 29), F.lit(False)) | (kind == "") | kind.isin(*BODY_TYPES)
+    return d.withColumn("body", F.when(wanted & (F.octet_length("body") <= max_bytes), F.col("body")))
+
+
+def as_json_rows(df: DataFrame) -> DataFrame:
+    """A JSON object a row, for reports of any size; write it as text."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
 def as_json_array(df: DataFrame, order: list[str]) -> DataFrame:
-    """One row: the rows of a report as a JSON array, in the given order; '[]' for none."""
+    """One row: the rows of a report that is small by nature as a JSON array, in the given order; '[]' for none."""
     row = F.struct(*[F.col(c) for c in [*order, *[c for c in df.columns if c not in order]]])
     return df.agg(F.to_json(F.array_sort(F.collect_list(row))).alias("json"))

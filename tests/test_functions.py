@@ -83,3 +83,34 @@ def test_sql_functions(spark):
     names = sql.register(spark)
     assert "lf_path_matches" in names
     assert spark.sql("select lf_path_matches('/a*', '/abc') x, lf_xxh64_hex('Hello, World!') y").first() == (True, "C49AACF8080FE47F")
+
+
+# every kind of rule: none, plain, folder, star at the start, the end, both, in the middle, twice, escaped
+RULES = [("/", "/", True), ("/pub", "/", True), ("/pub", "/doc", False), ("/doc", "/docs", False), ("/doc", "/doc/", False), ("/doc/", "/doc", True), ("/doc/new/", "/doc", True), ("/doc/", "/doc/new", False), ("/doc.gmi", "/doc", False), ("/doc/a.gmi", "/doc", True), ("/doc/a.gmi", "/doc/*", True), ("/doc/a.gmi", "*.gmi", True), ("/doc/a.gmi", "*.wav", False), ("/doc/old/a.gmi", "*.gmi", True), ("/doc/old/a.gmi", "*.gmi$", True), ("/doc/old_ones/a.gmi", "*old_ones*", True), ("/doc/new_ones/a.gmi", "*old_ones*", False), ("/doc/new_ones/log/a.gmi", "/doc/*/log", True), ("/~ann/cig/a.gmi", "/~*/cgi/", True), ("/doc/1/log/2/end", "/doc/*/log/*/end", True), ("/doc/1/log/end", "/doc/*/log/*/end", False), ("/doc/1/log/end", "/doc/*/log/*", True), ("/doc", "/***", True), ("/doc/(", "/doc/(", True), ("/*/doc/*/.wav", "/pub/doc/log/1wav", False), ("/doc/\\*", "/doc/*", True)]
+
+
+def test_all_kinds_of_rules(spark):
+    for path, rule, blocked in RULES:
+        assert R.path_matches(rule, path) == blocked, (path, rule)
+    d = spark.createDataFrame(RULES, "path string, rule string, blocked boolean")
+    assert d.where(R.rule_blocks(F.col("path"), F.col("rule")) != F.col("blocked")).count() == 0
+
+
+def test_titles_are_cut_by_bytes(spark):
+    long = ["a" * 1000, "a" * 1001, "é" * 1500, "a" + "é" * 1500, "日" * 400, "a🎉" * 300]
+    for t, got in zip(long, column(spark, long, X.truncate_title)):
+        cut = t.encode()[:1000].decode(errors="ignore")
+        assert got == (t if len(t.encode()) <= 1000 else cut + "...")
+    assert column(spark, [None, ""], X.truncate_title) == [None, ""]
+
+
+def test_text_helpers(spark):
+    assert column(spark, ["7", "123456789"], lambda c: X.left_pad(c, 8)) == ["       7", "123456789"]
+    assert column(spark, ["ÀBc"], X.ascii_lower) == ["Àbc"]
+    assert [int(x) for x in column(spark, ["FFFFFFFFFFFFFFFF", "0a", "", "xyz"], X.hash_number)] == [2**64 - 1, 10, 0, 0]
+
+
+def test_feeds_of_a_host(spark):
+    page = "=> {}/1 2024-01-01 a\n=> /2 2024-01-02 b\n=> /3 2024-01-03 c\n"
+    d = spark.createDataFrame([(page.format(""), "h"), (page.format("gemini://o"), "h"), (page.format("gemini://o"), None)], "t string, host string")
+    assert [r["x"]["is_feed"] for r in d.select(G.document_of(F.col("t"), host=F.col("host")).alias("x")).collect()] == [True, False, True]

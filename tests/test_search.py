@@ -1,15 +1,17 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from lanternfish import cli, config
 from lanternfish.operators import graph as G
 from lanternfish.operators import lifecycle as L
 from lanternfish.operators import policy as P
 from lanternfish.operators import reports as R
 from lanternfish.operators import search as S
 from lanternfish.plans import querylang as Q
-from lanternfish.sources import tables
+from lanternfish.sources import markup, tables
 from lanternfish.streaming import crawl
 
 
@@ -139,3 +141,161 @@ def test_blocked_urls(spark):
     rules = P.prefix_rules(blocked_urls(spark))
     urls = spark.createDataFrame([("gemini://taz.de/",), ("gemini://caolan.uk/weather/xy",), ("gemini://caolan.uk/",), ("gemini://geddit.pitr.ca/post",)], "url string")
     assert {r["url"] for r in P.blocked_by_prefix(urls, rules).collect()} == {"gemini://taz.de/", "gemini://caolan.uk/weather/xy", "gemini://geddit.pitr.ca/post"}
+
+
+def test_cover_rank_is_cover_density(spark):
+    rng = random.Random(3)
+    cases = [[sorted(rng.sample(range(1, 60), rng.randint(1, 12))) for _ in range(rng.randint(1, 4))] for _ in range(80)] + [[[5], [5]], [[1, 2, 3], [3], [3, 9]]]
+
+    def plain(positions):
+        if len(positions) == 1:
+            return 0.1 * len(positions[0])
+        events, rank, begin = sorted((p, t) for t, ps in enumerate(positions) for p in ps), 0.0, -1
+        for i, (p, _) in enumerate(events):
+            last = {t: q for q, t in events[: i + 1]}
+            if len(last) == len(positions) and min(last.values()) > begin:
+                begin = min(last.values())
+                inside = [e for e in events[: i + 1] if e[0] >= begin]
+                first = inside.index(min(e for e in inside if last[e[1]] == e[0] == begin))
+                rank += 0.1 / (1 + max(0, p - begin - (len(inside) - 1 - first)))
+        return rank
+
+    for c in cases:
+        got = spark.range(1).select(S.cover_rank(F.array(*[F.array(*map(F.lit, ps)) for ps in c]), len(c)).alias("r")).first()["r"]
+        assert got == pytest.approx(S.cover_density(c)) == pytest.approx(plain(c))
+
+
+def test_native_fold_is_the_plain_one(spark):
+    rng = random.Random(4)
+    hosts, paths, rows = ["a.x", "b.x", "c.x", "m.x"], ["/p", "/~u/p", "/users/u/p", "/user/u/p", "/a.x/p", "/b.x/~u/p", "/q/", "/q"], []
+    for i in range(300):
+        host, path = rng.choice(hosts), rng.choice(paths)
+        rows.append((f"gemini://{host}{path}", host, path, rng.choice(["h1", "h2", "h3", "h4", "", None]), rng.choice([0, 5, 5, 5]), float(rng.randint(0, 400)), float(rng.randint(0, 20))))
+    cols = ["url", "host", "path", "content_hash", "size", "text_rank", "score"]
+    got = S.dedup(spark.createDataFrame(rows, "url string, host string, path string, content_hash string, size long, text_rank double, score double")).collect()
+    expect = []
+    for h in {r[3] for r in rows}:
+        mine = [dict(zip(cols, r)) for r in rows if r[3] == h]
+        whole = [r for r in mine if r["size"] and h]
+        expect += [r for r in mine if not (r["size"] and h)] + S.merge_copies(sorted(whole, key=lambda r: (-r["text_rank"], r["url"], r["host"], r["path"], r["size"], r["score"])), better=True)
+    assert sorted(repr([r[c] for c in cols]) for r in got) == sorted(repr([r[c] for c in cols]) for r in expect)
+
+
+def test_local_ranking_is_asked_for(spark, monkeypatch):
+    nodes, e = graph_of(spark, [("a", "x"), ("b", "x"), ("b", "y"), ("c", "x"), ("c", "x"), ("d", "e")])
+    for algorithm in ("hits", "salsa", "other"):
+        far, near = ({r["node"]: r["score"] for r in G.rank(nodes, e, algorithm, local).collect()} for local in (False, True))
+        assert far.keys() == near.keys() and all(far[k] == pytest.approx(near[k], abs=1e-9) for k in far)
+    monkeypatch.setattr(G, "LOCAL_ROWS", 3)
+    with pytest.raises(ValueError):
+        G.rank(nodes, e, "salsa", True)
+
+
+def test_stored_index(spark, tmp_path):
+    pages = spark.createDataFrame([(f"gemini://h/{i}", f"Title {i}", "the cat and the dog " + "cat " * i) for i in range(20)], "url string, title string, content_body string")
+    at = f"file://{tmp_path}/index"
+    S.write_index(S.postings(pages), at, buckets=16)
+    some = S.read_index(spark, at, ["cat", "dog"], buckets=16)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]  # other folders are not read
+    rows = lambda d: sorted(map(repr, d.select("term", "url", "field", "tf", "positions").collect()))
+    assert rows(some) == rows(S.postings(pages, terms=["cat", "dog"])) and rows(S.read_index(spark, at)) == rows(S.postings(pages))
+    new = spark.createDataFrame([("gemini://h/3", "New", "bird"), ("gemini://h/99", "Else", "cat")], pages.schema)
+    gone = pages.where("url = 'gemini://h/4'").select("url")
+    left = pages.where("url not in ('gemini://h/3', 'gemini://h/4')").unionByName(new)
+    assert rows(S.update_index(S.read_index(spark, at), new, gone)) == rows(S.postings(left))
+    assert S.read_index(spark, at, [], buckets=16).count() == 0
+
+
+def stamp(day, hour=0):
+    return dt.datetime(2024, 1, day, hour)
+
+
+def ntz(t):
+    return F.lit(t).cast("timestamp_ntz")
+
+
+def test_latest_response_counts(spark):
+    pages, links = spark.createDataFrame([], tables.PAGES), spark.createDataFrame([], tables.LINKS)
+    rows = [("gemini://a.x/", 20, "text/gemini", b"# Old\n=> /old", stamp(1)), ("gemini://a.x/", 20, "text/gemini", b"# New\n=> /new", stamp(2)), ("gemini://a.x/", 20, "text/gemini", b"# New\n=> /new", stamp(2))]
+    p, k = L.crawl_batch(pages, links, spark.createDataFrame(rows, tables.RESPONSES), ntz(stamp(3)))
+    assert {r["url"]: r["title"] for r in p.collect()} == {"gemini://a.x/": "New", "gemini://a.x/new": None} and p.count() == 2
+    assert [r["to_url"] for r in k.collect()] == ["gemini://a.x/new"]
+
+
+def test_touch_notes_the_type(spark):
+    old = [("gemini://a.x/", 20, "text/gemini", b"same", stamp(1))]
+    pages, links = L.crawl_batch(spark.createDataFrame([], tables.PAGES), spark.createDataFrame([], tables.LINKS), spark.createDataFrame(old, tables.RESPONSES), ntz(stamp(1)))
+    again = spark.createDataFrame([("gemini://a.x/", 21, "text/plain; lang=en", b"same", stamp(2))], tables.RESPONSES)
+    r = L.crawl_batch(pages, links, again, ntz(stamp(2)))[0].first()
+    assert (r["content_type"], r["last_status"], r["last_meta"], r["last_indexed_at"]) == ("text/plain", 21, "text/plain; lang=en", stamp(1))
+    forced = L.crawl_batch(pages, links, again, ntz(stamp(2)), force=True)[0].first()
+    assert forced["last_indexed_at"] == stamp(1)  # both hashes are the same
+
+
+def test_crawl_round(spark):
+    one = lambda ddl, *rows: spark.createDataFrame(list(rows), ddl)
+    none = {n: one(tables.TABLES[n]) for n in tables.TABLES}
+    page = lambda url, **more: tuple({"url": url, "domain_name": "h", "port": 1965, "size": 0, "first_seen_at": stamp(1), "indexed_content_hash": "", "raw_content_hash": "", **more}.get(c.split()[0]) for c in tables.PAGES.replace("\n", " ").split(", "))
+    pages = one(tables.PAGES, page("gemini://h.x/../odd"), page("gemini://gone.x/", last_status=53, last_crawled_at=stamp(9)), page("gemini://shut.x/in/a", last_crawl_success_at=stamp(9)))
+    got = one(
+        tables.RESPONSES, ("gemini://shut.x/robots.txt", 20, "text/plain", b"User-agent: *\nDisallow: /in\n", stamp(10)), ("gemini://shut.x/in/a", 20, "text/gemini", b"x", stamp(10)), ("gemini://gone.x/", 20, "text/gemini", b"x", stamp(10)),
+        ("gemini://h.x/moved", 31, "gemini://h.x/there", None, stamp(10)), ("gemini://h.x/there", 20, "text/gemini", b"# There\n=> gemini://shut.x/in/b\n=> gemini://shut.x/out\n=> gemini://localhost/\n", stamp(10)), ("gemini://h.x/lost", 30, "gemini://nowhere.x/", None, stamp(10)), ("gemini://h.x/bad", 53, "wrong host", None, stamp(10)),
+    )
+    new = L.crawl_round(pages, none["links"], none["robot_policies"], none["robot_policies_status"], none["perma_redirects"], got, ntz(stamp(11)), P.prefix_rules(one("url string")), one("host string, port int"))
+    by = {r["url"]: r for r in new["pages"].collect()}
+    assert set(by) == {"gemini://gone.x/", "gemini://shut.x/in/a", "gemini://h.x/moved", "gemini://h.x/there", "gemini://h.x/lost", "gemini://h.x/bad", "gemini://shut.x/out"}
+    assert by["gemini://gone.x/"]["last_crawled_at"] == stamp(9) and by["gemini://shut.x/in/a"]["last_meta"] == "blocked"
+    assert by["gemini://h.x/moved"]["title"] == "There" and by["gemini://h.x/lost"]["last_status"] == 30 and (by["gemini://h.x/bad"]["last_status"], by["gemini://h.x/bad"]["last_meta"]) == (53, "wrong host")
+    assert [tuple(r) for r in new["perma_redirects"].collect()] == [("gemini://h.x/moved", "gemini://h.x/there")]
+    assert [tuple(r) for r in new["robot_policies"].collect()] == [("shut.x", 1965, "/in")] and new["robot_policies_status"].first()["have_policy"]
+    assert new["links"].where("url = 'gemini://h.x/there'").count() == 3
+    assert P.robots_urls(one("url string", ("gemini://shut.x/a",), ("gemini://h.x:70/a",)), new["robot_policies_status"], ntz(stamp(12))).collect() == [("gemini://h.x:70/robots.txt",)]
+
+
+def test_purge_counts(spark):
+    pages, links = spark.createDataFrame([("a1",), ("a2",), ("b",)], "url string"), spark.createDataFrame([("a1", "b"), ("b", "a2"), ("b", "b")], "url string, to_url string")
+    p, k, n = L.purge_index(pages, links, "a%")
+    assert n == 2 and p.count() == 1 and k.count() == 1
+
+
+def test_backlinks_without_protocol(spark):
+    links = spark.createDataFrame([("gemini://b/", "gemini://a.x/p", True)], "url string, to_url string, is_cross_site boolean")
+    assert G.backlink_rows(links, "a.x/p").count() == 1 and G.backlink_rows(links, "gemini://a.x/p").count() == 1 and G.backlink_rows(links, "a.x").count() == 0
+
+
+def test_feed_contract(spark):
+    pages = spark.createDataFrame([("a", "atom"), ("b", "rss"), ("c", None)], "url string, feed_type string")
+    assert [r["url"] for r in R.known_feeds(pages, "").collect()] == ["a"] and [r["url"] for r in R.known_feeds(pages, "rss").collect()] == ["b"]
+    with pytest.raises(ValueError):
+        R.known_feeds(pages, "html")
+
+
+def test_result_markup(spark, tmp_path):
+    found = spark.createDataFrame([("gemini://a.x/b%20c", "T", 1.5, 2500, "", None, "text"), ("gemini://a.x/", "gemini://a.x/", 1.0, 10, "text/x", dt.datetime(2024, 1, 2), "more")], "url string, title string, score double, size long, content_type string, last_crawl_success_at timestamp_ntz, preview string")
+    plain = [r["markup"] for r in markup.results(found).collect()]
+    assert plain == ["=> gemini://a.x/b%20c T (unknown/none, 2KB)\n* gemini://a.x/b c\ntext\n", "=> gemini://a.x/ gemini://a.x/ (text/x, 1KB)\nmore\n"]
+    assert "* Score: 1.0\n* Last Crawled: 2024-01-02 00:00:00" in markup.results(found, True).collect()[1]["markup"]
+    markup.write(markup.hosts(found), f"file://{tmp_path}/hosts", ["markup"])
+    assert [r["value"] for r in spark.read.text(f"file://{tmp_path}/hosts").collect()] == ["=> gemini://a.x/", "=> gemini://a.x/b%20c"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    root, seeds = f"file://{tmp_path}/tables", tmp_path / "seeds"
+    (tmp_path / "settings.json").write_text('{"tables": "%s", "batch": 10}' % root)
+    seeds.write_text("gemini://a.x/\n\ngemini://b.x\nnot a url\n")
+    run = lambda *a: cli.main(["--config", str(tmp_path / "settings.json"), *a])
+    run("populate_schema")
+    run("populate_schema")
+    run("seed", str(seeds))
+    landed = [("gemini://a.x/", 20, "text/gemini", b"# A\n=> /p\n", stamp(1)), ("gemini://b.x/", 20, "image/png", b"\x89", stamp(1))]
+    spark.createDataFrame(landed, tables.RESPONSES).write.parquet(f"file://{tmp_path}/landed")
+    run("crawl", f"file://{tmp_path}/landed")
+    pages = {r["url"]: r for r in tables.current(spark, root, "pages").collect()}
+    assert set(pages) == {"gemini://a.x/", "gemini://b.x/", "gemini://a.x/p"} and pages["gemini://a.x/"]["title"] == "A" and pages["gemini://b.x/"]["size"] == 0
+    run("purge", "gemini://a.x/%")
+    run("indexstatus")
+    assert "Deleted 2 pages" in (out := capsys.readouterr().out) and "1 pages in index" in out
+    with pytest.raises(ValueError):
+        config.load('{"nonsense": 1}')
+    assert config.load("{}") == config.Settings()
