@@ -2,20 +2,26 @@
 
 A document is its set of 64-bit hashes of five-word shingles. Documents of one set are a class (its smallest doc_id). Shingles have one
 global order: rare ones by hash, then the frequent ones by count; so two sets with 100 * |a & b| >= 80 * |a | b| share one of the
-first n - ceil(0.8 n) + 1 shingles, their prefixes. Classes with one prefix and size form one group, and groups, not documents, are
-listed under the shingles of the prefix.
+first n - ceil(0.8 n) + 1 shingles, their prefixes. Documents with one prefix and size form one group, named by its smallest doc_id, and
+groups, not documents, are listed under the shingles of the prefix.
 
-The lists are range-partitioned by (shingle, size, group), so a shingle of very many documents is spread over tasks, and streamed:
+The lists are range-partitioned by (shingle, size, place, group), so a shingle of very many documents is spread over tasks, and streamed:
 in each list, every group is paired with the first one of a compatible size, a number of pairs linear in the lists. Pairs are
-expanded to classes and verified on whole sets. Then only lists and groups that still hold several components are left; pairs of
-different components in them are emitted, verified and joined. So every component is whole, but members of one component are not
-paired with each other: n_joining_links of a class counts the links that were verified to join components, not all that it has. Components come from alternating large and small stars, with each round written to the shared folder.
-
-Which shingles are frequent is found in bounded windows over all documents and concerns speed only, as any order gives the same
-links; the list is at most FREQUENT long, and so has a size bound for the broadcast.
+expanded to classes, filtered by parity bitmaps of two to four bits a shingle, whose distance bounds what two sets have in common from above
+(so no link is lost), and verified on whole sets, which are made only for the few documents that are left. Then only lists that still hold several components are left. A second round pairs
+their members with the one whose prefix has the fewest rare shingles before the list's, which is the most central one; a last one
+pairs what is left: members of different components of a list whose sizes and places allow a link, long lists by blocks. So every
+component is whole, but members of one component are not paired with each other: n_joining_links of a class counts the links that were
+verified to join components, not all that it has.
+
+Components come from contracting the edges of each task to stars and, as long as there are several tasks, from alternating large and
+small stars, with each round written to the shared folder. Which shingles are frequent is found in bounded windows over all documents and
+concerns speed only, as any order gives the same links; they are taken from a count on that a histogram of 8 bins a doubling
+allows, FREQUENT at most, and so have a size bound for the broadcast.
 
 Defined results: null, empty and blank texts have no shingles and are their own components; texts of one to four words are one
-shingle; a row without doc_id has no component; repeated rows come back each; an empty table gives no rows.
+shingle; a row without doc_id has no component; repeated rows come back each; rows that share doc_id with different texts are one node of
+the links, which has the links of each of its texts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +39,14 @@ from lanternfish.llm import common as C
 WIDTH = 5
 PERCENT = 80
 FREQUENT = 1 << 17
-WINDOW = 1 << 22
+WINDOW = 1 << 21
 MIN_IN_WINDOW = 2
 WINDOW_DOCS = 8192
-NARROW_ROWS = 50_000
-STARS = 1
+NARROW_ROWS = 200_000
+#: Edges that a task contracts in its memory, ids that are broadcast, rows of a list that are paired in one task.
+EDGES = 1 << 21
+SMALL_IDS = 100_000
+BLOCK = 1024
 #: Words and shingles are hashed as polynomials with odd multipliers modulo 2 ** 64, each followed by a mix of its bits.
 _BYTE, _WORD = 0x9E3779B97F4A7C15, np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
@@ -145,8 +154,8 @@ def _texts(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]
     return zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), width))
 
 
-def frequent(docs: DataFrame, width: int = WIDTH, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles, sorted by hash, and their places in the order of count. Each window of a task's documents gives those it holds MIN_IN_WINDOW times; copies in a window count once."""
+def frequent(docs: DataFrame, scratch: C.Scratch, width: int = WIDTH, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, limit at most, sorted by hash, and their places in the order of count. Each window of a task's documents gives those it holds MIN_IN_WINDOW times; copies in a window count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted() -> pa.RecordBatch:
@@ -163,17 +172,30 @@ def frequent(docs: DataFrame, width: int = WIDTH, limit: int = FREQUENT) -> tupl
                     held.append(s)
                     total += len(s)
                 if total > WINDOW:
-                    yield counted()
+                    yield from C.slices(counted())
                     held, seen, total = [], set(), 0
         if held:
-            yield counted()
+            yield from C.slices(counted())
 
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, docs.count() // WINDOW_DOCS)  # small partitions would see too little each
-    found = C.text_batches(docs).select("doc_id", "text").coalesce(tasks).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    h = found.orderBy(F.desc("c"), "h").limit(limit).select("h").toPandas()["h"].to_numpy(np.int64)  # limit rows at most
-    place = np.arange(len(h))[::-1]
-    order = np.argsort(h)
-    return h[order], place[order]
+    found = docs.select("doc_id", "text").coalesce(tasks).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    found = scratch.keep(found.withColumn("bin", F.floor(8 * F.log2("c")).cast("int")), "shingle-counts")
+    least, total = None, 0
+    for r in sorted(found.groupBy("bin").agg(F.count("*").alias("n")).collect(), reverse=True):  # 8 bins a doubling
+        total += r["n"]
+        if total > limit:
+            break
+        least = r["bin"]
+    if least is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    got = found.where(F.col("bin") >= least).select("h", "c").toArrow()  # limit rows at most
+    scratch.drop(found)
+    h, c = got["h"].to_numpy(), got["c"].to_numpy()
+    at = np.argsort(h)
+    h, c = h[at], c[at]
+    place = np.empty(len(h), np.int64)
+    place[np.lexsort((h, c))] = np.arange(len(h))
+    return h, place
 
 
 class _Order:
@@ -196,6 +218,23 @@ class _Order:
         return np.concatenate([np.delete(s, some), s[some][np.argsort(self.place[at], kind="stable")]])
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bitmap of a set in 64-bit words: bit i tells whether the number of its hashes that are i modulo the bitmap's size, a power of 2, is odd. A bitmap of half the size is the exclusive or of the halves."""
+    bits = 64
+    while bits < 2 * len(s):
+        bits *= 2
+    return np.packbits((np.bincount(s & (bits - 1), minlength=bits) & 1).astype(bool)).view(np.int64)
+
+
+def _may_link(na: str, a: str, nb: str, b: str, percent: int) -> str:
+    """SQL: whether sets of sizes na, nb and bitmaps a, b can be linked. Their bitmaps differ in at most as many bits as only one set holds shingles."""
+    half = lambda x: f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, size({x}) div 2 + 1, size({x}) div 2), (p, q) -> p ^ q)"
+    fold = lambda x, y: f"if(size({x}) > size({y}), {half(x)}, {x})"
+    apart = f"aggregate(zip_with({fold(a, b)}, {fold(b, a)}, (p, q) -> bit_count(p ^ q)), 0, (s, k) -> s + k)"
+    # 100 * o >= percent * (na + nb - o), with o <= (na + nb - apart) / 2; sizes beyond that can't be linked, and others' bitmaps are of one size or half of it
+    return f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) and {100 + percent} * ({na} + {nb} - {apart}) >= {2 * percent} * ({na} + {nb})"
+
+
 def _sets(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = order.value
@@ -206,11 +245,12 @@ def _sets(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
                 full = xxhash.xxh3_128_digest(s.tobytes())
                 prefix = ordered(s)[: n - (percent * n + 99) // 100 + 1] if n else s
                 group = xxhash.xxh3_64_intdigest(prefix.tobytes(), n)
-                out.append((d, n, int.from_bytes(full[:8], "little", signed=True), int.from_bytes(full[8:], "little", signed=True), group - (1 << 63), prefix))
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(list(cols[5]), pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "g", "prefix"])
+                out.append((d, n, int.from_bytes(full[:8], "little", signed=True), int.from_bytes(full[8:], "little", signed=True), group - (1 << 63), prefix, parity(s)))
+            cols = list(zip(*out)) or [[]] * 7
+            lists = [pa.array(list(c), pa.list_(pa.int64())) for c in cols[5:]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), *lists], names=["doc_id", "n", "s1", "s2", "g", "prefix", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n long, s1 long, s2 long, g long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n long, s1 long, s2 long, g long, prefix array<long>, bits array<long>")
 
 
 PAIR, LISTED = 0, 1
@@ -227,12 +267,13 @@ def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stream_lists(percent: int):
-    """Rows (h, n, g, pos) sorted -> (kind, a, b, h, pos): each group with the first one of a compatible size in its list, once a batch of lists, and the lists that hold several groups, or may as they reach a task's end."""
+    """Rows (h, at: size << 32 | place, g, d) sorted -> (kind, a, b, h): each group, by its smallest d, with the first one of a compatible size in its list, once a batch of lists, and the rows (group, at, h) of lists that hold several groups, or may as they reach a task's end."""
 
-    def flush(h: np.ndarray, n: np.ndarray, g: np.ndarray, pos: np.ndarray, ends: bool) -> Iterator[pa.RecordBatch]:
+    def flush(h: np.ndarray, at: np.ndarray, g: np.ndarray, d: np.ndarray, ends: bool) -> Iterator[pa.RecordBatch]:
         keep = np.ones(len(h), bool)
-        keep[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-        h, n, g, pos = h[keep], n[keep], g[keep], pos[keep]
+        keep[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (at[1:] != at[:-1])
+        h, at, g, d = h[keep], at[keep], g[keep], d[keep]
+        n, pos = at >> 32, at & 0xFFFFFFFF
         first, last, closed = h[0], h[-1], np.ones(len(h), bool)
         if ends:
             closed = (h != first) & (h != last)
@@ -240,10 +281,10 @@ def _stream_lists(percent: int):
         start, _ = _runs(h)
         low = np.maximum(n[start], (percent * n + 99) // 100)
         keep = ~closed | ((100 + percent) * (n - pos) >= percent * (n + low))
-        h, n, g, pos, closed = h[keep], n[keep], g[keep], pos[keep], closed[keep]
+        h, at, g, d, n, pos, closed = h[keep], at[keep], g[keep], d[keep], n[keep], pos[keep], closed[keep]
         start, size = _runs(h)
         keep = ~closed | (size > 1)
-        h, n, g, pos = h[keep], n[keep], g[keep], pos[keep]
+        h, at, g, d, n, pos = h[keep], at[keep], g[keep], d[keep], n[keep], pos[keep]
         pivot, _ = _runs(h)
         while len(h):  # a new first one where the sizes have grown too far; a few rounds, as sizes grow by a quarter each
             far = percent * n > 100 * n[pivot]
@@ -251,205 +292,223 @@ def _stream_lists(percent: int):
                 break
             lead = far.copy()
             lead[1:] &= ~(far[:-1] & (pivot[1:] == pivot[:-1]))
-            at = np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))
-            pivot = np.where(far, at, pivot)
+            here = np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))
+            pivot = np.where(far, here, pivot)
         near = (g != g[pivot]) & ((100 + percent) * np.minimum(n - pos, n[pivot] - pos[pivot]) >= percent * (n + n[pivot]))
-        p = np.unique(np.stack([g[pivot][near], g[near]], 1), axis=0)
+        p = np.unique(np.stack([d[pivot][near], d[near]], 1), axis=0)
         # a list of two is told by its pair alone
         start, size = _runs(h)
         alone = (size == 2) & ((h != first) & (h != last) if ends else True)
         told = alone & ~(near[start] | near[np.minimum(start + 1, len(h) - 1)]) if len(h) else alone
-        h, n, g, pos = h[~told], n[~told], g[~told], pos[~told]
+        h, at, d = h[~told], at[~told], d[~told]
         kinds = np.concatenate([np.full(len(p), PAIR, np.int32), np.full(len(h), LISTED, np.int32)])
-        none = np.zeros(len(p), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([p[:, 0], g])), pa.array(np.concatenate([p[:, 1], n])), pa.array(np.concatenate([none, h])), pa.array(np.concatenate([none, pos]))], names=["kind", "a", "b", "h", "pos"])
+        yield from C.slices(pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([p[:, 0], d])), pa.array(np.concatenate([p[:, 1], at])), pa.array(np.concatenate([np.zeros(len(p), np.int64), h]))], names=["kind", "a", "b", "h"]))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, first = [], 0, True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([batch.column(c).to_numpy() for c in ("h", "n", "g", "pos")])
+            held.append([batch.column(c).to_numpy() for c in ("h", "at", "g", "d")])
             rows += batch.num_rows
             if rows >= 1 << 18:
-                h, n, g, pos = map(np.concatenate, zip(*held))
+                h, at, g, d = map(np.concatenate, zip(*held))
                 cut = int(np.searchsorted(h, h[-1]))  # the last list may go on
                 if cut == 0 and rows < 1 << 20:
                     continue
                 cut = cut or len(h)
-                yield from flush(h[:cut], n[:cut], g[:cut], pos[:cut], first or cut == len(h))
-                held, rows, first = ([[h[cut:], n[cut:], g[cut:], pos[cut:]]] if cut < len(h) else []), len(h) - cut, cut == len(h)
+                yield from flush(h[:cut], at[:cut], g[:cut], d[:cut], first or cut == len(h))
+                held, rows, first = ([[h[cut:], at[cut:], g[cut:], d[cut:]]] if cut < len(h) else []), len(h) - cut, cut == len(h)
         if held:
             yield from flush(*map(np.concatenate, zip(*held)), True)
 
     return stream
 
 
-def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) -> (node, comp): the smallest node that each node reaches by a task's edges."""
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    a, b = map(np.concatenate, zip(*held))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        x, y = low[a], low[b]
+        if (x == y).all():
+            break
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+    yield from C.slices(pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[low])], names=["node", "comp"]))
+
+
+def _join(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffle: neither side passes through the driver, and AQE splits hot keys."""
+    return a.join(b.hint("merge"), on, how)
+
+
+def components(edges: DataFrame, parts: int | None = None, per_task: int = EDGES) -> DataFrame:
     """(node, comp) of every node of edges (a, b), as a written table: comp is the smallest node that it reaches. Tables of edges are written in parts files, if given."""
 
     def write(df: DataFrame, name: str) -> DataFrame:
         return C.materialize(df.coalesce(parts) if parts else df, name)
 
-    e = write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    e = edges.where("a <> b").select("a", "b")
+    tasks = -(-e.count() // per_task)
+    stars = C.materialize(e.coalesce(max(1, tasks)).mapInArrow(_contract, "node long, comp long"), "components")
+    if tasks <= 1:
+        return stars
+    e = stars.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    old = [stars]
     while True:
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _join(both, low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # in large, b < a; small star: the lower neighbours and the node itself go to the lowest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        old, e = e, write(large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct(), "edges")
-        C.discard(old)
+        e = write(_join(large, low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).distinct(), "edges")
+        C.discard(*old)
+        old = [e]
         # done when each node has one edge, to a node that has none
         per = e.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1))).groupBy("a").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
         if not per.where("up > 1 or (up > 0 and down > 0)").limit(1).count():
             break
     out = write(e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "components")
-    C.discard(e)
+    C.discard(*old)
     return out
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets are near enough."""
-    d = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    """Those of pairs (a, b) whose sets are near enough. b's set joins first: pairs of a hub a then come with their sets and are heavy enough for AQE to split."""
+    d = _join(_join(pairs, sets.toDF("b", "y"), "b"), sets.toDF("a", "x"), "a")
     both = F.size(F.array_intersect("x", "y"))
-    return d.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return d.where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
 
 
-def _maybe(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """docs without most rows whose doc_id is not among the n of wanted, by one bit a hash: 16 MB at most, whatever n is; only speed depends on it."""
-    bits = 1 << min(27, max(15, (16 * n).bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
-    maps = wanted.select(F.bitmap_bucket_number(slot).alias("_bucket"), F.bitmap_bit_position(slot).alias("_at")).groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_map"))
-    at = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(F.col("_map"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.getbit(byte.cast("bigint"), F.pmod(at, F.lit(8)).cast("int")) == 1
-    return docs.join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col("_bucket")).where(hit).select(*docs.columns)
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id, n_joining_links) of each row: n_joining_links counts the class's verified links to others, those that joined components."""
+    with C.text_batches(docs.sparkSession), C.Scratch() as scratch:
+        return _components_of(docs, width, percent, block, scratch)
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id, n_joining_links) of each row: n_joining_links counts the class's verified links to others, those that joined components."""
+def _components_of(docs: DataFrame, width: int, percent: int, block: int, scratch: C.Scratch) -> DataFrame:
     spark = docs.sparkSession
     n_parts = C.shuffle_partitions(spark)
-    scratch: list[DataFrame] = []
-    C.text_batches(docs)
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        scratch.append(C.materialize(df, name))
-        return scratch[-1]
+    keep = scratch.keep
+    order = spark.sparkContext.broadcast(_Order(*frequent(docs, scratch, width)))
+    made = keep(_sets(docs, order, width, percent), "sets")
+    order.destroy()
+    parts = min(n_parts, -(-made.count() // NARROW_ROWS) or 1)
 
     def narrow(df: DataFrame, name: str) -> DataFrame:
         """keep() for tables of a few numbers a document or fewer: as many files as documents ask for."""
         return keep(df.coalesce(parts), name)
 
-    order = spark.sparkContext.broadcast(_Order(*frequent(docs, width)))
-    made = keep(_sets(docs, order, width, percent), "sets")
-    parts = min(n_parts, max(8, made.count() // NARROW_ROWS))
     full = made.where("n > 0 and doc_id is not null")
-    classes = narrow(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("c"), F.min("g").alias("g"), F.min("n").alias("n")), "classes")
-    lists = full.select("g", "n", F.posexplode("prefix").alias("pos", "h")).withColumn("pos", F.col("pos").cast("long")).repartitionByRange(n_parts, "h", "n", "g").sortWithinPartitions("h", "n", "g")
-    found = keep(lists.mapInArrow(_stream_lists(percent), "kind int, a long, b long, h long, pos long"), "lists")
-    group_pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
-    # lists that were open at the ends of tasks: their parts' groups, each with the first of the whole list
-    listed = found.where(F.col("kind") == LISTED).select("h", F.col("a").alias("g"), F.col("b").alias("n"), "pos")
-
-    reps = classes.groupBy("g").agg(F.min("c").alias("r"), F.count("*").alias("k"))
-    within = classes.join(reps.where("k > 1"), "g").where("c <> r").select(F.col("r").alias("a"), F.col("c").alias("b"))
-    across = group_pairs.join(reps.select(F.col("g").alias("a"), F.col("r").alias("ra")), "a").join(reps.select(F.col("g").alias("b"), F.col("r").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    pairs = narrow(within.union(across), "pairs")
-    sets: DataFrame | None = None
+    sets_of = keep(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("c"), F.first("g").alias("g"), F.first("n").alias("n"), F.first("bits").alias("bits")).coalesce(parts), "set-classes")
+    classes = narrow(_join(sets_of.select("c", "g", "s1", "s2"), sets_of.groupBy("g").agg(F.min("c").alias("r")), "g").select("c", "r", "s1", "s2"), "classes")
+    lists = full.select("g", F.col("doc_id").alias("d"), "n", F.posexplode("prefix").alias("pos", "h")).select("h", (F.shiftleft("n", 32) + F.col("pos")).alias("at"), "g", "d")
+    lists = lists.repartitionByRange(n_parts, "h", "at", "g").sortWithinPartitions("h", "at", "g", "d")
+    found = keep(lists.mapInArrow(_stream_lists(percent), "kind int, a long, b long, h long"), "lists")
+    # lists that were open at the ends of tasks are here too
+    listed = found.where(F.col("kind") == LISTED).select("h", F.col("a").alias("r"), F.shiftright("b", 32).alias("n"), F.col("b").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
+    sets: list[DataFrame] = []
+    # rows that repeat a doc_id would multiply the joins of sets; most tables have none
+    repeated = not full.groupBy("doc_id").count().where("count > 1").isEmpty()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = list(_texts(batch, width))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["c", "x"])
-
-    def near_prefixes(pairs: DataFrame) -> DataFrame:
-        """Pairs that can be links by their prefixes. With o shingles in common, a's prefix holds at most n_a - o that b lacks, and all others
-        of the prefix that ends first are in the other one: so both share p - (n - o) at least, for one of the two."""
-        both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = narrow(both, "distinct-pairs")
-        ids = narrow(both.select(F.col("a").alias("doc_id")).union(both.select("b")).distinct(), "pair-ids")
-        pre = _maybe(made.select("doc_id", "n", "prefix"), ids, ids.count()).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        pre = keep(pre, "prefixes")
-        d = both.join(pre.toDF("a", "na", "pa"), "a").join(pre.toDF("b", "nb", "pb"), "b")
-        least = f"{percent} * (na + nb) / {100 + percent}"
-        return d.where(f"size(array_intersect(pa, pb)) >= least(size(pa) - na, size(pb) - nb) + {least}").select("a", "b")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The links among pairs; sets that were not made yet are made first."""
-        nonlocal sets
-        pairs = narrow(near_prefixes(pairs), "near-pairs")
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select(F.col("c").alias("doc_id")), "doc_id", "left_anti")
-        wanted = narrow(wanted, "wanted")
-        n = wanted.count()
-        if n:
-            texts = _maybe(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted, n).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            more = keep(texts.mapInArrow(whole, "c long, x array<long>"), "whole-sets")
-            sets = more if sets is None else sets.union(more)
-        return _links(pairs, sets, percent) if sets is not None else pairs
-
-    links = narrow(linked(pairs), "links")
-    comps = components(links, parts)
-
-    def labelled(of: DataFrame) -> DataFrame:
-        return classes.join(of.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-
-    def open_lists(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Units, the classes of one group and component, as one row each; and their rows in lists that hold several components."""
-        per_unit = units.groupBy("g", "comp").agg(F.min("n").alias("n"), F.min("c").alias("c"))
-        spread = per_unit.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        mixed = listed.join(spread, "g").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h")
-        return per_unit, listed.select("h", "g", "pos").join(mixed, "h").join(per_unit, "g")
-
-    # more stars, about groups that are central in that many of their shingles are listed, then about any; linear in the lists
-    share = listed.groupBy("g").agg((F.count("*") / F.max("n")).alias("share"))
-    for turn in range(STARS):
-        units = narrow(labelled(comps).select("c", "g", "n", "comp"), "units")
-        _, rows = open_lists(units)
-        if turn == 0:
-            rows = rows.join(share, "g").withColumn("score", F.col("share"))
-        else:
-            rows = rows.withColumn("score", F.xxhash64("g", F.lit(turn)).cast("double"))
-        hub = rows.groupBy("h").agg(F.max(F.struct("score", "g", "comp", "n", "c", "pos")).alias("p"))
-        star = rows.join(hub, "h").where(f"comp <> p.comp and {100 + percent} * least(n - pos, p.n - p.pos) >= {percent} * (n + p.n)").select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
-        new = narrow(linked(star), "star-links")
-        links = links.union(new)
-        if not new.limit(1).count():
-            break
-        comps = components(comps.toDF("a", "b").union(new), parts)
-
-    units = narrow(labelled(comps).select("c", "g", "n", "comp"), "units")
-    per_unit, rows = open_lists(units)
-    # the first shingle that two linked sets share leaves enough after it in both; rows that cannot have a partner in their list go first
-    low = rows.groupBy("h").agg(F.min("n").alias("low"))
-    rows = rows.join(low, "h").where(f"{100 + percent} * (n - pos) >= {percent} * (n + greatest(low, n * {percent} div 100))").drop("low")
-    x, y = rows.select("h", "g", "comp", "n", "pos").toDF("h", "ga", "ca", "na", "pa"), rows.select("h", "g", "comp", "n", "pos").toDF("h", "gb", "cb", "nb", "pb")
-    near = x.join(y, "h").where(f"ca < cb and {100 + percent} * least(na - pa, nb - pb) >= {percent} * (na + nb)").select("ga", "ca", "gb", "cb")
-    same = per_unit.select("g", F.col("comp").alias("ca")).join(per_unit.select("g", F.col("comp").alias("cb")), "g").where("ca < cb").select(F.col("g").alias("ga"), "ca", F.col("g").alias("gb"), "cb")
-    unit_pairs = near.union(same).distinct()
-    rest = unit_pairs.join(units.select(F.col("g").alias("ga"), F.col("comp").alias("ca"), F.col("c").alias("a")), ["ga", "ca"]).join(units.select(F.col("g").alias("gb"), F.col("comp").alias("cb"), F.col("c").alias("b")), ["gb", "cb"]).select("a", "b")
-    rest = narrow(rest, "rest")
-    more = narrow(linked(rest), "more-links")
-    if more.limit(1).count():
-        comps = components(comps.toDF("a", "b").union(more), parts)
-    every = links.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = every.select(F.col("a").alias("c")).union(every.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_joining_links"))
-    known = labelled(comps).join(degree, "c", "left").select("s1", "s2", F.col("c").alias("class_id"), F.col("comp").alias("component_id"), F.coalesce("n_joining_links", F.lit(0)).alias("n_joining_links"))
-    out = made.select("doc_id", "n", F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2").join(known, ["s1", "s2"], "left")
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64()))], names=["doc_id", "x"])
+
+    def linked(pairs: DataFrame) -> DataFrame | None:
+        """The links among pairs (a, b), None if there are no pairs; sets that were not made yet are made first."""
+        pairs = _join(pairs.where("a <> b").distinct(), sets_of.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
+        pairs = _join(pairs, sets_of.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
+        pairs = narrow(pairs.where(_may_link("na", "x", "nb", "y", percent)).select("a", "b").distinct(), "pairs")
+        if pairs.isEmpty():
+            return None
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        n = ids.count()
+
+        def only(d: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+            """Rows of wanted ids; these are n, so what is broadcast has a bound."""
+            return d.join(F.broadcast(wanted), "doc_id", "left_semi") if n <= SMALL_IDS else _join(d, wanted, "doc_id", "left_semi")
+
+        wanted = ids
+        for known in sets:
+            wanted = _join(wanted, known.select("doc_id"), "doc_id", "left_anti")
+        more = wanted.count()
+        if more:
+            texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+            made_now = only(texts if more <= SMALL_IDS else C.maybe_in(texts, wanted, more), wanted, more).mapInArrow(whole, "doc_id long, x array<long>")
+            sets.append(keep(made_now.dropDuplicates(["doc_id", "x"]) if repeated else made_now, "whole-sets"))
+        every = only(sets[0], ids, n)
+        for known in sets[1:]:
+            every = every.union(only(known, ids, n))
+        return narrow(_links(pairs, every, percent), "links")
+
+    def open_rows(rows: DataFrame) -> DataFrame:
+        """Rows of lists (h, comp, ...) that hold several components."""
+        mixed = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("low"), F.count("*").alias("k")).where("lo <> hi").select("h", "low", "k")
+        # the first shingle that two linked sets share leaves enough after it in both; rows that cannot have a partner in their list go
+        return _join(rows, mixed, "h").where(f"{100 + percent} * (n - pos) >= {percent} * (n + greatest(low, n * {percent} div 100))").drop("low")
+
+    near = f"{100 + percent} * least(n - pos, n2 - pos2) >= {percent} * (n + n2)"
+
+    def to_hub(rows: DataFrame) -> DataFrame:
+        """Each row with the one of its list whose shingle comes first in the prefix."""
+        hub = rows.groupBy("h").agg(F.min(F.struct("pos", "n", "c", "comp")).alias("p")).select("h", F.col("p.c").alias("a"), F.col("p.comp").alias("comp2"), F.col("p.n").alias("n2"), F.col("p.pos").alias("pos2"))
+        return _join(rows, hub, "h").where(f"comp <> comp2 and {near}").select("a", F.col("c").alias("b"))
+
+    def by_blocks(rows: DataFrame) -> DataFrame:
+        """Pairs of different components of a list: a list of k rows is cut into ceil(k / block) blocks, and each pair of blocks meets in a task of its own."""
+        rows = rows.withColumn("m", F.ceil(F.col("k") / block).cast("int")).withColumn("at", F.pmod(F.xxhash64("c"), F.col("m")).cast("int"))
+        left = rows.select("h", "comp", "n", "pos", "c", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("m") - 1)).alias("j"))
+        right = rows.select("h", F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"), F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"))
+        return _join(left, right, ["h", "i", "j"]).where(f"(comp < comp2 or (comp > comp2 and i < j)) and {near}").select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b"))
+
+    links = linked(classes.select(F.col("r").alias("a"), F.col("c").alias("b")).union(found.where(F.col("kind") == PAIR).select("a", "b")))
+    comps = None
+    every = links
+    if links is not None:
+        comps = scratch.own(components(links, parts))
+        # one row a group and component: a group's classes need not be linked with each other
+        units = _join(classes, comps.withColumnRenamed("node", "c"), "c", "left").select("r", "c", F.coalesce("comp", "c").alias("comp")).groupBy("r", "comp").agg(F.min("c").alias("c"))
+        rows = keep(open_rows(_join(listed, units, "r").select("h", "n", "pos", "comp", "c")), "open-rows")
+        for pairs in (to_hub, by_blocks):
+            if rows.isEmpty():
+                break
+            more = linked(pairs(rows))
+            if more is None or more.isEmpty():
+                continue
+            every = every.union(more)
+            comps = scratch.own(components(comps.toDF("a", "b").union(more), parts))
+            if pairs is to_hub:
+                now = _join(rows.drop("k"), comps.toDF("c", "comp2"), "c", "left").withColumn("comp", F.coalesce("comp2", "comp")).drop("comp2")
+                rows = keep(open_rows(now), "open-rows")
+    known = classes.select("s1", "s2", F.col("c").alias("class_id"))
+    if every is None:
+        known = known.withColumns({"component_id": F.col("class_id"), "n_joining_links": F.lit(0).cast("long")})
+    else:
+        one = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        degree = one.select(F.col("a").alias("class_id")).union(one.select("b")).groupBy("class_id").agg(F.count("*").alias("n_joining_links"))
+        per_node = _join(comps.toDF("class_id", "comp"), degree, "class_id", "left")
+        known = _join(known, per_node, "class_id", "left").select("s1", "s2", "class_id", F.coalesce("comp", "class_id").alias("component_id"), F.coalesce("n_joining_links", F.lit(0)).cast("long").alias("n_joining_links"))
+    out = _join(made.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("s1")).alias("s1"), "s2"), known, ["s1", "s2"], "left")
     own = F.col("doc_id")
-    out = C.materialize(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("component_id", own).alias("component_id"), F.coalesce("n_joining_links", F.lit(0)).alias("n_joining_links")), "jaccard")
-    C.discard(*scratch)
-    return out
+    return C.materialize(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("component_id", own).alias("component_id"), F.coalesce("n_joining_links", F.lit(0)).cast("long").alias("n_joining_links")), "jaccard")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is not the smallest of its component; of rows that share doc_id all stay."""
     name = C.fresh(docs, "_gone")
     # written, so that its size is known: broadcast while small, and then no text is shuffled
-    gone = C.materialize(jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    found = jaccard_components(docs)
+    gone = C.materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    C.discard(found)
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
