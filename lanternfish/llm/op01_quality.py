@@ -14,7 +14,7 @@ with n too small for that even at k = 0, and strata without labels, are judged b
 the small strata together or, where these are still too few, all strata. Its bound holds for the documents pooled as a whole.
 
 Defined results: null or empty text has no words and fails the base rules; a null stratum is a stratum of its own; labels that are
-null or contradict each other for a doc_id are not used; repeated rows are judged alike, each returned; an empty table gives none.
+null or contradict each other for a doc_id are not used; repeated rows are judged alike, each returned, but a labelled doc_id is one trial; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -91,10 +91,17 @@ def log_cdf(k: str, n: str, p: float) -> Column:
     return F.expr(f"case when {k} >= {n} * {p!r} then 0D when {k} = 0 then {n} * ln(1 - {p!r}) else aggregate(sequence(1L, {k}), {start}, (s, i) -> named_struct('lp', {step}, 'lc', {add}), s -> s.lc) end")
 
 
+def good_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the rows that are labelled good, by all their labels."""
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = 1 and hi = 1").select("doc_id")
+
+
 def held_out(feats: DataFrame, labels: DataFrame, stratum: str, values: list[Column]) -> DataFrame:
-    """(stratum, values) of the labelled good documents that pass the base rules."""
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = 1 and hi = 1").select("doc_id")
-    return feats.where(~base_failed()).select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("\x00null")).alias("stratum"), *values).join(good, "doc_id", "left_semi")
+    """(stratum, values) of the labelled good documents that pass the base rules, one row a doc_id and stratum: of repeated rows the one that is rejected first counts."""
+    rows = feats.where(~base_failed()).select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("\x00null")).alias("stratum"), *values)
+    names = rows.columns[2:]
+    worst = [(F.min if x == "turn" else F.max)(x).alias(x) for x in names]
+    return rows.join(good_ids(labels), "doc_id", "left_semi").groupBy("doc_id", "stratum").agg(*worst).select("stratum", *names)
 
 
 def thresholds(feats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -151,11 +158,13 @@ def joint_verdict(feats: DataFrame, cuts: DataFrame, stratum: str = "lang") -> D
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
-    feats = C.materialize(features(docs), "quality-features")
-    # written, so that its size is known: one row a stratum, broadcast while small, and texts are not shuffled by stratum
-    cuts = C.materialize(joint_cuts(feats, labels), "quality-cuts")
-    C.discard(feats)
+    """The rows of docs that the rules keep, with all their columns. Cutoffs need the features of labelled good rows only; all others are read once."""
+    with C.Scratch() as scratch:
+        good = scratch.keep(good_ids(labels), "good-ids")
+        some = C.maybe_in(docs.select("doc_id", "text", "lang").where("doc_id is not null"), good, good.count())
+        feats = scratch.keep(features(some), "quality-features")
+        # written, so that its size is known: one row a stratum, broadcast while small, and texts are not shuffled by stratum
+        cuts = C.materialize(joint_cuts(feats, labels), "quality-cuts")
     row = C.fresh(docs, "_row")
     packed = F.struct(*[F.col(c) for c in docs.columns]).alias(row)
     judged = joint_verdict(features(docs, [F.col("lang"), packed]), cuts)
@@ -199,3 +208,25 @@ cuts AS (SELECT stratum, {', '.join(f"min(g) FILTER (WHERE rule = '{r}') AS cut_
 
 
 ORACLE = f"WITH {oracle_ctes('documents', 'judged')} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"
+
+
+def joint_oracle_ctes(source: str, out: str) -> str:
+    """CTEs that end in {out}: every column of {source} with its counts and the verdict of the joint path."""
+    base = oracle_ctes(source, out)
+    base = base[: base.index("held AS")]
+    first = lambda r: f"CASE WHEN v_{r} >= {LOOSE} THEN {GRID + 1} - v_{r} WHEN v_{r} > 0 THEN {GRID + 1 if r in ('symbol_share', 'shout_share') else GRID + LOOSE} - v_{r} END"
+    enough, p = f"n * ln(1 - {ALPHA!r}) <= ln({DELTA!r} / tests)", repr(ALPHA)
+    return f"""{base}
+q7 AS (SELECT *, coalesce(least({', '.join(map(first, RULES))}), {STEPS + 1}) AS turn FROM q6),
+held AS (SELECT stratum, min(turn) AS turn FROM q7 WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY doc_id, stratum),
+sz AS (SELECT stratum, count(*) AS n FROM held GROUP BY stratum),
+tt AS (SELECT count(*) + 1 AS tests FROM sz),
+ow AS (SELECT stratum, {enough} AS own FROM sz, tt),
+un AS (SELECT turn, CASE WHEN own THEN stratum END AS stratum, CASE WHEN own THEN 0 ELSE 1 END AS kind FROM held JOIN ow USING (stratum) UNION ALL SELECT turn, NULL, 2 FROM held),
+st AS (SELECT stratum, kind, g, count(*) AS n, count(*) FILTER (WHERE turn <= g) AS k FROM un, range(1, {STEPS + 1}) x(g) GROUP BY stratum, kind, g),
+la AS (SELECT stratum, kind, n, tests, coalesce(max(g) FILTER (WHERE k < n * {p} AND {_BINOMIAL.format(p=p)} <= {DELTA!r} / tests), 0) AS last FROM st, tt GROUP BY stratum, kind, n, tests),
+po AS (SELECT coalesce(max(last) FILTER (WHERE kind = 1 AND {enough}), max(last) FILTER (WHERE kind = 2), 0) AS pooled FROM la),
+{out} AS (SELECT q7.*, NOT base_failed AND turn > coalesce(la.last, pooled) AS kept FROM q7 CROSS JOIN po LEFT JOIN la ON la.kind = 0 AND la.stratum = q7.stratum)"""
+
+
+JOINT_ORACLE = f"WITH {joint_oracle_ctes('documents', 'judged')} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"

@@ -29,6 +29,10 @@ from lanternfish.llm import common as C
 from lanternfish.llm import tokens
 
 CONTEXT = 2048
+#: Lengths are kept in 16 bits.
+MOST = (1 << 16) - 1
+ROUNDS = 3
+CONVERGED = 1e-3
 END = b"\0\0\0\0"
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _rank long"
 
@@ -52,28 +56,34 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, context: int = CONTEX
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_rank", "ids"]
             yield pa.RecordBatch.from_arrays(arrays[: 7 + ids], names=names[: 7 + ids])
+        known.forget()
 
-    return C.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECE + (", ids binary" if ids else ""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECE + (", ids binary" if ids else ""))
 
 
-def fit_patterns(hist: np.ndarray, context: int = CONTEXT, rounds: int = 3) -> list[tuple[tuple[int, ...], int]]:
+def fit_patterns(hist: np.ndarray, context: int = CONTEXT, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of one to three lengths that sum to context, with rounded repeat counts that hist (index: length) allows.
 
     min |A x - hist|, x >= 0, by coordinate descent from zero: each pattern in turn takes the step that is best for it, which leaves
-    few patterns with many repeats.
+    few patterns with many repeats. It ends when a round moves less than CONVERGED of the pieces, or after rounds rounds: later ones
+    hardly change what rounding and the packing of the rest make of it.
     """
+    if context > MOST:
+        raise ValueError(f"a context above {MOST} is not packed")
     have = np.flatnonzero(hist)
-    i, j = np.meshgrid(have, have, indexing="ij")
-    k = context - i - j
-    ok = (i >= j) & (k >= 0) & (j >= k)
-    i, j, k = i[ok], j[ok], k[ok]
-    ok = (k == 0) | (hist[k] > 0)
-    order = np.lexsort((-j[ok], -i[ok]))  # long ones first, as they fit in few patterns
-    # packed arrays: as many Python numbers would take ten times the driver's memory
-    i, j, k = (array("H", v[ok][order].astype(np.uint16).tobytes()) for v in (i, j, k))
+    # packed arrays, a longest length at a time: as many Python numbers, or all pairs at once, would fill the driver's memory
+    i, j, k = array("H"), array("H"), array("H")
+    for a in have[::-1].tolist():  # long ones first, as they fit in few patterns
+        b = have[(have <= a) & (have <= context - a) & (2 * have >= context - a)][::-1]
+        c = context - a - b
+        ok = (c == 0) | (hist[c] > 0)
+        i.extend(array("H", [a]) * int(ok.sum()))
+        j.frombytes(b[ok].astype(np.uint16).tobytes())
+        k.frombytes(c[ok].astype(np.uint16).tobytes())
     r, x = hist.tolist(), array("d", bytes(8 * len(i)))
     r[0] = 0.0
     for _ in range(rounds):
+        moved = 0.0
         for p, (a, b, c) in enumerate(zip(i, j, k)):
             # column of A: how often each length is in the pattern; length 0 is none
             if c:
@@ -84,11 +94,14 @@ def fit_patterns(hist: np.ndarray, context: int = CONTEXT, rounds: int = 3) -> l
             if step < 0 and step < -x[p]:
                 step = -x[p]
             if step:
+                moved += abs(step)
                 x[p] += step
                 r[a] -= step
                 r[b] -= step
                 if c:
                     r[c] -= step
+        if moved <= CONVERGED * hist.sum():
+            break
     left = hist.copy()
     out = [((context,), int(hist[context]))] if hist[context] else []
     for p in np.argsort(-np.frombuffer(x), kind="stable") if len(x) else ():
@@ -152,25 +165,30 @@ def plan(hist: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarr
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, context: int = CONTEXT) -> DataFrame:
-    """Pieces with their sequence and offset."""
-    cut = C.materialize(pieces(docs, vocabulary, context), "pieces")
-    counts = cut.groupBy("_part", "length").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", "length", (F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).alias("_before"))
-    hist = np.zeros(context + 1, np.int64)
-    for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():  # context rows at most
-        hist[r["length"]] = r["n"]
-    runs = docs.sparkSession.sparkContext.broadcast(plan(hist, context)[:3])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, bases, offsets = runs.value
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            key = length << 40 | rank
-            at = np.searchsorted(keys, key, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bases[at] + key - keys[at]), pa.array(offsets[at])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    ranked = cut.join(before, ["_part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_rank")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    """Pieces with their sequence and offset, as a written table."""
+    spark = docs.sparkSession
+    with C.Scratch() as scratch:
+        with C.text_batches(spark):
+            cut = scratch.keep(pieces(docs, vocabulary, context), "pieces")
+        counts = cut.groupBy("_part", "length").agg(F.count("*").alias("_n"))
+        before = counts.select("_part", "length", (F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).alias("_before"))
+        hist = np.zeros(context + 1, np.int64)
+        for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():  # context rows at most
+            hist[r["length"]] = r["n"]
+        runs = spark.sparkContext.broadcast(plan(hist, context)[:3])
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, bases, offsets = runs.value
+            for batch in batches:
+                length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
+                key = length << 40 | rank
+                at = np.searchsorted(keys, key, side="right") - 1
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bases[at] + key - keys[at]), pa.array(offsets[at])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+        ranked = cut.join(before, ["_part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_rank")).alias("rank"))
+        out = C.materialize(ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"), "packed")
+        runs.destroy()
+        return out
 
 
 def op6_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

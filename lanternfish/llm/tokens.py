@@ -64,6 +64,12 @@ class ChunkIds(dict):
             out = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
+    def forget(self) -> None:
+        """Empties the cache: workers outlive their tasks, and what they hold takes from the memory of later stages."""
+        self.clear()
+        self[""] = b""
+        self.pieces = {"": b""}
+
     def chunks(self, text: str) -> list[bytes]:
         """The ids of each chunk of text."""
         return list(map(self.__getitem__, text.replace("\n", " ").split(" ")))
