@@ -135,34 +135,49 @@ def grade(xs: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndar
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    spark = C.text_batches(docs).sparkSession
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi").select(F.col("doc_id").alias("_id"), F.col("lo").cast("int").alias("toxic"), F.md5(F.col("doc_id").cast("string")).alias("_h"))
-    open_to_fit = known.where("substring(_h, 32, 1) > '3'")  # a quarter is never fitted
-    first = open_to_fit.where("toxic = 1").orderBy("_h").limit(rows // 3).unionByName(open_to_fit.where("toxic = 0").orderBy("_h").limit(rows - rows // 3))
-    first = C.materialize(first, "fit-labels")
-    picked = docs.select("doc_id", "text").join(F.broadcast(first), F.col("doc_id") == F.col("_id")).dropDuplicates(["_id"]).select("text", "toxic").toPandas()  # rows at most
-    toxic = picked["toxic"].to_numpy(int)
-    if len(set(toxic)) < 2:
-        return Model(np.zeros(DIM), np.zeros(0))
-    xs = [vector(x) for x in picked.pop("text")]
-    model = fit_ordinal(xs, grade(xs, toxic))
-    del xs
-    # the cutoff: a histogram of severities of the other labelled rows
-    sent = spark.sparkContext.broadcast(model)
-    rest = known.join(first.select("_id"), "_id", "left_anti")
-    if rest.agg(F.countDistinct("toxic")).first()[0] < 2:
-        rest = known
-    scored = docs.select("doc_id", "text").mapInArrow(_scorer(sent), "doc_id long, severity double, grade int").join(rest, F.col("doc_id") == F.col("_id"))
-    hist = scored.groupBy("toxic", F.floor(F.col("severity") * 200).cast("int").alias("bin")).agg(F.count("*").alias("n")).toPandas()
-    counts = np.zeros((2, 200 * GRADES + 1))
-    for y, b, n in hist.itertuples(index=False):
-        counts[y, b] += n
+def usable(labels: DataFrame) -> DataFrame:
+    """(_id, toxic, _h: hash of the id) of the rows whose labels are not null and agree."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi")
+    return known.select(F.col("doc_id").alias("_id"), F.col("lo").cast("int").alias("toxic"), F.md5(F.col("doc_id").cast("string")).alias("_h"))
+
+
+def cutoff(counts: np.ndarray, bins: int = 200) -> float:
+    """The severity above which a text is toxic, by counts of (label, bin of severity)."""
     # share of either kind in bins from b on
     rate = counts[:, ::-1].cumsum(1)[:, ::-1] / np.maximum(1, counts.sum(1, keepdims=True))
     gain = np.where(rate[0] <= MAX_FPR, rate[1] - rate[0], -1)
-    model.limit = int(np.argmax(gain)) / 200 if gain.max() > 0 else float("inf")
-    return model
+    return int(np.argmax(gain)) / bins if gain.max() > 0 else float("inf")
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+    spark = docs.sparkSession
+    with C.text_batches(spark), C.Scratch() as scratch:
+        known = scratch.keep(usable(labels), "labels")
+        open_to_fit = known.where("substring(_h, 32, 1) > '3'")  # a quarter is never fitted
+        first = open_to_fit.where("toxic = 1").orderBy("_h").limit(rows // 3).unionByName(open_to_fit.where("toxic = 0").orderBy("_h").limit(rows - rows // 3))
+        first = scratch.keep(first, "fit-labels")
+        picked = docs.select("doc_id", "text").join(F.broadcast(first), F.col("doc_id") == F.col("_id")).dropDuplicates(["_id"]).orderBy("_h").select("text", "toxic").toArrow()  # rows at most
+        toxic = picked["toxic"].to_numpy().astype(int)
+        if len(set(toxic.tolist())) < 2:
+            return Model(np.zeros(DIM), np.zeros(0))
+        xs = [vector(x.as_py()) for x in picked["text"]]
+        del picked
+        model = fit_ordinal(xs, grade(xs, toxic))
+        del xs
+        # the cutoff: a histogram of severities of the other labelled rows, the only ones that are scored for it
+        rest = known.join(F.broadcast(first.select("_id")), "_id", "left_anti")
+        if rest.agg(F.countDistinct("toxic")).first()[0] < 2:
+            rest = known
+        rest = scratch.keep(rest.select("_id", "toxic"), "cutoff-labels")
+        some = C.maybe_in(docs.select("doc_id", "text").where("doc_id is not null"), rest.select(F.col("_id").alias("doc_id")), rest.count())
+        sent = spark.sparkContext.broadcast(model)
+        scored = scratch.keep(some.mapInArrow(_scorer(sent), "doc_id long, severity double, grade int").select("doc_id", F.floor(F.col("severity") * 200).cast("int").alias("bin")), "scores")
+        sent.destroy()
+        counts = np.zeros((2, 200 * GRADES + 1))
+        for r in scored.join(rest, F.col("doc_id") == F.col("_id")).groupBy("toxic", "bin").agg(F.count("*").alias("n")).collect():  # two rows a bin at most
+            counts[r["toxic"], r["bin"]] += r["n"]
+        model.limit = cutoff(counts)
+        return model
 
 
 def _scorer(sent):
@@ -176,9 +191,14 @@ def _scorer(sent):
 
 
 def severities(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, severity: the expected grade, grade: the nearest, is_toxic) of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_scorer(sent), "doc_id long, severity double, grade int").withColumn("is_toxic", F.col("severity") >= model.limit)
+    """(doc_id, severity: the expected grade, grade: the nearest, is_toxic) of each row, as a written table."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(model)
+    with C.text_batches(spark):
+        scored = docs.select("doc_id", "text").mapInArrow(_scorer(sent), "doc_id long, severity double, grade int").withColumn("is_toxic", F.col("severity") >= model.limit)
+        out = C.materialize(scored, "severities")
+    sent.destroy()
+    return out
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
