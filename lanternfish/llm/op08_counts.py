@@ -1,12 +1,15 @@
-"""Edit-aware token counts: a segment tree of token counts over each document's pre-token blocks.
-
-A text is cut at white space into blocks of BLOCK chunks; leaves hold a block's characters and tokens, inner nodes the sums of both. An
-edit (start, end, replacement) in code points is found by descending the tree; only the leaves that it touches are encoded again, and
-the next leaf too if the edit takes away the white space that set it apart (the boundary context; the tokenizer joins nothing across
-white space). Sums are updated on the way to the root, so the count of an edited text costs the edit, not the text.
-
-Defined results: null and empty texts have one empty leaf and no tokens; edits are clipped to the text; a null replacement is the
-empty one; repeated rows are counted each; an empty table gives no rows.
+"""Edit-aware token counts: a stored segment tree of token counts over each document's pre-token blocks.
+
+A text is cut at white space into blocks of BLOCK chunks; leaves hold a block's characters and tokens, inner nodes the sums of both. grow()
+encodes each text once and gives a store: the text with its tree's leaves, to be written. apply_edits() takes the rows of a store with
+edits, builds the trees from their leaves without encoding anything, and gives the new store. An edit (start, end, replacement) in
+code points is found by descending the tree; only the leaves that it touches are encoded again, and the next leaf too if the edit
+takes away the white space that set it apart (the boundary context; the tokenizer joins nothing across white space). Sums are updated on
+the way to the root, so the count of an edited text costs the edit, not the text. A region that an edit makes longer than two blocks is
+cut into blocks again.
+
+Defined results: null and empty texts have one empty leaf and no tokens, and a null text that is edited counts as empty; edits are
+clipped to the text; a null replacement is the empty one; repeated rows are counted each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,20 +30,34 @@ BLOCK = 64
 class TokenTree:
     """Leaves are texts that end in a space or newline, but for the last; chars and counts are trees in arrays, root at 1."""
 
-    def __init__(self, text: str, known: tokens.ChunkIds, block: int = BLOCK):
-        self.known, self.encoded = known, 0
+    def __init__(self, text: str, known: tokens.ChunkIds, block: int = BLOCK, leaves: tuple[list[int], list[int]] | None = None):
+        """leaves: characters and tokens of each leaf of text, as stored; without them the text is encoded."""
+        self.known, self.block, self.encoded = known, block, 0
+        if leaves is None:
+            self.leaves, counts = self.cut(text)
+        else:
+            self.leaves, counts, at = [], list(leaves[1]), 0
+            for n in leaves[0]:
+                self.leaves.append(text[at : at + n])
+                at += n
+        self.plant(counts)
+
+    def cut(self, text: str) -> tuple[list[str], list[int]]:
+        """Blocks of a text and their numbers of tokens."""
         parts = text.replace("\n", " ").split(" ")
-        sizes = [len(x) for x in map(known.__getitem__, parts)]
-        self.leaves, chars, counts, at = [], [], [], 0
-        for k in range(0, len(parts), block):
-            n = sum(map(len, parts[k : k + block])) + len(parts[k : k + block])
-            self.leaves.append(text[at : at + n])  # with the space after each chunk
-            chars.append(len(self.leaves[-1]))
-            counts.append(sum(sizes[k : k + block]) // 4)
+        sizes = [len(self.known[x]) // 4 for x in parts]
+        out, counts, at = [], [], 0
+        for k in range(0, len(parts), self.block):
+            n = sum(map(len, parts[k : k + self.block])) + len(parts[k : k + self.block])
+            out.append(text[at : at + n])  # with the space after each chunk
+            counts.append(sum(sizes[k : k + self.block]))
             at += n
+        return out, counts
+
+    def plant(self, counts: list[int]) -> None:
         self.size = 1 << max(0, len(self.leaves) - 1).bit_length()
         pad = [0] * (self.size - len(self.leaves))
-        self.chars, self.counts = [0] * self.size + chars + pad, [0] * self.size + counts + pad
+        self.chars, self.counts = [0] * self.size + [len(x) for x in self.leaves] + pad, [0] * self.size + counts + pad
         for tree in (self.chars, self.counts):
             for i in range(self.size - 1, 0, -1):
                 tree[i] = tree[2 * i] + tree[2 * i + 1]
@@ -82,7 +99,16 @@ class TokenTree:
             last += 1
             text += self.leaves[last]
         # an emptied region lets the leaf before meet the one after, which is as well: it ends in white space
-        self.encoded += 1 + text.count(" ") + text.count("\n")
+        chunks = 1 + text.count(" ") + text.count("\n")
+        self.encoded += chunks
+        if chunks > 2 * self.block:
+            texts, counts = self.cut(text)
+            if texts[-1] == "" and len(texts) > 1:
+                texts.pop(), counts.pop()
+            old = self.counts[self.size : self.size + len(self.leaves)]
+            self.leaves[first : last + 1] = texts
+            self.plant(old[:first] + counts + old[last + 1 :])
+            return
         self.put(first, text, sum(map(len, self.known.chunks(text))) // 4)
         for k in range(first + 1, last + 1):
             self.put(k, "", 0)
@@ -90,30 +116,67 @@ class TokenTree:
     def text(self) -> str:
         return "".join(self.leaves)
 
+    def stored(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the leaves that hold anything, of one at least."""
+        leaves = [(len(x), n) for x, n in zip(self.leaves, self.counts[self.size :]) if x] or [(0, 0)]
+        return [x for x, _ in leaves], [n for _, n in leaves]
 
-_RESULT = "doc_id long, n_tokens long, n_tokens_after long, n_chunks_encoded long, n_leaves long, leaf_tokens array<int>, edited_crc32 long"
 
+_TREE = pa.struct([("chars", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+TREE = "struct<chars:array<int>,counts:array<int>>"
 
-def count_edits(docs: DataFrame, edits: str = "edits", vocabulary: str | None = None) -> DataFrame:
-    """docs (doc_id, text, edits: array of struct<start, end, new>, applied in turn) -> counts before and after, and how many chunks were encoded again for the edits."""
+
+def grow(docs: DataFrame, extra: list[str] | None = None, vocabulary: str | None = None, block: int = BLOCK) -> DataFrame:
+    """A store of docs (doc_id, text): with the columns extra and tree, the leaves of each text. Write it with small batches (see common.text_batches)."""
+    path = vocabulary or tokens.vocabulary()
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(extra or []))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = tokens.chunk_ids(path)
+        for batch in batches:
+            trees = [TokenTree(t.as_py() or "", known, block).stored() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([{"chars": a, "counts": b} for a, b in trees], _TREE)], names=[*batch.schema.names, "tree"])
+        known.forget()
+
+    return d.mapInArrow(made, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + f", tree {TREE}")
+
+
+_RESULT = "doc_id long, n_tokens long, n_tokens_after long, n_chunks_encoded long, n_leaves long, edited_crc32 long"
+
+
+def apply_edits(store: DataFrame, edits: str = "edits", vocabulary: str | None = None, block: int = BLOCK, texts: bool = True) -> DataFrame:
+    """The rows of a store with edits (array of struct<start, end, new>, applied in turn): counts before and after, how many chunks were encoded, and, unless texts is false, the new text and tree."""
     path = vocabulary or tokens.vocabulary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokens.chunk_ids(path)
         for batch in batches:
             out = []
-            for d, t, e in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("edits").to_pylist()):
-                tree = TokenTree(t.as_py() or "", known)
-                before = tree.total
+            for d, t, tree, e in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("tree").to_pylist(), batch.column("edits").to_pylist()):
+                old = t.as_py()
+                one = TokenTree(old or "", known, block, (tree["chars"], tree["counts"]))
+                before = one.total
                 for x in e or []:
                     if x:
-                        tree.edit(x["start"] or 0, x["end"] or 0, x["new"])
-                out.append((d, before, tree.total, tree.encoded, len(tree.leaves), tree.counts[tree.size : tree.size + len(tree.leaves)], zlib.crc32(tree.text().encode())))
-            cols = list(zip(*out)) or [[]] * 7
-            types = (pa.int64(),) * 5 + (pa.list_(pa.int32()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], names=["doc_id", "n_tokens", "n_tokens_after", "n_chunks_encoded", "n_leaves", "leaf_tokens", "edited_crc32"])
+                        one.edit(x["start"] or 0, x["end"] or 0, x["new"])
+                chars, counts = one.stored()
+                text = one.text()
+                out.append((d, before, one.total, one.encoded, len(chars), zlib.crc32(text.encode()), None if old is None and not text else text, {"chars": chars, "counts": counts}))
+            cols = list(zip(*out)) or [[]] * 8
+            types = (*(pa.int64(),) * 6, pa.string(), _TREE)
+            names = [*(x.split()[0] for x in _RESULT.split(", ")), "text", "tree"]
+            n = 8 if texts else 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols[:n], types)], names=names[:n])
+        known.forget()
+
+    return store.select("doc_id", "text", "tree", F.col(edits).alias("edits")).mapInArrow(count, _RESULT + (f", text string, tree {TREE}" if texts else ""))
 
-    return C.text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(edits).alias("edits")).mapInArrow(count, _RESULT)
+
+def count_edits(docs: DataFrame, edits: str = "edits", vocabulary: str | None = None) -> DataFrame:
+    """docs (doc_id, text, edits) -> counts before and after, and how many chunks were encoded again for the edits, by a store that is written, read again and dropped."""
+    with C.text_batches(docs.sparkSession), C.Scratch() as scratch:
+        store = scratch.keep(grow(docs.select("doc_id", "text", F.col(edits).alias("edits")), ["edits"], vocabulary), "token-trees")
+        return C.materialize(apply_edits(store, vocabulary=vocabulary, texts=False), "edit-counts")
 
 
 def sample_edits() -> Column:
@@ -125,5 +188,4 @@ def sample_edits() -> Column:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.read(spark, sf_dir, "documents").select("doc_id", "text", sample_edits().alias("edits"))
-    return count_edits(docs).drop("leaf_tokens")
+    return count_edits(C.read(spark, sf_dir, "documents").select("doc_id", "text", sample_edits().alias("edits")))
