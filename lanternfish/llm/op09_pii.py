@@ -3,23 +3,29 @@
 An entity is (type, norm): the norm drops what formats differ in (case of e-mail addresses and names, separators of numbers), so all
 mentions of one value, in whatever format, get one surrogate (coreference), rendered like each mention: separators, letter case and
 alphabet of keys stay, card numbers keep a valid check digit, addresses stay addresses, and names stay in their script and, where a
-title tells, gender. The surrogate of a norm is drawn by a keyed hash of (type, norm, attempt).
+title tells, gender. A phone number keeps its country code; with and without one it is two entities. The surrogate of a norm is drawn
+by a keyed hash of (type, norm, attempt). The key is the caller's; without one, a random key is drawn for the process, so that nobody
+can rebuild the mapping, and another process draws other surrogates.
 
-Collision checks hold the distinct entities of all documents, by a distributed group by of the surrogate: of entities that share one,
-or whose surrogate is another entity's real value, all but the smallest norm draw again with the next attempt, until all are distinct.
-Attempts above 0 are a table joined to their documents; all others are computed on the spot.
+Texts are searched once; the rows with their mentions are a written table. Collision checks hold the distinct entities of all rows, by a
+distributed group by of the surrogate: of entities that share one, or whose surrogate is another entity's real value, all but the
+smallest norm draw again with the next attempt, until all are distinct. Names get longer with the attempt, so there are always
+enough. Attempts above 0 are a table joined to their rows; all others are computed on the spot.
 
-Types: email, phone, ip, card (Luhn-valid), ssn, iban (valid check number), secret (after a key word), name (after a title).
+Types: email, phone, ip (both versions), card (Luhn-valid), ssn, iban (valid check number), secret (after a key word), key (by its
+prefix), name (after a title).
 
 Defined results: null text stays null, with no entities; an entity is replaced wherever it is found, in very long texts too; repeated
-rows are treated alike, each returned; a null doc_id is treated like others except that it never draws again; an empty table gives
-no rows.
+rows and rows without doc_id are treated like others, each returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import ipaddress
 import re
+import secrets
 import unicodedata
 from collections.abc import Iterator
 
@@ -29,7 +35,11 @@ from pyspark.sql import functions as F
 
 from lanternfish.llm import common as C
 
-KEY = b"lanternfish surrogate key 1"
+@functools.cache
+def own_key() -> bytes:
+    return secrets.token_bytes(32)
+
+
 # what may stand between the parts of a number: blanks, marks, column lines
 GAP = r"[^\w\n]{0,5}"
 TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "κυρία"), "n": ("Dr", "Prof", "Doktor", "Doctor", "доктор")}
@@ -38,15 +48,17 @@ _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, rev
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "secret": r"(?i:token|secret|api[_-]?key|password)[^\w\n]{1,8}[\"'](?P<secret_value>[A-Za-z0-9_\-]{16,128})[\"']",
-    "phone": rf"\+\d{{1,3}}{GAP}\(?\d{{3}}\)?{GAP}\d{{3}}[-. ]?\d{{4}}(?!\w)",
+    "key": r"(?<![\w-])(?P<key_prefix>AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|sk-)(?P<key_value>[A-Za-z0-9_-]{16,128})(?![\w-])",
+    "phone": rf"\+(?P<phone_code>\d{{1,3}}){GAP}\(?\d{{3}}\)?{GAP}\d{{3}}[-. ]?\d{{4}}(?!\w)|(?<![\w+.-])(?:\(\d{{3}}\) ?|\d{{3}}[-.])\d{{3}}[-.]\d{{4}}(?![\w-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
+    "ip6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:)){1,7}(?::|(?::?[0-9A-Fa-f]{1,4}){1,7})(?![\w:]|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
-    "name": rf"\b(?P<name_title>{_TITLE})\.? (?P<name_value>[^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)?)",
+    "name": rf"\b(?P<name_title>{_TITLE})\.? (?P<name_value>(?:[^\W\d_a-z]\. ?){{0,3}}[^\W\d_a-z][^\W\d_]+(?: [^\W\d_a-z][^\W\d_]+)?)",
 }
 # text without any of these has no entity; quick to look for
-_NEED = re.compile(r"@|\d\d|(?i:token|secret|key|password)|\b(?:" + _TITLE + r")\b")
+_NEED = re.compile(r"@|\d\d|::|[0-9A-Fa-f]:[0-9A-Fa-f]|AKIA|ASIA|AIza|gh[pousr]_|xox[abprs]-|sk-|(?i:token|secret|key|password)|\b(?:" + _TITLE + r")\b")
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 _SYLLABLES = {
     "LATIN": (["ba", "de", "fi", "go", "ha", "ka", "le", "mi", "no", "ra", "so", "ta", "ve", "zo"], {"m": ["n", "r", "s"], "f": ["a", "ia"], "n": ["el", "y"]}),
@@ -93,9 +105,23 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
         elif kind == "secret":
             start, end = m.span("secret_value")
             norm = m["secret_value"].lower()
+        elif kind == "key":
+            norm = m["key_prefix"] + ":" + m["key_value"]
+        elif kind == "ip6":
+            try:
+                norm = ipaddress.IPv6Address(value).exploded if any(c.isdigit() for c in value) else ""  # names of code are joined by colons, too
+            except ValueError:
+                norm = ""
+            if not norm:
+                at = m.start() + 1
+                continue
+            kind = "ip"
+        elif kind == "phone":
+            code = m["phone_code"] or ""
+            norm = code + ":" + re.sub(r"\D", "", value)[len(code) :]
         elif kind == "name":
             start, end = m.span("name_value")
-            norm = GENDER[m["name_title"].lower()] + ":" + m["name_value"].split()[-1].casefold()
+            norm = GENDER[m["name_title"].lower()] + ":" + re.split(r"[ .]", m["name_value"])[-1].casefold()
         elif kind == "iban":
             norm = value.replace(" ", "")
             if not 15 <= len(norm) <= 34 or _mod97(norm) != 1:
@@ -112,8 +138,6 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
                     at = m.start() + value.index(" ") + 1 if " " in value else at
                     continue
                 norm, at = re.sub(r"\D", "", text[start:end]), end
-            if kind == "phone":
-                norm = norm[-10:]
         out.append((start, end, kind, norm))
     return out
 
@@ -143,14 +167,28 @@ def script(text: str) -> str:
     return first if first in _SYLLABLES else "LATIN"
 
 
-def core(kind: str, norm: str, attempt: int = 0, key: bytes = KEY) -> str:
+def _same(c: str, draw: _Draw) -> str:
+    """Another character of the kind of c."""
+    return str(draw.below(10)) if c.isdigit() else chr((65 if c.isupper() else 97) + draw.below(26)) if c.isalpha() else c
+
+
+def core(kind: str, norm: str, attempt: int = 0, key: bytes | None = None) -> str:
     """The surrogate's norm: of the same type and never the norm itself."""
+    key = key or own_key()
     while True:
         draw = _Draw(key, kind, norm, str(attempt))
         if kind == "email":
             local, _, domain = norm.partition("@")
             *labels, tld = domain.split(".")
             out = "".join(_like(c, draw) for c in local) + "@" + ".".join("".join(_like(c, draw) for c in x) for x in labels) + "." + tld
+        elif kind == "ip" and ":" in norm:
+            out = ":".join(["2001", "0db8", *(f"{draw.below(1 << 16):04x}" for _ in range(6))])
+        elif kind == "key":
+            prefix, _, value = norm.partition(":")
+            out = prefix + ":" + "".join(_same(c, draw) for c in value)
+        elif kind == "phone":
+            code, _, value = norm.partition(":")
+            out = code + ":" + "".join(_like(c, draw) for c in value)
         elif kind == "ip":
             out = ".".join([str(1 + draw.below(223)), str(draw.below(256)), str(draw.below(256)), str(1 + draw.below(254))])
         elif kind == "card":
@@ -165,7 +203,7 @@ def core(kind: str, norm: str, attempt: int = 0, key: bytes = KEY) -> str:
         elif kind == "name":
             gender, _, name = norm.partition(":")
             parts, ends = _SYLLABLES[script(name)]
-            out = gender + ":" + "".join(parts[draw.below(len(parts))] for _ in range(3 + draw.below(3))) + ends[gender][draw.below(len(ends[gender]))]
+            out = gender + ":" + "".join(parts[draw.below(len(parts))] for _ in range(3 + draw.below(3) + min(attempt % (1 << 20), 60) // 2)) + ends[gender][draw.below(len(ends[gender]))]
         else:
             out = "".join(_like(c, draw) for c in norm)
         if out != norm:
@@ -173,86 +211,111 @@ def core(kind: str, norm: str, attempt: int = 0, key: bytes = KEY) -> str:
         attempt += 1 << 20
 
 
-def render(kind: str, mention: str, surrogate: str, key: bytes = KEY) -> str:
+def render(kind: str, mention: str, surrogate: str, key: bytes | None = None) -> str:
     """The surrogate's norm in the format of the mention."""
     if kind == "name":
         name = surrogate.partition(":")[2]
-        words = mention.split()
+        words = re.findall(r"[^ .]+", mention)
         # a first name before the last one is drawn for the pair, so it stays with it
-        first = [core("name", surrogate[:2] + w.casefold() + "\x1f" + name, 0, key)[2:] for w in words[:-1]]
-        return " ".join(x.upper() if w.isupper() and len(w) > 1 else x.capitalize() for x, w in zip([*first, name], words))
+        new = [*(core("name", surrogate[:2] + w.casefold() + "\x1f" + name, 0, key)[2:] for w in words[:-1]), name]
+        new = iter([x[0].upper() if len(w) == 1 else x.upper() if w.isupper() else x.capitalize() for x, w in zip(new, words)])
+        return re.sub(r"[^ .]+", lambda _: next(new), mention)
     if kind == "ip":
-        return surrogate
+        if ":" not in surrogate:
+            return surrogate
+        out = surrogate if len(mention) == 39 else ipaddress.IPv6Address(surrogate).compressed
+        return out.upper() if any(c.isupper() for c in mention) else out
+    if kind == "key":
+        return surrogate.replace(":", "", 1)
     if kind in ("email", "secret", "iban"):
         rest = iter(surrogate)
         same = [c if kind == "iban" and c == " " else next(rest) for c in mention]
         return "".join(x.upper() if c.isupper() else x for x, c in zip(same, mention))
+    surrogate = surrogate.partition(":")[2] if kind == "phone" else surrogate
     digits, rest = re.sub(r"\D", "", mention), iter(surrogate)
     lead = len(digits) - len(surrogate)  # a country code stays
     return "".join(c if not c.isdigit() or (lead := lead - 1) >= 0 else next(rest) for c in mention)
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, type, norm) of each document's distinct entities."""
+_FOUND = "struct<start:int,end:int,type:string,norm:string>"
+
+
+def mentions_of(docs: DataFrame) -> DataFrame:
+    """(row: a number of its own, doc_id, text, found: array of struct<start, end, type, norm>) of each row. Write it: numbers are told anew by each scan."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("norm", pa.string())])
         for batch in batches:
-            out = [(d, k, n) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")) for k, n in {x[2:] for x in mentions(t.as_py())}]
-            cols = list(zip(*out)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "type", "norm"])
+            found = [[dict(zip(("start", "end", "type", "norm"), x)) for x in mentions(t.as_py())] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(span))], names=["row", "doc_id", "text", "found"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, "doc_id long, type string, norm string")
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return d.mapInArrow(find, f"row long, doc_id long, text string, found array<{_FOUND}>")
 
 
-def attempts(found: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(type, norm, attempt) of the entities of found whose attempt is above 0, so that surrogates are distinct and nobody's real value."""
+def attempts(found: DataFrame, key: bytes | None = None) -> DataFrame:
+    """(type, norm, attempt) of the entities of found (type, norm) whose attempt is above 0, as a written table, so that surrogates are distinct and nobody's real value."""
+    key = key or own_key()
 
     @F.pandas_udf("string")
     def draw(kind, norm, attempt):
         return kind.combine(norm, lambda k, n: (k, n)).combine(attempt, lambda x, a: core(*x, int(a), key))
 
-    real = found.select("type", "norm").distinct()
-    state = C.materialize(real.withColumn("attempt", F.lit(0)).withColumn("core", draw("type", "norm", "attempt")), "surrogates")
-    while True:
-        first = state.groupBy("type", "core").agg(F.min("norm").alias("_first"), F.count("*").alias("_n"))
-        # a surrogate that is a real value, or shared and not the first norm's
-        taken = first.join(real.select("type", F.col("norm").alias("core"), F.lit(True).alias("_real")), ["type", "core"], "left").where("_n > 1 or _real")
-        judged = state.join(taken, ["type", "core"], "left").withColumn("_again", F.coalesce((F.col("_real") & F.lit(True)) | (F.col("norm") != F.col("_first")), F.lit(False)))
-        if not taken.limit(1).count():
-            return state.where("attempt > 0").select("type", "norm", "attempt")
-        nexts = judged.select("type", "norm", (F.col("attempt") + F.col("_again").cast("int")).alias("attempt"))
-        state = C.materialize(nexts.withColumn("core", draw("type", "norm", "attempt")), "surrogates")
+    with C.Scratch() as scratch:
+        real = scratch.keep(found.select("type", "norm").distinct(), "entities")
+        state = scratch.keep(real.withColumn("attempt", F.lit(0)).withColumn("core", draw("type", "norm", "attempt")), "surrogates")
+        while True:
+            first = state.groupBy("type", "core").agg(F.min("norm").alias("_first"), F.count("*").alias("_n"))
+            # a surrogate that is a real value, or shared and not the first norm's
+            taken = first.join(real.select("type", F.col("norm").alias("core"), F.lit(True).alias("_real")), ["type", "core"], "left").where("_n > 1 or _real")
+            taken = scratch.keep(taken, "taken")
+            if taken.isEmpty():
+                return C.materialize(state.where("attempt > 0").select("type", "norm", "attempt"), "attempts")
+            judged = state.join(taken, ["type", "core"], "left").withColumn("_again", F.coalesce((F.col("_real") & F.lit(True)) | (F.col("norm") != F.col("_first")), F.lit(False)))
+            nexts = judged.select("type", "norm", (F.col("attempt") + F.col("_again").cast("int")).alias("attempt"), F.when(~F.col("_again"), F.col("core")).alias("core"))
+            redrawn = nexts.where("core is null").withColumn("core", draw("type", "norm", "attempt"))
+            old, state = state, scratch.keep(nexts.where("core is not null").unionByName(redrawn), "surrogates")
+            scratch.drop(old, taken)
 
 
 _RESULT = "n_entities int, types array<string>, replaced array<struct<start:int,end:int,type:string,surrogate:string>>, text string"
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """(doc_id, n_entities, types, replaced: place in the old text, type and surrogate, text) of each row."""
-    found = C.materialize(entities(C.text_batches(docs)), "entities")
-    again = C.materialize(attempts(found, key), "attempts")
-    per = found.where("doc_id is not null").join(again, ["type", "norm"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "type", "norm"), "attempt"))).alias("_again"))
-    per = C.materialize(per, "attempts-by-document")  # of a known size, so it is broadcast only if small
-
-    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t, again in zip(batch.column("text"), batch.column("_again").to_pylist()):
-                t, tries = t.as_py(), dict(again or ())
-                spans, parts, at = [], [], 0
-                for start, end, kind, norm in mentions(t):
-                    new = render(kind, t[start:end], core(kind, norm, tries.get(f"{kind}\x1f{norm}", 0), key), key)
-                    spans.append({"start": start, "end": end, "type": kind, "surrogate": new})
-                    parts += [t[at:start], new]
-                    at = end
-                out.append((len(spans), sorted({x["type"] for x in spans}), spans, t if not spans else "".join(parts) + t[at:]))
-            cols = list(zip(*out)) or [[]] * 4
-            span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("surrogate", pa.string())])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.list_(pa.string())), pa.array(cols[2], pa.list_(span)), pa.array(cols[3], pa.string())], names=["doc_id", "n_entities", "types", "replaced", "text"])
-
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(per, "doc_id", "left")
-    return d.mapInArrow(replace, "doc_id long, " + _RESULT)
+    key = key or own_key()
+    with C.text_batches(docs.sparkSession), C.Scratch() as scratch:
+        rows = C.materialize(mentions_of(docs), "mentions")  # the result reads its rows without entities from here
+        hit = rows.where(F.size("found") > 0)
+        one = hit.select("row", F.explode(F.array_distinct(F.transform("found", lambda x: F.struct(x["type"].alias("type"), x["norm"].alias("norm"))))).alias("x")).select("row", "x.*")
+        again = scratch.own(attempts(one, key))
+        per = one.join(again, ["type", "norm"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "type", "norm"), "attempt"))).alias("again"))
+        per = scratch.keep(per, "attempts-by-row")  # of a known size, so it is broadcast only if small
+
+        def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for t, found, again in zip(batch.column("text"), batch.column("found").to_pylist(), batch.column("again").to_pylist()):
+                    t, tries = t.as_py(), dict(again or ())
+                    spans, parts, at = [], [], 0
+                    for x in found:
+                        kind, norm, start, end = x["type"], x["norm"], x["start"], x["end"]
+                        new = render(kind, t[start:end], core(kind, norm, tries.get(f"{kind}\x1f{norm}", 0), key), key)
+                        spans.append({"start": start, "end": end, "type": kind, "surrogate": new})
+                        parts += [t[at:start], new]
+                        at = end
+                    out.append((len(spans), sorted({x["type"] for x in spans}), spans, "".join(parts) + t[at:]))
+                cols = list(zip(*out)) or [[]] * 4
+                span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("surrogate", pa.string())])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.list_(pa.string())), pa.array(cols[2], pa.list_(span)), pa.array(cols[3], pa.string())], names=["doc_id", "n_entities", "types", "replaced", "text"])
+
+        done = C.materialize(hit.join(per, "row", "left").select("doc_id", "text", "found", "again").mapInArrow(replace, "doc_id long, " + _RESULT), "replaced")
+    none = {x.split(" ")[0]: x.split(" ", 1)[1] for x in _RESULT.split(", ")}
+    clean = rows.where(F.size("found") == 0).select("doc_id", F.lit(0).alias("n_entities"), F.array().cast(none["types"]).alias("types"), F.array().cast(none["replaced"]).alias("replaced"), "text")
+    return done.unionByName(clean)
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(C.read(spark, sf_dir, "documents"))
+    """With the key that the session names in lanternfish.surrogate.key, if any."""
+    key = spark.conf.get("lanternfish.surrogate.key", None)
+    return pseudonymize(C.read(spark, sf_dir, "documents"), key.encode()[:64] if key else None)
