@@ -34,9 +34,11 @@ def permuted(x: str, n: int, seed: int = SEED, rounds: int = ROUNDS, walk: int =
     b = -(-n // a)
     keys = ", ".join(f"struct({r} as r, {(a, b)[r % 2]}L as m, {(b, a)[r % 2]}L as k)" for r in range(rounds))
     once = "aggregate(array(" + keys + "), {v}, (s, q) -> (s % q.k) * q.m + (s div q.k + cast(conv(substr(md5(concat_ws(':', " + str(seed) + ", q.r, s % q.k)), 1, 13), 16, 10) as bigint) % q.m) % q.m)"
-    # a cycle holds at most a * b - n numbers outside in a row; of n at a walk of 64 none goes on with a chance above n ** -31
-    steps = min(a * b - n + 1, walk)
-    return F.expr(f"aggregate(sequence(1, {steps}), {once.format(v=f'cast({x} as bigint)')}, (w, i) -> case when w < {n}L then w else {once.format(v='w')} end, w -> case when w < {n}L then w else cast(raise_error('a cycle is longer than the walk') as bigint) end)")
+    # a cycle holds at most a * b - n numbers outside in a row; of n at a walk of 64 none goes on with a chance above n ** -31, and if one does, it walks to the end
+    whole = a * b - n + 1
+    on = lambda w: f"case when {w} < {n}L then {w} else {once.format(v=w)} end"
+    end = f"w -> case when w < {n}L then w else aggregate(sequence(1, {whole}), w, (u, j) -> {on('u')}) end" if whole > walk else "w -> w"
+    return F.expr(f"aggregate(sequence(1, {min(whole, walk)}), {once.format(v=f'cast({x} as bigint)')}, (w, i) -> {on('w')}, {end})")
 
 
 def row_numbers(keyed: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -64,3 +66,21 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = shards(C.read(spark, sf_dir, "documents"))
     return d.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
+
+def _rounds_sql(v: str) -> str:
+    """The rounds of the network as nested structs of SQL: column p after them, from column v of walk."""
+    for r in range(ROUNDS):
+        m, k = (("a", "b"), ("b", "a"))[r % 2]
+        v = f"(SELECT (s.v % {k}) * {m} + (s.v // {k} + ('0x' || left(md5('{SEED}:{r}:' || (s.v % {k})), 13))::bigint % {m}) % {m} FROM (SELECT {v} AS v) s)"
+    return v
+
+
+#: DuckDB has no checksum function: the table of its remainders comes from the rule, and bytes go through it one by one.
+ORACLE = f"""WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::bigint, c // 2) ELSE c // 2 END, i) AS c FROM range(0, 256) x(i))),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, list_transform(list_filter(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1,', 'g'), ','), lambda x: x <> ''), lambda x: ('0x' || x)::bigint) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(tab[xor(c % 256, x) + 1], c // 256), 4294967295::bigint), 4294967295::bigint) AS text_crc32 FROM d, tab),
+n AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row_number FROM c),
+s AS (SELECT count(*) AS n, ceil(sqrt(count(*)))::bigint AS a FROM n),
+t AS (SELECT n, a, (n + a - 1) // a AS b FROM s),
+walk AS (SELECT row_number, 0 AS steps, row_number AS v, n, a, b FROM n, t UNION ALL SELECT row_number, steps + 1, {_rounds_sql('walk.v')}, n, a, b FROM walk WHERE steps = 0 OR v >= n)
+SELECT doc_id, size::bigint AS size, text_crc32, 'rows' AS law, (v % {SHARDS})::int AS shard, v // {SHARDS} AS slot, NULL::int AS grown_shard, row_number FROM n JOIN walk USING (row_number) WHERE steps > 0 AND v < walk.n"""

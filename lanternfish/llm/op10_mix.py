@@ -45,7 +45,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def takes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED) -> DataFrame:
     """(doc_id, row: hash of the text, source, size, source_size, target, epochs, taken) of each row of docs."""
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    # rows without doc_id are told apart by their texts, so that they don't all fall into one range
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce(F.md5("text"), F.lit(""))))))
     keyed = C.materialize(docs.select("doc_id", F.xxhash64("text").alias("row"), "source", C.n_words(F.col("text")).alias("size"), key.alias("_key")), "mix-sizes")
     sizes = keyed.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("size").alias("source_size"))
     goal = C.materialize(targets(sizes, weights, share, cap), "mix-targets")

@@ -13,6 +13,7 @@ QUERIES = {
     "op5_feistel_shards": op05_shards.op5_feistel_shards,
     "op6_best_fit_pack": op06_pack.op6_best_fit_pack,
     "op7_media_columns": op07_media.op7_media_columns,
+    "op7_page_elements": op07_media.op7_page_elements,
     "op8_token_counts": op08_counts.op8_token_counts,
     "op9_pii_surrogates": op09_pii.op9_pii_surrogates,
     "op10_mix_sources": op10_mix.op10_mix_sources,
@@ -20,7 +21,9 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": op01_quality.ORACLE,
+    "op1_quality_joint": op01_quality.JOINT_ORACLE,
     "op2_line_dedup": op02_lines.ORACLE,
     "op3_ngram_jaccard": op03_jaccard.ORACLE,
+    "op5_feistel_shards": op05_shards.ORACLE,
     "op10_mix_sources": op10_mix.ORACLE,
 }
