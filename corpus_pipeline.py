@@ -6,6 +6,8 @@ again as the next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +40,13 @@ STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_duplicates",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read again."""
-    docs = C.read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = C.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The stages applied to documents, each written to the shared folder and read again; what a stage wrote goes as soon as the next one is done."""
+    docs, old = C.read(spark, sf_dir, "documents"), []
+    for name, stage in STAGES:
+        docs = C.settled(partial(stage, spark, docs, sf_dir), f"stage-{name}")
+        C.discard(*old)
+        old = [docs]
+    return docs
 
 
 #: SQL has no tokenizer, so the last stage and with it run()'s rows can't be expressed; tests hold them against a plain version.
