@@ -320,6 +320,44 @@ def salsa_k_iters(spark, d):
     return G.salsa(nodes, e, ITERATIONS, exact_steps=True).select("node", F.round("score", 6).alias("score"))
 
 
+#: Rounds that the SQL goes on for at most; a state that has come to its end stays.
+MOST_HITS, MOST_SALSA = 60, 20
+
+
+def _hits_end_sql() -> str:
+    out = f"WITH {EDGES}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), h0 AS MATERIALIZED (SELECT node, 1.0::double / (SELECT count(*) FROM n) AS auth, 1.0::double / (SELECT count(*) FROM n) AS hub, false AS done FROM n)"
+    for i in range(MOST_HITS):
+        out += f""", r{i} AS MATERIALIZED (SELECT h.*, CASE WHEN coalesce(a, 0) = 0 THEN auth ELSE a END AS a2, CASE WHEN coalesce(b, 0) = 0 THEN hub ELSE b END AS b2 FROM h{i} h LEFT JOIN (SELECT dst AS node, sum(hub) AS a FROM e JOIN h{i} ON src = node GROUP BY dst) USING (node) LEFT JOIN (SELECT src AS node, sum(auth) AS b FROM e JOIN h{i} ON dst = node GROUP BY src) USING (node)),
+t{i} AS (SELECT greatest(sum(a2), 1) AS sa, greatest(sum(b2), 1) AS sb FROM r{i}), d{i} AS (SELECT sum(abs(a2 / sa - auth) + abs(b2 / sb - hub)) <= 0.005 AS end FROM r{i}, t{i}),
+h{i + 1} AS MATERIALIZED (SELECT node, CASE WHEN done THEN auth ELSE a2 / sa END AS auth, CASE WHEN done THEN hub ELSE b2 / sb END AS hub, done OR "end" AS done FROM r{i}, t{i}, d{i})"""
+    return out.replace("AS end FROM", 'AS "end" FROM') + f" SELECT node, round(CASE WHEN auth < {G.EPSILON!r} THEN 0 ELSE auth END, 6) AS score FROM h{MOST_HITS}"
+
+
+@query(_hits_end_sql())
+def hits_to_end(spark, d):
+    e = G.cut(path_edges(spark, d))
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return G.rank(nodes, e, "hits").select("node", F.round("score", 6).alias("score"))
+
+
+def _salsa_end_sql() -> str:
+    out = f"""WITH {EDGES}, g AS MATERIALIZED (SELECT node, sum(i) > sum(o) AS is_auth FROM (SELECT dst AS node, 1 AS i, 0 AS o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY node),
+x AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS n_out, count(*) OVER (PARTITION BY dst) AS n_in FROM e JOIN g a ON src = a.node JOIN g b ON dst = b.node WHERE a.is_auth <> b.is_auth),
+s0 AS MATERIALIZED (SELECT node, is_auth, 1.0::double / count(*) OVER (PARTITION BY is_auth) AS score, false AS done FROM g)"""
+    for i in range(MOST_SALSA):
+        out += f""", u{i} AS (SELECT src, sum(score / n_in) / max(n_out) AS v FROM x JOIN s{i} ON dst = node GROUP BY src), w{i} AS (SELECT dst, sum(score / n_out) / max(n_in) AS v FROM x JOIN s{i} ON src = node GROUP BY dst),
+r{i} AS MATERIALIZED (SELECT s.*, coalesce(CASE WHEN is_auth THEN va ELSE vh END, 0) / (SELECT greatest(sum(score), 1) FROM s{i}) AS new FROM s{i} s LEFT JOIN (SELECT x.dst AS node, sum(v) AS va FROM x JOIN u{i} USING (src) GROUP BY x.dst) USING (node) LEFT JOIN (SELECT x.src AS node, sum(v) AS vh FROM x JOIN w{i} USING (dst) GROUP BY x.src) USING (node)),
+s{i + 1} AS MATERIALIZED (SELECT node, is_auth, CASE WHEN done THEN score ELSE new END AS score, done OR (SELECT sum(abs(new - score)) <= 0.01 FROM r{i}) AS done FROM r{i})"""
+    return out + f" SELECT node, round(score, 6) AS score FROM s{MOST_SALSA}"
+
+
+@query(_salsa_end_sql())
+def salsa_to_end(spark, d):
+    e = G.cut(path_edges(spark, d))
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return G.rank(nodes, e, "salsa").select("node", F.round("score", 6).alias("score"))
+
+
 # --- reports -------------------------------------------------------------------------------------------------------------------
 
 
@@ -512,6 +550,46 @@ def crawled(spark, d) -> tuple[DataFrame, DataFrame]:
     return L.crawl_batch(one(tables.PAGES), one(tables.LINKS), responses, now, allow=allow, keep_status=True)
 
 
+@query(r"""WITH r AS (SELECT doc_id, text, doc_id % 8 AS k, [20, 20, 20, 20, 10, 40, 20, 20][doc_id % 8 + 1] AS status, ['text/gemini; lang=en', 'text/plain; charset=utf-8', 'application/rss+xml', 'application/atom+xml', 'Say it', 'not here', '', 'text/plain'][doc_id % 8 + 1] AS meta, 'gemini://h.test/' || doc_id || CASE WHEN doc_id % 8 = 7 THEN '/twtxt.txt' ELSE '' END AS url FROM documents)
+SELECT url, CASE k WHEN 4 THEN '<gemini-request-info>' WHEN 0 THEN 'text/gemini' WHEN 1 THEN 'text/plain' WHEN 6 THEN 'text/gemini' WHEN 7 THEN 'text/plain' ELSE meta END AS content_type, CASE WHEN k = 0 THEN 'en' END AS lang, CASE WHEN k = 1 THEN 'utf-8' END AS charset, CASE k WHEN 4 THEN 'Say it' WHEN 0 THEN 'Title ' || doc_id WHEN 6 THEN 'Title ' || doc_id ELSE url END AS title,
+CASE k WHEN 2 THEN 'rss' WHEN 3 THEN 'atom' WHEN 7 THEN 'twtxt' END AS feed_type, CASE WHEN k IN (0, 6) THEN strlen(text) + strlen('# Title ' || doc_id || chr(10)) WHEN k IN (1, 7) THEN strlen(text) + strlen('# Title ' || doc_id || chr(10)) ELSE 0 END AS size, CASE WHEN k IN (1, 7) THEN md5('# Title ' || doc_id || chr(10) || text) WHEN k = 4 THEN md5('Say it') WHEN k IN (2, 3, 5) THEN md5('') END AS body_hash, CASE WHEN k = 5 THEN 'status' END AS error FROM r""")
+def extract_kinds(spark, d):
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (F.col("doc_id") % 8 + 1).cast("int"))
+    t = read(spark, d, "documents").select("doc_id", F.concat(F.lit("gemini://h.test/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 8 == 7, "/twtxt.txt").otherwise("")).alias("url"), pick(20, 20, 20, 20, 10, 40, 20, 20).alias("status"), pick("text/gemini; lang=en", "text/plain; charset=utf-8", "application/rss+xml", "application/atom+xml", "Say it", "not here", "", "text/plain").alias("meta"), F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), F.lit("\n"), "text").cast("binary").alias("body"), F.lit("2024-02-01").cast("timestamp_ntz").alias("fetched_at"))
+    got = L.extract_responses(t.drop("doc_id"))
+    # the text of markup is checked by markup_documents
+    return got.select("url", "content_type", "lang", "charset", "title", "feed_type", "size", F.when(F.col("content_type") != "text/gemini", F.col("indexed_content_hash")).alias("body_hash"), "error")
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT NULL, regexp_replace(url, '#.*$', '') || '?seed' FROM pages WHERE page_id % 2 = 1 AND NOT contains(url, '?')")
+def seed_new(spark, d):
+    p = read(spark, d, "pages")
+    old = p.where("page_id % 2 = 0").select("page_id", "url")
+    seeds = p.where("page_id % 2 = 1 and not contains(url, '?')").select(F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("?seed")).alias("url"))
+    more = seeds.union(seeds).union(p.where("page_id % 2 = 0").select("url")).union(p.select(F.lit("no url")))
+    return L.insert_if_absent(old, R.seed_rows(more, F.lit("2024-02-01").cast("timestamp_ntz")).select("url"), ["url"])
+
+
+@query(r"SELECT doc_id, regexp_replace(replace(replace(replace(left(text, 80) || chr(10) || '```x', chr(10), ' '), chr(9), ' '), '```', ' '), '^[`*=>#\s]+', '') AS title FROM documents")
+def title_clean(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.clean_title(F.concat(F.left("text", F.lit(80)), F.lit("\n```x"))).alias("title"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id END AS num, replace(replace('it' || chr(39) || 's ' || chr(92) || ' ' || props, chr(92), chr(92) || chr(92)), chr(39), chr(39) || chr(39)) AS escaped, replace(replace(url_encode('a b~c*' || props), '%20', '+'), '*', '%2A') AS encoded, event_id % 2 = 0 AS dated FROM events")
+def text_forms(spark, d):
+    e = read(spark, d, "events")
+    number = F.concat(F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, "x").otherwise(""))
+    stamp = F.concat(F.when(F.col("event_id") % 2 == 1, "on ").otherwise(""), F.date_format("ts", "yyyy-M-d"), F.lit(" text"))
+    return e.select("event_id", T.unsigned(number).alias("num"), T.escape_sql(F.concat(F.lit("it's \\ "), "props")).alias("escaped"), U.encode_query(F.concat(F.lit("a b~c*"), "props")).alias("encoded"), stamp.rlike("^" + T.DATED.pattern).alias("dated"))
+
+
+@query("SELECT doc_id, (strlen(text) // 6) * 5 < strlen(text) AND strlen(text) // 6 * 5 < strlen(text) AS binary, (length(text) - length(replace(text, 'e', ''))) * 5 < strlen(text) AS few_e FROM documents")
+def binary_guard(spark, d):
+    size = F.octet_length("text")
+    few = F.length("text") - F.length(F.replace("text", F.lit("e")))
+    return read(spark, d, "documents").select("doc_id", T.too_binary(size, F.floor(size / 6)).alias("binary"), T.too_binary(size, few).alias("few_e"))
+
+
 _CRAWLED = "a AS (SELECT 'h' || page_id % 10 || '.test' AS host, page_id, page_id % 20 AS k, page_id % 9 <> 0 AS ok FROM pages)"
 
 
@@ -648,6 +726,27 @@ def blacklist_prefixes(spark, d):
     return P.blocked_by_prefix(odd_urls(spark, d).select("url"), rules)
 
 
+_POLICY = "rb AS (SELECT unnest(['plain.test', 'plain.test', 'agit.test']) AS host, unnest(['/a/a', '/plain', '/']) AS rule)"
+_RULE = "path = rule OR path = rule || '/' OR (length(path) > length(rule) + 1 AND starts_with(path, rule) AND (path[length(rule) + 1] = '/' OR ends_with(rule, '/')))"
+
+
+def odd_policies(spark) -> DataFrame:
+    return spark.createDataFrame([("plain.test", 1965, "/a/a"), ("plain.test", 1965, "/plain"), ("agit.test", 1965, "/"), ("example.company", 70, "/")], "host string, port int, disallowed string")
+
+
+@query(f"WITH {_BUILT_IN}, {_POLICY} SELECT DISTINCT url FROM bl JOIN rb USING (host) WHERE {_RULE}")
+def robots_blocked(spark, d):
+    u = U.parse_url(F.col("url"))
+    return P.blocked_by_robots(odd_urls(spark, d).select("url", u["host"].alias("host"), U.url_port(u).alias("port"), u["path"].alias("path")), odd_policies(spark))
+
+
+@query(f"WITH {_BUILT_IN}, {_POLICY}, x AS (SELECT url FROM bl JOIN rb USING (host) WHERE {_RULE}) SELECT page_id, url FROM bl WHERE NOT blocked AND url NOT IN (FROM x) AND NOT (host = 'example.company' AND starts_with(path, '/rfc')) AND host <> 'x.onion' AND NOT (host = 'example.company' AND path = '/commits/_/x')")
+def should_crawl_urls(spark, d):
+    rules = P.prefix_rules(spark.createDataFrame([("gemini://example.company/commits/_",)], "url string"))
+    more = odd_urls(spark, d).unionByName(odd_urls(spark, d).withColumn("url", F.replace("url", F.lit("gemini:"), F.lit("https:"))))
+    return P.should_crawl(more, rules, odd_policies(spark), spark.createDataFrame([("down.test", 1965, 9)], "host string, port int, n long"))
+
+
 @query(r"SELECT page_id, len(q) >= 3 AND len(list_filter(list_distinct(q), lambda a: len(list_filter(q, lambda b: b = a)) >= 3)) > 0 AS repeats FROM (SELECT page_id, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) || CASE WHEN page_id % 2 = 0 THEN '/en/en/en' ELSE '' END, '/'), lambda x: x <> '') AS q FROM pages)")
 def path_repeat_guard(spark, d):
     path = F.concat(U.parse_url(F.col("url"))["path"], F.when(F.col("page_id") % 2 == 0, "/en/en/en").otherwise(""))

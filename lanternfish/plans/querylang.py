@@ -10,6 +10,8 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Only A-Z: terms of other scripts are folded when they are analysed.
+_LOWER = {i: i + 32 for i in range(65, 91)}
 KINDS = ("content_type", "domain", "size", "intitle")
 # fixed values: bytes of a size unit
 UNITS = {"": 1, "b": 1, "byte": 1, "k": 1000, "ki": 1024, "m": 1000**2, "mi": 1024**2, "g": 1000**3, "gi": 1024**3}
@@ -72,7 +74,7 @@ def parse_query(query: str) -> Query:
             words.append(token)
     if negate is not None:
         words.append(negate)
-    out.text = " ".join(words).lower()
+    out.text = " ".join(words).translate(_LOWER)
     return out
 
 

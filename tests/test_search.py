@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lanternfish import cli, config
+from lanternfish import cli, config, serving
 from lanternfish.operators import graph as G
 from lanternfish.operators import lifecycle as L
 from lanternfish.operators import policy as P
@@ -299,3 +299,17 @@ def test_command_line(spark, tmp_path, capsys):
     with pytest.raises(ValueError):
         config.load('{"nonsense": 1}')
     assert config.load("{}") == config.Settings()
+
+
+def test_serving(spark):
+    now = [0.0]
+    kept, made = serving.Kept(lambda: now[0]), []
+    one = lambda: made.append(1) or spark.range(3)
+    first = kept.get("search", "cats", one)
+    assert kept.get("search", "cats", one) is first and first.is_cached and len(made) == 1
+    now[0] = 601
+    assert kept.get("search", "cats", one) is not first and not first.is_cached and kept.get("api", "x", lambda: [1]) == [1]
+    assert [serving.wait(n) for n in (0, 64, 65, 128, 640, 10_000)] == [None, None, 2, 4, 512, 512]
+    assert serving.page_path("a+b") == "/search?a+b" and serving.page_path("a", 3, True) == "/v/search/3?a"
+    assert serving.jump("a", "2") == "/search/2?a" and serving.jump("a", "1") == "/search?a" and serving.jump("a", "x") is None and serving.jump("a", "0") is None
+    assert serving.next_run(dt.datetime(2024, 1, 3)) == dt.datetime(2024, 1, 7) and serving.next_run(dt.datetime(2024, 1, 2, 23)) == dt.datetime(2024, 1, 3)
