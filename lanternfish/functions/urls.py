@@ -7,7 +7,7 @@ malformed text gives good = false. The default port is that of the lower-cased p
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: default ports
@@ -52,6 +52,11 @@ def parse_url(u: Column) -> Column:
     )
 
 
+def with_url(df: DataFrame, url: Column | str, name: str) -> DataFrame:
+    """df with the struct of url. The array of one keeps the optimizer from copying the parser into each use of the struct's fields."""
+    return df.withColumn(name, F.explode(F.array(parse_url(F.col(url) if isinstance(url, str) else url))))
+
+
 def url_port(u: Column) -> Column:
     """The port given, else the protocol's default, else 0."""
     return F.coalesce(u["port"], default_port(u["protocol"]))

@@ -102,14 +102,15 @@ def follow_redirects(urls: DataFrame, redirects: DataFrame, hops: int = 5) -> Da
     return d
 
 
-def is_normal(url: Column) -> Column:
-    u = U.parse_url(url)
-    return u["good"] & (U.format_url(u) == url)
+def not_normal(urls: DataFrame, normal: bool = False) -> DataFrame:
+    """The rows of urls (url) whose url is not in its normal form, or the others."""
+    shown = U.with_url(urls, "url", "_u").withColumn("_n", F.explode(F.array(F.col("_u.good") & (U.format_url(F.col("_u")) == F.col("url")))))
+    return shown.where(F.col("_n") == F.lit(normal)).drop("_u", "_n")
 
 
 def normal_only(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without pages whose url is not in its normal form, and without links from or to their urls; they come back in normal form when found again."""
-    odd = pages.where(~is_normal(F.col("url"))).select("url")
+    odd = not_normal(pages).select("url")
     return pages.join(odd, "url", "left_anti"), links.join(odd, "url", "left_anti").join(odd.withColumnRenamed("url", "to_url"), "to_url", "left_anti").select(*links.columns)
 
 
@@ -128,7 +129,7 @@ def changed(old: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
 def extract_responses(responses: DataFrame) -> DataFrame:
     """responses (url, status, meta, body, fetched_at) -> one row a response: hashes, type, charset, lang, title, text, feed type, size, links, error."""
     decode = F.pandas_udf(lambda b, c: b.combine(c, lambda x, y: T.decode_bytes(bytes(x), y or None) if x is not None else ""), "string")
-    d = responses.withColumns({"_type": F.when(T.mime_type(F.col("meta")) == "", "text/gemini").otherwise(T.mime_type(F.col("meta"))), "_params": T.mime_params(F.col("meta")), "_u": U.parse_url(F.col("url"))})
+    d = U.with_url(responses, "url", "_u").withColumns({"_type": F.when(T.mime_type(F.col("meta")) == "", "text/gemini").otherwise(T.mime_type(F.col("meta"))), "_params": T.mime_params(F.col("meta"))})
     d = d.withColumns({"charset": F.col("_params")["charset"], "lang": F.col("_params")["lang"], "_body": decode(F.col("body"), F.coalesce(F.col("_params")["charset"], F.lit("")))})
     ok, prompt = F.col("status").between(20, 29), F.col("status").between(10, 19)
     markup, plain = ok & (F.col("_type") == MARKUP_TYPE), ok & F.col("_type").isin(*PLAIN_TYPES)
@@ -148,7 +149,7 @@ def link_rows(pages: DataFrame, protocols: tuple[str, ...] = ("gemini",), max_by
     Empty links, actions, other protocols, malformed absolute links and very long relative ones go; fragments are cut, and so is a
     parameter of a markup file that is a beginning of the link itself, a common slip.
     """
-    d = pages.select("url", "host", "port", U.parse_url(F.col("url")).alias("_b"), F.explode(F.array_distinct("links")).alias("_l")).where(~U.is_non_uri_action(F.col("_l")) & (F.col("_l") != ""))
+    d = U.with_url(pages.select("url", "host", "port", "links"), "url", "_b").select("url", "host", "port", "_b", F.explode(F.array_distinct("links")).alias("_l")).where(~U.is_non_uri_action(F.col("_l")) & (F.col("_l") != ""))
     whole, malformed = U.parse_url(F.col("_l"))["good"], reduce(or_, [F.startswith(F.col("_l"), F.lit(f"{p}://")) for p in protocols])
     d = d.where(whole | (~malformed & (F.octet_length("_l") <= max_bytes)))
     # the array of one keeps the struct from being copied into each use of its fields
@@ -171,8 +172,8 @@ def resolve_redirects(responses: DataFrame, redirects: DataFrame, hops: int = 5)
     A fetch follows at most hops redirects, known ones and those of the batch; a target that the batch has no answer of leaves the page
     with the redirect's own response, an error. Targets that are malformed or the page itself are not followed.
     """
-    target = U.parse_url(F.col("meta"))
-    moved = responses.where(F.col("status").between(30, 39)).select("url", "status", F.when(target["good"], U.format_url(target)).alias("to_url")).where("to_url <> url")
+    target = F.col("_u")
+    moved = U.with_url(responses.where(F.col("status").between(30, 39)), "meta", "_u").where("_u.good").select("url", "status", U.format_url(target).alias("to_url")).where("to_url <> url")
     known = upsert(redirects, moved.where("status = 31").select(F.col("url").alias("from_url"), "to_url", F.col("to_url").alias("_o")), ["from_url"], "_o")
     every = known.unionByName(moved.select(F.col("url").alias("from_url"), "to_url").join(known.select("from_url"), "from_url", "left_anti"))
     ends = follow_redirects(responses.select("url"), every, hops).where("n_hops > 0").select("url", "target")
@@ -229,7 +230,7 @@ def crawl_round(
     policies, status = P.update_robots(policies, status, responses, now)
     allow = lambda urls: P.should_crawl(urls, rules, P.fresh_policies(policies, status, now), timeouts)
     pages, links = normal_only(pages, links)
-    rest = responses.where(~P.is_robots(F.col("url")) & is_normal(F.col("url")))
+    rest = not_normal(responses, normal=True).where(~F.col("url").endswith("/robots.txt") | ~P.is_robots(F.col("url")))
     ok = cut(allow(rest.select("url").distinct()))
     pages = mark_blocked(pages, rest.select("url").join(ok, "url", "left_anti"), now)
     rest = rest.join(ok, "url", "left_semi").join(pages.where(skip_gone(now)).select("url"), "url", "left_anti")

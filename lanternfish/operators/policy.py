@@ -44,7 +44,7 @@ def built_in(url: Column, host: Column, path: Column) -> Column:
 
 def prefix_rules(urls: DataFrame) -> DataFrame:
     """(origin, rule) of url rules: the URL without path, parameter and fragment, and its path; a parameter is dropped."""
-    u = urls.select(U.parse_url(F.col("url")).alias("u")).where("u.good")
+    u = U.with_url(urls, "url", "u").where("u.good")
     return u.select(origin(F.col("u")).alias("origin"), F.col("u.path").alias("rule")).distinct()
 
 
@@ -54,7 +54,7 @@ def origin(u: Column) -> Column:
 
 def blocked_by_prefix(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows of urls (url) under a rule of the same origin. Rules are written by hand, so Spark broadcasts them while they are small."""
-    u = urls.withColumn("_u", U.parse_url(F.col("url")))
+    u = U.with_url(urls, "url", "_u")
     hit = u.withColumn("origin", origin(F.col("_u"))).join(rules, "origin").where(R.rule_blocks(F.col("_u.path"), F.col("rule")))
     return hit.select("url").distinct()
 
@@ -74,7 +74,7 @@ def is_robots(url: Column) -> Column:
 
 def robots_urls(urls: DataFrame, status: DataFrame, now: Column, protocol: str = "gemini") -> DataFrame:
     """url of the robots file of each host and port of urls (url) that has no fresh status."""
-    u = urls.select(U.parse_url(F.col("url")).alias("u")).where(F.col("u.good") & (F.col("u.protocol") == protocol)).select(F.col("u.host").alias("host"), U.url_port(F.col("u")).alias("port")).distinct()
+    u = U.with_url(urls.select("url"), "url", "u").where(F.col("u.good") & (F.col("u.protocol") == protocol)).select(F.col("u.host").alias("host"), U.url_port(F.col("u")).alias("port")).distinct()
     due = u.join(fresh_status(status, now), ["host", "port"], "left_anti")
     shown = F.when(F.col("port") == U.DEFAULT_PORTS[protocol], F.lit("")).otherwise(F.concat(F.lit(":"), F.col("port").cast("string")))
     return due.select(F.concat(F.lit(f"{protocol}://"), F.col("host"), shown, F.lit("/robots.txt")).alias("url"))
@@ -94,8 +94,8 @@ def update_robots(policies: DataFrame, status: DataFrame, responses: DataFrame,
 
     A file counts if it came with status 20 as plain text or line markup; a host without one has no rules, and a status that says so.
     """
-    u = U.parse_url(F.col("url"))
-    got = responses.where(is_robots(F.col("url"))).select(u["host"].alias("host"), U.url_port(u).alias("port"), ((F.col("status") == 20) & X.mime_type(F.col("meta")).isin(*ROBOTS_TYPES)).alias("have_policy"), "body", "fetched_at")
+    u = F.col("_u")
+    got = U.with_url(responses, "url", "_u").where(u["path"] == "/robots.txt").select(u["host"].alias("host"), U.url_port(u).alias("port"), ((F.col("status") == 20) & X.mime_type(F.col("meta")).isin(*ROBOTS_TYPES)).alias("have_policy"), "body", "fetched_at")
     last = got.groupBy("host", "port").agg(F.max_by(F.struct(F.coalesce("have_policy", F.lit(False)).alias("have_policy"), "body"), F.struct("fetched_at", "body")).alias("v")).select("host", "port", "v.*")
     rules = last.where("have_policy").select("host", "port", F.explode(R.robots_rules(F.make_valid_utf8(F.col("body").cast("string")), agents)).alias("disallowed"))
     hosts = last.select("host", "port")
@@ -110,7 +110,7 @@ def host_timeouts(log: DataFrame, over: int = 3) -> DataFrame:
 
 def should_crawl(urls: DataFrame, rules: DataFrame, policies: DataFrame, timeouts: DataFrame, protocols: tuple[str, ...] = ("gemini",)) -> DataFrame:
     """The rows of urls (url) that may be crawled: good, of an accepted protocol, not blocked, of a host that answers, allowed by robots rules."""
-    u = urls.withColumn("_u", U.parse_url(F.col("url")))
+    u = U.with_url(urls, "url", "_u")
     u = u.where(F.col("_u.good") & F.col("_u.protocol").isin(*protocols)).withColumns({"host": F.col("_u.host"), "port": U.url_port(F.col("_u")), "path": F.col("_u.path")})
     u = u.where(~built_in(F.col("url"), F.col("host"), F.col("path")))
     u = u.join(timeouts.select("host", "port"), ["host", "port"], "left_anti")

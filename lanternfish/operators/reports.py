@@ -57,7 +57,7 @@ def host_urls(hosts: DataFrame, protocol: str = "gemini") -> DataFrame:
 
 def seed_rows(urls: DataFrame, now: Column) -> DataFrame:
     """New pages for the good ones of urls (url), in normal form."""
-    u = urls.select(U.parse_url(F.col("url")).alias("_u")).where("_u.good")
+    u = U.with_url(urls, "url", "_u").where("_u.good")
     return u.select(U.format_url(F.col("_u")).alias("url"), F.col("_u.host").alias("domain_name"), U.url_port(F.col("_u")).alias("port"), F.lit(0).cast("long").alias("size"), now.alias("first_seen_at"), F.lit("").alias("indexed_content_hash"), F.lit("").alias("raw_content_hash"))
 
 
