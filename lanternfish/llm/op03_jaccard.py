@@ -406,8 +406,12 @@ def _components_of(docs: DataFrame, width: int, percent: int, block: int, scratc
         """keep() for tables of a few numbers a document or fewer: as many files as documents ask for."""
         return keep(df.coalesce(parts), name)
 
+    def few(df: DataFrame, name: str) -> DataFrame:
+        """keep() for the few rows that a large join leaves: the join runs in all tasks, then its rows are dealt to few files."""
+        return keep(df.repartition(parts), name)
+
     full = made.where("n > 0 and doc_id is not null")
-    sets_of = keep(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("c"), F.first("g").alias("g"), F.first("n").alias("n"), F.first("bits").alias("bits")).coalesce(parts), "set-classes")
+    sets_of = keep(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("c"), F.first("g").alias("g"), F.first("n").alias("n"), F.first("bits").alias("bits")), "set-classes")
     classes = narrow(_join(sets_of.select("c", "g", "s1", "s2"), sets_of.groupBy("g").agg(F.min("c").alias("r")), "g").select("c", "r", "s1", "s2"), "classes")
     lists = full.select("g", F.col("doc_id").alias("d"), "n", F.posexplode("prefix").alias("pos", "h")).select("h", (F.shiftleft("n", 32) + F.col("pos")).alias("at"), "g", "d")
     lists = lists.repartitionByRange(n_parts, "h", "at", "g").sortWithinPartitions("h", "at", "g", "d")
@@ -427,7 +431,7 @@ def _components_of(docs: DataFrame, width: int, percent: int, block: int, scratc
         """The links among pairs (a, b), None if there are no pairs; sets that were not made yet are made first."""
         pairs = _join(pairs.where("a <> b").distinct(), sets_of.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
         pairs = _join(pairs, sets_of.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
-        pairs = narrow(pairs.where(_may_link("na", "x", "nb", "y", percent)).select("a", "b").distinct(), "pairs")
+        pairs = few(pairs.where(_may_link("na", "x", "nb", "y", percent)).select("a", "b").distinct(), "pairs")
         if pairs.isEmpty():
             return None
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -448,7 +452,7 @@ def _components_of(docs: DataFrame, width: int, percent: int, block: int, scratc
         every = only(sets[0], ids, n)
         for known in sets[1:]:
             every = every.union(only(known, ids, n))
-        return narrow(_links(pairs, every, percent), "links")
+        return few(_links(pairs, every, percent), "links")
 
     def open_rows(rows: DataFrame) -> DataFrame:
         """Rows of lists (h, comp, ...) that hold several components."""
