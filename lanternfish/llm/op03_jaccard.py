@@ -412,7 +412,7 @@ def _components_of(docs: DataFrame, width: int, percent: int, block: int, scratc
 
     full = made.where("n > 0 and doc_id is not null")
     sets_of = keep(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("c"), F.first("g").alias("g"), F.first("n").alias("n"), F.first("bits").alias("bits")), "set-classes")
-    classes = narrow(_join(sets_of.select("c", "g", "s1", "s2"), sets_of.groupBy("g").agg(F.min("c").alias("r")), "g").select("c", "r", "s1", "s2"), "classes")
+    classes = narrow(_join(sets_of.select("c", "g", "n", "s1", "s2"), sets_of.groupBy("g").agg(F.min("c").alias("r")), "g").select("c", "r", "n", "s1", "s2"), "classes")
     lists = full.select("g", F.col("doc_id").alias("d"), "n", F.posexplode("prefix").alias("pos", "h")).select("h", (F.shiftleft("n", 32) + F.col("pos")).alias("at"), "g", "d")
     lists = lists.repartitionByRange(n_parts, "h", "at", "g").sortWithinPartitions("h", "at", "g", "d")
     found = keep(lists.mapInArrow(_stream_lists(percent), "kind int, a long, b long, h long"), "lists")
@@ -470,18 +470,28 @@ def _components_of(docs: DataFrame, width: int, percent: int, block: int, scratc
     def by_blocks(rows: DataFrame) -> DataFrame:
         """Pairs of different components of a list: a list of k rows is cut into ceil(k / block) blocks, and each pair of blocks meets in a task of its own."""
         rows = rows.withColumn("m", F.ceil(F.col("k") / block).cast("int")).withColumn("at", F.pmod(F.xxhash64("c"), F.col("m")).cast("int"))
-        left = rows.select("h", "comp", "n", "pos", "c", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("m") - 1)).alias("j"))
-        right = rows.select("h", F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("c").alias("c2"), F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"))
-        return _join(left, right, ["h", "i", "j"]).where(f"(comp < comp2 or (comp > comp2 and i < j)) and {near}").select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b"))
+        left = rows.select("h", "comp", "n", "pos", "r", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("m") - 1)).alias("j"))
+        right = rows.select("h", F.col("comp").alias("comp2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("r").alias("r2"), F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"))
+        units = _join(left, right, ["h", "i", "j"]).where(f"(comp < comp2 or (comp > comp2 and i < j)) and {near}").select("r", "comp", "r2", "comp2").distinct()
+        # any member of a unit, not only its first one, may be the one that is linked
+        members = members_of(comps)
+        d = _join(_join(units, members, ["r", "comp"]), members.toDF("r2", "comp2", "c2"), ["r2", "comp2"])
+        return d.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b"))
+
+    def members_of(comps: DataFrame) -> DataFrame:
+        """(r, comp, c) of each class: those of one group and component are a unit."""
+        return _join(classes, comps.withColumnRenamed("node", "c"), "c", "left").select("r", F.coalesce("comp", "c").alias("comp"), "c")
 
     links = linked(classes.select(F.col("r").alias("a"), F.col("c").alias("b")).union(found.where(F.col("kind") == PAIR).select("a", "b")))
     comps = None
     every = links
     if links is not None:
         comps = scratch.own(components(links, parts))
-        # one row a group and component: a group's classes need not be linked with each other
-        units = _join(classes, comps.withColumnRenamed("node", "c"), "c", "left").select("r", "c", F.coalesce("comp", "c").alias("comp")).groupBy("r", "comp").agg(F.min("c").alias("c"))
-        rows = keep(open_rows(_join(listed, units, "r").select("h", "n", "pos", "comp", "c")), "open-rows")
+        # a group's classes need not be linked with each other, so each of its components is a unit, and the group is one more list
+        units = members_of(comps).groupBy("r", "comp").agg(F.min("c").alias("c"))
+        sizes = classes.groupBy("r").agg(F.min("n").alias("n"), F.count("*").alias("k")).where("k > 1").select("r", "n")
+        groups = _join(units, sizes, "r").select(F.xxhash64(F.lit("group"), "r").alias("h"), "r", "n", F.lit(0).cast("long").alias("pos"), "comp", "c")
+        rows = keep(open_rows(_join(listed, units, "r").select("h", "r", "n", "pos", "comp", "c").unionByName(groups)), "open-rows")
         for pairs in (to_hub, by_blocks):
             if rows.isEmpty():
                 break

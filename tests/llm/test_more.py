@@ -42,6 +42,24 @@ def test_lists_by_blocks(spark, docs, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == jaccard_components(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_families_of_near_copies(spark, docs, seed):
+    rng, rows = random.Random(seed), []
+    for family in range(14):
+        n = rng.choice([24, 40, 69])
+        base, chain = [f"f{family}w{k}" for k in range(n)], []
+        for _ in range(rng.choice([8, 25, 50])):
+            w = list(rng.choice([base, *chain[-6:]]))
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(n)] = f"e{family}x{rng.randrange(9)}"
+            chain.append(w)
+            rows.append((len(rows), " ".join(w), "en", "a", 1))
+    rng.shuffle(rows)
+    expect = jaccard_components(rows)
+    frame = spark.createDataFrame(rows, docs.schema).repartition(4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in q3.jaccard_components(frame, block=7).collect()} == expect
+
+
 def test_one_doc_id_with_several_texts(spark, docs):
     a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
     rows = [(5, " ".join(a), "en", "a", 1), (5, " ".join(b), "en", "a", 1), (7, " ".join(a[:-1]), "en", "a", 1), (8, " ".join(b[:-1]), "en", "a", 1), (9, " ".join(b), "en", "a", 1), (9, " ".join(b), "en", "a", 1), (6, "else " * 3, "en", "a", 1)]
