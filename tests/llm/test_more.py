@@ -60,6 +60,21 @@ def test_families_of_near_copies(spark, docs, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in q3.jaccard_components(frame, block=7).collect()} == expect
 
 
+def test_a_link_of_a_later_member(spark, docs):
+    """One prefix and size: z and y, which are linked; a is linked with y alone, and z stands for both."""
+    common = [f"k{i}" for i in range(30)]
+    other = common[:25] + [f"m{i}" for i in range(5)]
+    rows = [(1000 + i, " ".join([f"u{i}x{k}" for k in range(60)] + (common if i % 2 else other)), "en", "a", 1) for i in range(24)]
+    for f in range(5):
+        own = [f"p{f}x{i}" for i in range(40)]
+        edited = [*own[:20], "edit", *own[21:]]
+        rows += [(10 * f + 1, " ".join(own + other), "en", "a", 1), (10 * f + 2, " ".join(own + common), "en", "a", 1), (10 * f + 3, " ".join(edited + common), "en", "a", 1)]
+    expect = jaccard_components(rows)
+    assert all(expect[10 * f + 3][1] == 10 * f + 1 for f in range(5))
+    got = q3.jaccard_components(spark.createDataFrame(rows, docs.schema)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == expect
+
+
 def test_one_doc_id_with_several_texts(spark, docs):
     a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
     rows = [(5, " ".join(a), "en", "a", 1), (5, " ".join(b), "en", "a", 1), (7, " ".join(a[:-1]), "en", "a", 1), (8, " ".join(b[:-1]), "en", "a", 1), (9, " ".join(b), "en", "a", 1), (9, " ".join(b), "en", "a", 1), (6, "else " * 3, "en", "a", 1)]
