@@ -125,8 +125,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def maybe_in(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """docs without most rows whose doc_id is not among the n of wanted (doc_id), by one bit a hash: 16 MB at most, whatever n is; only speed depends on it."""
+def maybe(docs: DataFrame, wanted: DataFrame, n: int, name: str) -> DataFrame:
+    """docs with the boolean name: false only where doc_id is not among the n of wanted (doc_id), and for most of these, by one bit a hash: 16 MB at most, whatever n is; only speed depends on it."""
     bits = 1 << min(27, max(15, (16 * n).bit_length()))
     bucket, place, map_ = (fresh(docs, x) for x in ("_bucket", "_place", "_map"))
     slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)) + 1
@@ -134,7 +134,13 @@ def maybe_in(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     at = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring(F.col(map_), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.getbit(byte.cast("bigint"), F.pmod(at, F.lit(8)).cast("int")) == 1
-    return docs.join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col(bucket)).where(hit).select(*docs.columns)
+    return docs.join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col(bucket), "left").select(*docs.columns, F.coalesce(hit, F.lit(False)).alias(name))
+
+
+def maybe_in(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """docs without most rows whose doc_id is not among the n of wanted (doc_id)."""
+    name = fresh(docs, "_maybe")
+    return maybe(docs, wanted, n, name).where(name).drop(name)
 
 
 SLICE = 1 << 15

@@ -84,15 +84,18 @@ def _bitmap(positions: pd.Series) -> pd.Series:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, partitions: int | None = None) -> DataFrame:
-    """(doc_id, row, n_dropped, keep): a zlib-compressed bitmap for each document that loses lines; bit i (from the left) is 1 if line i stays, and lines past its last dropped one stay."""
+    """(doc_id, row, n_dropped, keep), a written table: a zlib-compressed bitmap for each document that loses lines; bit i (from the left) is 1 if line i stays, and lines past its last dropped one stay."""
     n = partitions or C.shuffle_partitions(docs.sparkSession)
-    keys = line_keys(docs, min_chars).repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "row", "pos")
-    found = C.materialize(keys.mapInArrow(_stream, _STREAM), "line-drops")
-    first = found.where(F.col("kind") == LAST).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    late = found.where(F.col("kind") == OPEN).join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "row", "pos")
-    drops = found.where(F.col("kind") == DROP).select("doc_id", "row", "pos").unionByName(late)
-    per = drops.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("p"))
-    return per.select("doc_id", "row", F.size("p").cast("long").alias("n_dropped"), _bitmap("p").alias("keep"))
+    with C.Scratch() as scratch:
+        # written, as finding the ranges' bounds reads the keys once more
+        keys = scratch.keep(line_keys(docs, min_chars), "line-keys")
+        keys = keys.repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "row", "pos")
+        found = scratch.keep(keys.mapInArrow(_stream, _STREAM), "line-drops")
+        first = found.where(F.col("kind") == LAST).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
+        late = found.where(F.col("kind") == OPEN).join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "row", "pos")
+        drops = found.where(F.col("kind") == DROP).select("doc_id", "row", "pos").unionByName(late)
+        per = drops.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("p"))
+        return C.materialize(per.select("doc_id", "row", F.size("p").cast("long").alias("n_dropped"), _bitmap("p").alias("keep")), "keep-bitmaps")
 
 
 @F.pandas_udf(T.StringType())
@@ -108,15 +111,20 @@ def _apply(text: pd.Series, keep: pd.Series) -> pd.Series:
 
 
 def dedup_lines(docs: DataFrame, n_dropped: str | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the text that stays, and with the count of dropped lines where a name for it is given."""
+    """docs with the text that stays, and with the count of dropped lines where a name for it is given. Only documents that lose lines, and some more, are shuffled to their bitmaps."""
     maps, cols = keep_bitmaps(docs, min_chars), docs.columns
-    taken = [C.fresh(docs, x) for x in ("_id", "_row", "_keep", "_n")]
+    taken = [C.fresh(docs, x) for x in ("_id", "_row", "_keep", "_n", "_some")]
+    flagged = C.maybe(docs, maps.select("doc_id"), maps.count(), taken[4])
     maps = maps.toDF(taken[0], taken[1], taken[3], taken[2])
-    d = docs.join(maps, (docs["doc_id"].cast("long") == F.col(taken[0])) & (F.xxhash64(docs["text"]) == F.col(taken[1])), "left")
+    some = flagged.where(taken[4])
+    d = some.join(maps, (some["doc_id"].cast("long") == F.col(taken[0])) & (F.xxhash64(some["text"]) == F.col(taken[1])), "left")
     # only texts that lose lines go to Python
     cut = _apply(F.when(F.col(taken[2]).isNotNull(), F.col("text")), F.col(taken[2]))
     text = F.when(F.col(taken[2]).isNull(), F.col("text")).otherwise(cut)
-    return d.select(*[text.alias(c) if c == "text" else F.col(c) for c in cols], *([F.coalesce(F.col(taken[3]), F.lit(0)).cast("long").alias(n_dropped)] if n_dropped else []))
+    lost = [F.coalesce(F.col(taken[3]), F.lit(0)).cast("long").alias(n_dropped)] if n_dropped else []
+    d = d.select(*[text.alias(c) if c == "text" else F.col(c) for c in cols], *lost)
+    whole = flagged.where(~F.col(taken[4])).select(*cols, *([F.lit(0).cast("long").alias(n_dropped)] if n_dropped else []))
+    return whole.unionByName(d)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
