@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -150,3 +151,10 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[pa.RecordBatch]
     """batch in parts, as large batches make the JVM's native memory grow for good."""
     for at in range(0, max(1, batch.num_rows), rows):
         yield batch.slice(at, rows)
+
+
+def tidy() -> None:
+    """Gives memory that a task no longer holds back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -176,6 +176,8 @@ def frequent(docs: DataFrame, scratch: C.Scratch, width: int = WIDTH, limit: int
                     held, seen, total = [], set(), 0
         if held:
             yield from C.slices(counted())
+            held.clear()
+        C.tidy()
 
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, docs.count() // WINDOW_DOCS)  # small partitions would see too little each
     found = docs.select("doc_id", "text").coalesce(tasks).mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -249,6 +251,7 @@ def _sets(docs: DataFrame, order, width: int, percent: int) -> DataFrame:
             cols = list(zip(*out)) or [[]] * 7
             lists = [pa.array(list(c), pa.list_(pa.int64())) for c in cols[5:]]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), *lists], names=["doc_id", "n", "s1", "s2", "g", "prefix", "bits"])
+        C.tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n long, s1 long, s2 long, g long, prefix array<long>, bits array<long>")
 

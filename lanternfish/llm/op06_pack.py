@@ -57,6 +57,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, context: int = CONTEX
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_rank", "ids"]
             yield pa.RecordBatch.from_arrays(arrays[: 7 + ids], names=names[: 7 + ids])
         known.forget()
+        C.tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _PIECE + (", ids binary" if ids else ""))
 

@@ -137,6 +137,7 @@ def grow(docs: DataFrame, extra: list[str] | None = None, vocabulary: str | None
             trees = [TokenTree(t.as_py() or "", known, block).stored() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([{"chars": a, "counts": b} for a, b in trees], _TREE)], names=[*batch.schema.names, "tree"])
         known.forget()
+        C.tidy()
 
     return d.mapInArrow(made, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + f", tree {TREE}")
 
@@ -168,6 +169,7 @@ def apply_edits(store: DataFrame, edits: str = "edits", vocabulary: str | None =
             n = 8 if texts else 6
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols[:n], types)], names=names[:n])
         known.forget()
+        C.tidy()
 
     return store.select("doc_id", "text", "tree", F.col(edits).alias("edits")).mapInArrow(count, _RESULT + (f", text string, tree {TREE}" if texts else ""))
 

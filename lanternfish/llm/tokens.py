@@ -12,7 +12,8 @@ import os
 import re
 import struct
 
-CACHE = 400_000
+#: Chunks and pieces that are kept. Pieces cost more to make, chunks are quickly put together from them.
+CACHE, PIECES = 400_000, 300_000
 
 
 def vocabulary() -> str:
@@ -58,17 +59,16 @@ class ChunkIds(dict):
     def piece(self, piece: str) -> bytes:
         out = self.pieces.get(piece)
         if out is None:
-            if len(self.pieces) > CACHE:
+            if len(self.pieces) > PIECES:
                 self.pieces = {"": b""}
             ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(LATIN))]
             out = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def forget(self) -> None:
-        """Empties the cache: workers outlive their tasks, and what they hold takes from the memory of later stages."""
+        """Empties the cache of chunks: workers outlive their tasks, and what they hold takes from the memory of later stages."""
         self.clear()
         self[""] = b""
-        self.pieces = {"": b""}
 
     def chunks(self, text: str) -> list[bytes]:
         """The ids of each chunk of text."""
