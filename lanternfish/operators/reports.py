@@ -55,10 +55,10 @@ def host_urls(hosts: DataFrame, protocol: str = "gemini") -> DataFrame:
     return hosts.select(F.concat(F.lit(f"{protocol}://"), F.col("domain_name"), shown, F.lit("/")).alias("url"))
 
 
-def seed_rows(urls: DataFrame, now: Column) -> DataFrame:
-    """New pages for the good ones of urls (url), in normal form."""
+def seed_rows(urls: DataFrame, now: Column, key: tuple[str, ...] = ()) -> DataFrame:
+    """New pages for the good ones of urls (url), in normal form, after the columns of key."""
     u = U.with_url(urls, "url", "_u").where("_u.good")
-    return u.select(U.format_url(F.col("_u")).alias("url"), F.col("_u.host").alias("domain_name"), U.url_port(F.col("_u")).alias("port"), F.lit(0).cast("long").alias("size"), now.alias("first_seen_at"), F.lit("").alias("indexed_content_hash"), F.lit("").alias("raw_content_hash"))
+    return u.select(*key, U.format_url(F.col("_u")).alias("url"), F.col("_u.host").alias("domain_name"), U.url_port(F.col("_u")).alias("port"), F.lit(0).cast("long").alias("size"), now.alias("first_seen_at"), F.lit("").alias("indexed_content_hash"), F.lit("").alias("raw_content_hash"))
 
 
 def add_seed(pages: DataFrame, url: str, now: Column) -> DataFrame:

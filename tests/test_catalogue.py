@@ -92,3 +92,9 @@ def test_upsert_of_redirects_of_pages_that_share_a_url(spark, tmp_path, monkeypa
     # x.test/2 is updated on pages 0 and 4, x.test/1 stays on 1 and 5
     pages_of(tmp_path, monkeypatch, *(f"http://x.test/{x}" for x in "21342156"))
     test_same_rows(spark, "redirect_upsert")
+
+
+def test_seeds_of_pages_that_share_a_url(spark, tmp_path, monkeypatch):
+    # pages 1, 3 and 5 have the same seed, pages 0 and 2 one url, and page 4 is a seed's url
+    pages_of(tmp_path, monkeypatch, "http://b.test/", "http://a.test/en/1", "http://b.test/", "http://a.test/en/1#top", "http://a.test/en/1?seed", "http://a.test/en/1", "http://c.test/", "http://c.test/?x")
+    test_same_rows(spark, "seed_new")
